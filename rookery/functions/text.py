@@ -44,8 +44,8 @@ def module_path(path: Column) -> Column:
 
 def line_number(text: Column, offset: Column) -> Column:
     """Line (from 1) of a byte offset in UTF-8 text."""
-    before = F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int"))
-    return F.octet_length(before) - F.octet_length(F.regexp_replace(F.decode(before, "ISO-8859-1"), "\n", "").cast("string")) + 1
+    before = F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset.cast("int")), "ISO-8859-1")  # a byte is a character
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 
 def lines_before(text: Column, chars: Column) -> Column:
