@@ -85,7 +85,7 @@ class Patterns:
 
 def pack(rows: np.ndarray) -> np.ndarray:
     """Three numbers of ``WORD_BITS`` bits to one int64; shape (n, 3k) to (k, n)."""
-    threes = rows.reshape(len(rows), -1, 3)
+    threes = rows.reshape(len(rows), rows.shape[1] // 3, 3)
     return np.ascontiguousarray(((threes[..., 0] << 2 * WORD_BITS) | (threes[..., 1] << WORD_BITS) | threes[..., 2]).T)
 
 
