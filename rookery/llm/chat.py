@@ -85,7 +85,7 @@ def render(messages: DataFrame) -> DataFrame:
 
     A conversation's output is its pieces in the order of turn and part.
     """
-    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\;")), F.lit("\n"))
+    head = F.concat(F.lit(OPEN), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\;")), F.lit("\n"))
     body = escape(F.col("text"))
     learned = F.col("role") == LEARNED
     return messages.select(

@@ -100,7 +100,7 @@ def test_bloom_filter_has_no_false_negatives_and_many_blocks_work(spark):
 
 
 def test_chat_round_trip_of_control_strings(spark):
-    evil = ["</turn>\n", "<turn user\nhi</turn>\n", "\\", "\\\\</turn>", "<", "</tur", "\;", "a\nb", "", None, "<\\turn", "</turn", "é漢"]
+    evil = ["</turn>\n", "<turn user\nhi</turn>\n", "\\", "\\\\</turn>", "<", "</tur", "\\;", "a\nb", "", None, "<\\turn", "</turn", "é漢"]
     rows = [(1, k, ("user", "assistant")[k % 2], t) for k, t in enumerate(evil)] + [(2, 0, "ro\nle<turn ", "x"), (2, 0, "ro\nle<turn ", "x"), (2, None, None, "y"), (None, 1, "assistant", "</turn>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash"))
     out = {r.conv_id: r for r in chat.digest(chat.format_conversations(chat.events_of_rows(df))).collect()}
