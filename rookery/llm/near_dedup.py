@@ -37,8 +37,8 @@ from rookery.llm.shingles import BUNDLES, Words64, bundles, common, minhashes, n
 SIMILAR = 85
 #: Classes of a block, and members that are compared with a bucket's smallest class in one task.
 BLOCK, MEMBERS = 256, 512
-#: Equal minhashes (of 54) from which full sets are compared; at the link's similarity, fewer come up about once in 10**5 pairs.
-ESTIMATE = 33
+#: Equal minhashes (of 72) from which full sets are compared; at the link's similarity, fewer come up about once in 10**6 pairs.
+ESTIMATE = 44
 #: Rows up to which ids are sent to every executor; beyond, rows are shuffled.
 BROADCAST_ROWS = 500_000
 

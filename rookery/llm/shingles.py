@@ -10,7 +10,7 @@ import xxhash
 #: Words of a shingle.
 WORDS = 5
 #: Bundles in each of the two collections, and minhashes in a bundle.
-BUNDLES, ROWS = 9, 3
+BUNDLES, ROWS = 12, 3
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _r = np.random.default_rng(20240229)
