@@ -354,9 +354,9 @@ def _roots(s: SparkSession, d: str) -> DataFrame:
     return _items(s, d).select(F.col("id").alias("node"), F.coalesce("parent", "id").alias("root"))
 
 
-_TIES = """e as (select coalesce(b.parent, b.id) definition, coalesce(a.parent, a.id) holder, cast(sum(w) as bigint) n from fx_edge join fx_item a on a.id = src join fx_item b on b.id = dst group by all),
- k as (select e.*, exists (select 1 from fx_item where id = definition and kind in ('struct','enum','union','static')) x,
-  exists (select 1 from fx_item where id = holder and kind in ('struct','enum','union','static')) y from e where definition <> holder)"""
+_TIES = """lifts as (select coalesce(b.parent, b.id) definition, coalesce(a.parent, a.id) holder, cast(sum(w) as bigint) n from fx_edge join fx_item a on a.id = src join fx_item b on b.id = dst group by all),
+ k as (select lifts.*, exists (select 1 from fx_item where id = definition and kind in ('struct','enum','union','static')) x,
+  exists (select 1 from fx_item where id = holder and kind in ('struct','enum','union','static')) y from lifts where definition <> holder)"""
 
 
 @query(
