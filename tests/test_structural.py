@@ -224,3 +224,40 @@ def test_empty_inputs(spark):
     assert rows(graph.tiers(none, ids(spark, 1)), "node", "tier") == [(1, "entry")]
     assert graph.tiers(none, ids(spark, 1).limit(0)).isEmpty()
     assert calls.way_in_reach(none, ids(spark, 1).limit(0)).isEmpty()
+
+
+def test_lexer_classes(spark):
+    from rookery.functions import lexing
+
+    text = '/// Doc\n#[inline]\npub fn note() -> Wire { rsx!("x") }'
+    files = spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, text string")
+    got = {(r.line, r.text): r["class"] for r in lexing.runs(files).collect() if r.file == "f"}
+    assert (got[0, "/// Doc"], got[1, "#[inline]"], got[2, "pub"], got[2, "note"], got[2, "Wire"], got[2, "rsx"], got[2, '"x"']) == ("doc", "attr", "kw", "fn", "type", "macro", "str")
+    whole = files.where("file = 'f'").select(F.array_join(F.transform(lexing.tokens(F.col("text")), lambda t: t["text"]), "")).head()[0]
+    assert whole == text
+
+
+def test_quotes_and_links(spark):
+    from rookery.functions import lexing
+
+    items = spark.createDataFrame([("impl X {\n    fn a() {\n        b\n    }\n}", 13, 37)], "text string, start int, end int")
+    assert lexing.quoted(items).head().quote == "fn a() {\n    b\n}"
+    r = spark.createDataFrame([("f", 0, 0, 5, 1), ("f", 1, 6, 9, 1)], "file string, run int, start int, end int, item int")
+    s = spark.createDataFrame([("f", 6, 8, 9), ("f", 0, 2, 1), ("f", 1, 3, 7)], "file string, start int, end int, target int")
+    assert rows(lexing.linked(r, s), "run", "target", "link") == [(0, 7, 1), (1, 9, 2)]
+
+
+def test_predicates(spark):
+    from rookery.functions import predicates as P
+
+    one = spark.range(1)
+    row = one.select(*P.peek(F.lit("a/b@c.rs@X::y")), *[c.alias(f"n{k}") for k, c in enumerate(P.peek(F.lit("@x")))], P.ring_of(F.lit("/dep/ring/3")), P.selection(F.lit("/dep/crate/a+b")), P.test_only(F.lit("#[cfg( test )]")), P.test_only(F.lit("#[tested]"))).head()
+    assert tuple(row) == ("a/b@c.rs", "X::y", None, None, 3, ["a", "b"], True, False)
+
+
+def test_woven_rows(spark):
+    from rookery.operators import verdicts
+
+    live = spark.createDataFrame([(1, 0, "id"), (1, 1, "status")], "item long, ord long, name string")
+    gone = spark.createDataFrame([(1, 1, 1, "changed"), (1, 1, 2, "stale")], "item long, seat long, ord long, name string")
+    assert [tuple(r) for r in verdicts.woven(live, gone).head().rows] == [("id", False), ("changed", True), ("stale", True), ("status", False)]
