@@ -20,9 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df``, written once to the shared folder and read back.
 
-    Loops use it in every round: the plan stays short, and a lost executor costs
-    only the running round.
+    Loops use it in every round: the plan stays short, a lost executor costs only
+    the running round, and ``df`` is computed once, where ``checkpoint()`` computes
+    it twice.  The files are removed when the application ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/rookery-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rookery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
+    return spark.read.schema(df.schema).parquet(path)
