@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from rookery.plans.staging import shared_folder, staged
+
+__all__ = ["shared_folder", "staged", "table", "small_batches", "utf8", "crc32_of_id"]
+
 #: Rows that Spark hands to one Python call at once.  Texts can be long, so the
 #: default of 10,000 rows would let a batch grow to gigabytes.
 BATCH_ROWS = 512
@@ -22,30 +23,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        folder = f"{warehouse}/_rookery_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage, so that later jobs neither recompute ``df`` nor depend
-    on any one executor, and it computes ``df`` once, where ``checkpoint()``
-    computes it twice.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rookery-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """A string column's UTF-8 bytes; null gives ``b""``."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -57,9 +34,3 @@ def crc32_of_id(spark_column):
     from pyspark.sql import functions as F
 
     return F.crc32(spark_column.cast("string").cast("binary"))
-
-
-def keep_rows(judge: Callable[[pa.RecordBatch], pa.Array], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each batch for which ``judge`` gives true, with all columns."""
-    for batch in batches:
-        yield batch.filter(judge(batch))
