@@ -68,4 +68,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": urls.ORACLE_SQL,
         "op4_chat_format": chat.ORACLE_SQL,
         "op5_top_k": topk.ORACLE_SQL,
+        "op6_shard": sharding.ORACLE_SQL,
     }

@@ -103,3 +103,19 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
 def bucket(key: Column, crc: Column) -> Column:
     some = lambda c: F.pmod(F.coalesce(c, F.lit(0).cast("long")), F.lit(BUCKETS))
     return F.pmod(some(key) + some(crc), F.lit(BUCKETS))
+
+
+#: The query ``shard(documents, 40)`` in SQL; DuckDB has no crc32, so it is spelt out.
+ORACLE_SQL = """
+with steps as (select list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) t),
+d as (select doc_id, cast(coalesce(octet_length(encode(text)), 0) + 16 as bigint) size, hex(encode(text)) h, octet_length(encode(text)) n from documents),
+c as (select doc_id, size, case when n is not null then xor(list_reduce(range(0, n), lambda c, i: xor(t[cast(xor(c & 255, cast('0x' || substr(h, cast(2 * i + 1 as integer), 2) as bigint)) as integer) + 1], c >> 8), 4294967295), 4294967295) end text_crc32 from d, steps),
+k as (select *, cast(coalesce(doc_id, 0) as hugeint) + case when doc_id < 0 then 18446744073709551616 else 0 end u from c),
+j as (select *, list_transform([40, 41], lambda n: list_reduce(range(0, n), lambda s, x: case when s.j < n then
+  {'k': (s.k * 2862933555777941757 + 1) % 18446744073709551616, 'b': s.j,
+   'j': cast(floor((s.j + 1) * (2147483648.0::double / cast(((s.k * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 as double))) as bigint)} else s end,
+  {'k': cast(u as uhugeint), 'b': -1::bigint, 'j': 0::bigint}).b) s from k)
+select doc_id, size, text_crc32, 'key' law, cast(s[1] as integer) shard,
+ row_number() over (partition by s[1] order by ((coalesce(doc_id, 0) % 256 + 256) % 256 + coalesce(text_crc32, 0) % 256) % 256, doc_id nulls first, size, text_crc32 nulls first) - 1 slot,
+ cast(s[2] as integer) grown_shard from j
+"""
