@@ -151,8 +151,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met_nodes = buckets.select("node").distinct().join(classes.select("node", "cls"), "node")
     met_nodes = staged(met_nodes, "met")
     wanted = rows.join(small(met_nodes.withColumnRenamed("node", "id"), met_nodes.count()), "id")
-    # rows of one text give one set: a table of a class's sets has no repeated rows
-    wanted = wanted.groupBy("id", "cls").agg(F.min("text").alias("text")) if _repeated(signed) else wanted
+    if _repeated(signed):  # an id's other texts have other sets, which are left out below
+        wanted = wanted.select("id", "text", "cls").distinct()
     full = staged(wanted.select("id", "text", "cls").mapInArrow(_sets, "node long, cls binary, sketch binary, shingles binary"), "sets")
 
     # 1: each with the smallest of its buckets

@@ -116,6 +116,9 @@ def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     got = sorted(tuple(r) for r in near_dedup.near_duplicates(df).collect())
     assert got == [(1, 2, 1, True)] * 2 + [(2, 2, 1, False)] + [(3, 2, 3, True)] * 2 + [(4, 2, 3, False)]
     assert sorted(r.doc_id for r in near_dedup.remove_near_duplicates(df).collect()) == [1, 3]
+    long = " ".join(f"w{k}" for k in range(100))
+    df2 = spark.createDataFrame([(8, "another text of this id, first in order"), (8, long), (9, long + " more")], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(df2).collect()} == {8}
     assert near_dedup.near_duplicates(df.limit(0)).isEmpty()
     assert near_dedup.remove_near_duplicates(df.limit(0)).isEmpty()
 
