@@ -22,7 +22,8 @@ checked for its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,14 @@ from pyspark.sql import functions as F
 
 from rookery.llm.common import small_batches, staged, utf8
 from rookery.llm.components import components
-from rookery.llm.shingles import BUNDLES, Words64, bundles, common, minhashes, name_of, shingles
+from rookery.llm.shingles import BUNDLES, ROWS, Words64, bundles, common, minhashes, name_of, shingles
 
-#: Linked if 100 * intersection >= SIMILAR * union.
+#: Linked if 100 * intersection >= SIMILAR * union, unless another share is asked for.
 SIMILAR = 85
 #: Classes of a block, and members that are compared with a bucket's smallest class in one task.
 BLOCK, MEMBERS = 256, 512
-#: Equal minhashes (of 72) from which full sets are compared; at the link's similarity, fewer come up about once in 10**6 pairs.
-ESTIMATE = 44
+#: Pairs just similar enough that the estimate from minhashes may reject.
+MISSED = 1e-6
 #: Rows up to which ids are sent to every executor; beyond, rows are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -70,23 +71,42 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(same, pa.bool_()))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = common(a, b)
-    return 100 * both >= SIMILAR * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _star(group: pa.Table) -> pa.Table:
+def fewest_equal(percent: int) -> int:
+    """Equal minhashes from which full sets are compared: of pairs at the link's similarity, at most ``MISSED`` have fewer."""
+    n, p, below = 2 * BUNDLES * ROWS, percent / 100, 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _star(percent: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: star_links(group, percent)
+
+
+def _blocks(percent: int) -> Callable[[pa.Table], pa.Table]:
+    fewest = fewest_equal(percent)
+    return lambda group: block_links(group, percent, fewest)
+
+
+def star_links(group: pa.Table, percent: int) -> pa.Table:
     """Links of a bucket's smallest class (side 0) with its members (side 1)."""
     sides, nodes, shingle_sets = (group.column(c).to_pylist() for c in ("side", "node", "shingles"))
     sets = [np.frombuffer(s, np.uint64) for s in shingle_sets]
     heads = [k for k, s in enumerate(sides) if s == 0]
-    links = {(nodes[h], nodes[k]) for k, s in enumerate(sides) if s == 1 for h in heads if similar(sets[h], sets[k])}
+    links = {(nodes[h], nodes[k]) for k, s in enumerate(sides) if s == 1 for h in heads if similar(sets[h], sets[k], percent)}
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _blocks(group: pa.Table) -> pa.Table:
+def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
     """Links between components among the classes of two blocks, as many as join them."""
     nodes, labels, blocks, sketches, shingle_sets = (group.column(c).to_pylist() for c in ("node", "label", "block", "sketch", "shingles"))
     sketch = np.stack([np.frombuffer(s, np.uint32) for s in sketches])
@@ -105,14 +125,14 @@ def _blocks(group: pa.Table) -> pa.Table:
     out = []
     for k in range(len(nodes)):
         others = np.arange(k + 1, len(nodes))
-        may = (label[others] != label[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= SIMILAR * np.maximum(sizes[others], sizes[k]))
+        may = (label[others] != label[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))
         if two:
             may &= block[others] != block[k]
         others = others[may]
-        others = others[(sketch[others] == sketch[k]).sum(axis=1) >= ESTIMATE]
+        others = others[(sketch[others] == sketch[k]).sum(axis=1) >= fewest]
         for j in others.tolist():
             a, b = root(labels[k]), root(labels[j])
-            if a != b and similar(sets[k], sets[j]):
+            if a != b and similar(sets[k], sets[j], percent):
                 parent[max(a, b)] = min(a, b)
                 out.append((nodes[k], nodes[j]))
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -123,9 +143,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept (whether the id is its component's smallest).
 
+    Texts are linked whose sets have ``percent`` hundredths of their union in common.
+
     A text's set is its distinct five-word shingles; of fewer words, all of them
     as one; null or without words, it is empty and linked with nothing.  Rows
     that share an id count as one document with several texts.  A row with a null
@@ -161,7 +183,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = pairs.join(sized, "head").select("head", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "node")
     first = sized.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("head").alias("node"))
     stars = members.unionByName(first).join(full.select("node", "shingles"), "node")
-    links = staged(stars.groupBy("head", "part").applyInArrow(_star, "a long, b long"), "links")
+    links = staged(stars.groupBy("head", "part").applyInArrow(_star(percent), "a long, b long"), "links")
 
     # documents of several texts
     texts = signed.where("n > 0 and id is not null").select("id", "cls").distinct().join(classes.select("cls", "node"), "cls")
@@ -175,7 +197,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = staged(labelled.join(several, "table_key").select("head", "node", "label").distinct(), "rest")
     clouds = components(rest.select(F.col("head").alias("a"), F.col("node").alias("b")))
     spread = staged(_dealt(rest.select("node", "label").distinct().join(clouds.withColumnRenamed("label", "cloud"), "node")), "blocks")
-    compared = spread.join(full.select("node", "sketch", "shingles"), "node").groupBy("cloud", "low", "high").applyInArrow(_blocks, "a long, b long")
+    compared = spread.join(full.select("node", "sketch", "shingles"), "node").groupBy("cloud", "low", "high").applyInArrow(_blocks(percent), "a long, b long")
     final = components(staged(links.unionByName(compared), "all-links"))
 
     out = signed.join(classes.select("cls", "node"), "cls", "left").join(final, "node", "left")
@@ -208,13 +230,13 @@ def _repeated(signed: DataFrame) -> bool:
     return bool(signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
 
 
-def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR) -> DataFrame:
     """``docs`` with one row of each component, all columns kept as they are.
 
     Of rows that share the kept id one stays: which, if they differ, is the
     first in Spark's order of partial aggregates.  Rows with a null id all stay.
     """
-    judged = staged(near_duplicates(docs, id_col=id_col, text_col=text_col), "judged")
+    judged = staged(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "judged")
     gone = judged.where(~F.col("kept")).select(id_col).distinct()
     out = docs.join(small(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
     if _repeated(judged.select(F.col(id_col).alias("id"))):

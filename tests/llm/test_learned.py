@@ -63,7 +63,7 @@ def test_toxic_rows_go_and_columns_stay(spark, corpus):
     assert left <= 4 and kept.count() >= docs.count() - 90
 
 
-def brute(rows):
+def brute(rows, percent=near_dedup.SIMILAR):
     sets = [shingles((t or "").encode(), Words64()) for _, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
 
@@ -76,7 +76,7 @@ def brute(rows):
         for b in range(a):
             if rows[a][0] is None or rows[b][0] is None:
                 continue
-            if near_dedup.similar(sets[a], sets[b]) and len(sets[a]) and len(sets[b]):
+            if near_dedup.similar(sets[a], sets[b], percent) and len(sets[a]) and len(sets[b]):
                 x, y = root(rows[a][0]), root(rows[b][0])
                 parent[max(x, y)] = min(x, y)
     return [(i, len(s), root(i) if i is not None else None, i is None or root(i) == i) for (i, _), s in zip(rows, sets, strict=True)]
@@ -120,6 +120,11 @@ def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     df2 = spark.createDataFrame([(8, "another text of this id, first in order"), (8, long), (9, long + " more")], "doc_id long, text string")
     assert {r.component_id for r in near_dedup.near_duplicates(df2).collect()} == {8}
     assert near_dedup.near_duplicates(df.limit(0)).isEmpty()
+    near = " ".join("x" if k == 50 else f"w{k}" for k in range(100))  # 91 of 101 shingles in common
+    apart = " ".join("x" if k in (30, 70) else f"w{k}" for k in range(100))  # 86 of 106 with the first
+    df3 = spark.createDataFrame([(1, long), (2, near), (3, apart)], "doc_id long, text string")
+    at = lambda percent: [r.component_id for r in near_dedup.near_duplicates(df3, percent=percent).orderBy("doc_id").collect()]
+    assert (at(95), at(85), at(80)) == ([1, 2, 3], [1, 1, 3], [1, 1, 1])
     assert near_dedup.remove_near_duplicates(df.limit(0)).isEmpty()
 
 
@@ -159,7 +164,7 @@ def test_pipeline_stages_in_turn(spark, data):
         after = {r.doc_id: r.text for r in docs.collect()}
         assert docs.columns == columns and set(after) <= set(before), name
         if name == "near_dedup":
-            want = {i for i, _, _, kept in brute(sorted(before.items())) if kept}
+            want = {i for i, _, _, kept in brute(sorted(before.items()), corpus_pipeline.NEAR) if kept}
             assert set(after) == want
         elif name == "secrets":
             assert set(after) == set(before)
