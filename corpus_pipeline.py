@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from rookery.llm import decontaminate, near_dedup, pieces, secrets, toxicity
 from rookery.llm.common import staged, table
 
+#: Hundredths of their shingles that near copies share; the operator's own query is fixed at 85.
+NEAR = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents above their language's threshold go."""
@@ -14,8 +17,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_dedup.remove_near_duplicates(docs)
+    """One document of each group of near copies stays: texts are linked from a similarity of 0.8."""
+    return near_dedup.remove_near_duplicates(docs, percent=NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
