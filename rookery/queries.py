@@ -416,7 +416,7 @@ union all select n.path, n.kind, n.name, case when g.path is null then 'added' e
 union all select g.path, g.kind, g.name, 'removed', null from g left join n on n.kind = g.kind and n.name = g.name and n.k = g.k where n.k is null"""
 )
 def q_edition_match(s: SparkSession, d: str) -> DataFrame:
-    o = _table(s, d, "orders").where("o_orderkey < 3000")
+    o = _table(s, d, "orders")
     row = lambda path, text: [path.cast("string").alias("path"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 40).cast("string").alias("name"), text.alias("text"), F.col("o_orderkey").alias("place")]
     base = o.where("o_orderkey % 7 <> 0").select(*row(F.col("o_custkey") % 50, F.col("o_orderstatus")))
     moved = F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)
