@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_HOP = """
+
+def _hop(where: str) -> str:
+    return f"""
 select src, dst, kind, cast(count(*) as bigint) w, min(l_shipdate) first_ts, max(l_shipdate) last_ts, max(l_discount) req,
  max(case when l_shipdate < timestamp '1999-01-01 00:00:00' then l_discount end) base_req,
  max(case when l_shipdate >= timestamp '1998-01-01 00:00:00' then l_discount end) live_req
@@ -16,18 +18,27 @@ from (select l_partkey dst,
  lag(l_partkey) over (partition by l_suppkey, l_returnflag order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity,
   l_extendedprice, l_discount, l_tax, l_linestatus) src,
  case l_returnflag when 'N' then 'normal' when 'A' then 'dev' else 'build' end kind, l_shipdate, l_discount
- from lineitem where l_quantity <= 3 and l_partkey % 10 <> 9) t
+ from lineitem{where}) t
 where src is not null group by src, dst, kind
 """
 
+
 RELATIONS: dict[str, str] = {
     # dependency links with their dates and requirements, and two editions of them
-    "hop": _HOP,
+    "hop": _hop(" where l_quantity <= 3 and l_partkey % 10 <> 9"),
+    # the same from all of lineitem; queries with SQL are still on the part above
+    "whole_hop": _hop(""),
     # weighted directed part graph, with isolated two-node cycles
     "fx_edge": """
 select src, dst, kind, w from hop
 union all select p_partkey, p_partkey + 10, 'normal', 1 from part where p_partkey % 20 = 9 and p_partkey + 10 in (select p_partkey from part)
 union all select p_partkey + 10, p_partkey, 'normal', 1 from part where p_partkey % 20 = 9 and p_partkey + 10 in (select p_partkey from part)
+""",
+    # all links, with two-node cycles on ids of their own
+    "whole_edge": """
+select src, dst, kind, w from whole_hop
+union all select p_partkey + (select max(p_partkey) from part), p_partkey + 10 + (select max(p_partkey) from part), 'normal', 1 from part where p_partkey % 20 = 9
+union all select p_partkey + 10 + (select max(p_partkey) from part), p_partkey + (select max(p_partkey) from part), 'normal', 1 from part where p_partkey % 20 = 9
 """,
     # declarations: nodes with kind, visibility and module
     "fx_item": """
@@ -46,7 +57,7 @@ from lineitem group by l_suppkey, l_partkey
 """,
 }
 #: What each relation is made from.
-NEEDS = {"hop": (), "fx_edge": ("hop",), "fx_item": (), "fx_row": ()}
+NEEDS = {"hop": (), "whole_hop": (), "fx_edge": ("hop",), "whole_edge": ("whole_hop",), "fx_item": (), "fx_row": ()}
 
 
 def with_relations(*names: str) -> str:

@@ -245,7 +245,10 @@ def q_upstream(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_way_in_reach(s: SparkSession, d: str) -> DataFrame:
-    return calls.way_in_reach(_edges(s, d), _ids(_items(s, d), "vis in ('pub', 'pub(crate)', 'pub(super)')"))
+    edges, items = relation(s, d, "whole_edge"), _items(s, d)
+    # the two-node cycles are no items
+    others = edges.select(F.col("src").alias("node")).distinct().join(_ids(items, "true"), "node", "left_anti")
+    return calls.way_in_reach(edges, _ids(items, "vis in ('pub', 'pub(crate)', 'pub(super)')").unionByName(others))
 
 
 @query(
