@@ -117,6 +117,12 @@ def _ring_heads(e: DataFrame, left: DataFrame) -> DataFrame:
     """The smallest leftover of each weakly connected part of the leftovers."""
     left = staged(left, "left")
     inside = e.join(left.select(F.col("node").alias("src")), "src").join(left.select(F.col("node").alias("dst")), "dst").select("src", "dst")
+    return components(inside, left).select(F.col("label").alias("node")).distinct()
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of each weakly connected part; ``nodes`` has both ends of all edges."""
+    inside, left = edges.select("src", "dst"), nodes.select("node")
     both = staged(inside.unionByName(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "left-edges")
     label = staged(left.select("node", F.col("node").alias("label")), "labels")
     while True:
@@ -125,7 +131,7 @@ def _ring_heads(e: DataFrame, left: DataFrame) -> DataFrame:
         changed = not new.where("new <> label").isEmpty()
         label = new.select("node", F.col("new").alias("label"))
         if not changed:
-            return label.select(F.col("label").alias("node")).distinct()
+            return label
 
 
 def _walk(e: DataFrame, seeds: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.operators.graph import closure
+from rookery.operators.graph import closure, components
+from rookery.plans.staging import staged
 
 #: Fixed value: more holders than this make a type vocabulary.
 HELD_CAP = 3
@@ -28,7 +29,7 @@ def holders(holds: DataFrame) -> DataFrame:
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy nesting in one frame: nodes in order of id take the heaviest candidate that closes no ring."""
+    """Greedy nesting in one group of tied nodes: nodes in order of id take the heaviest candidate that closes no ring."""
     nest: dict[int, int] = {}
     rows = []
     for node, mine in pdf.sort_values(["node", "weight", "parent"], ascending=[True, False, True]).groupby("node", sort=True):
@@ -49,10 +50,10 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 def nesting_forest(holds: DataFrame, items: DataFrame) -> DataFrame:
     """(node, parent, ringed) for items that some item of their frame plainly owns.
 
-    Statics and vocabulary neither nest; vocabulary doesn't contain.  The choice
-    depends on earlier ones, so a frame is one group; candidates never leave a
-    frame, which makes frames independent, and only (node, parent, weight) rows
-    are sent.  A frame is a module of one program, and bounds the group.
+    Statics and vocabulary neither nest; vocabulary doesn't contain.  Nodes that
+    can't be on a ring of candidates take their heaviest one, by an aggregate.  For
+    the others the choice depends on earlier ones, so those that candidates tie
+    together are one group, as (node, parent, weight) rows.
     """
     it = items.select(F.col("id").alias("node"), "kind", "frame")
     vocab = holders(holds).where(F.col("held_by") > HELD_CAP).select("node")
@@ -60,8 +61,29 @@ def nesting_forest(holds: DataFrame, items: DataFrame) -> DataFrame:
     owns = holds.where("kind = 'owns' and src <> dst").groupBy("src", "dst").agg(F.sum("fields").alias("weight"))
     child = may.where("kind <> 'static'").select(F.col("node").alias("dst"), "frame")
     parent = may.where(F.col("kind").isin("struct", "enum", "union", "static")).select(F.col("node").alias("src"), F.col("frame").alias("parent_frame"))
-    pairs = owns.join(child, "dst").join(parent, "src").where("frame = parent_frame").select("frame", F.col("dst").alias("node"), F.col("src").alias("parent"), "weight")
-    return pairs.groupBy("frame").applyInPandas(_forest, "node long, parent long, ringed boolean")
+    pairs = owns.join(child, "dst").join(parent, "src").where("frame = parent_frame").select(F.col("dst").cast("long").alias("node"), F.col("src").cast("long").alias("parent"), "weight")
+    pairs = staged(pairs, "nest")
+    tied = _tied(pairs)
+    nodes = tied.select("node").distinct()
+    first = pairs.join(nodes, "node", "left_anti").groupBy("node").agg(F.min_by("parent", F.struct(-F.col("weight"), "parent")).alias("parent"))
+    free = first.select("node", "parent", F.lit(False).alias("ringed"))
+    if tied.isEmpty():
+        return free
+    label = components(tied.select(F.col("node").alias("src"), F.col("parent").alias("dst")), nodes)
+    return free.unionByName(pairs.join(label, "node").groupBy("label").applyInPandas(_forest, "node long, parent long, ringed boolean"))
+
+
+def _tied(pairs: DataFrame) -> DataFrame:
+    """(node, parent) of candidates on rings or between rings: in rounds, those go whose node holds none or whose parent is held by none."""
+    tied = pairs.select("node", "parent")
+    n = tied.count()
+    while n:
+        holding, held = tied.select(F.col("parent").alias("node")), tied.select(F.col("node").alias("parent"))
+        tied = staged(tied.join(holding, "node", "left_semi").join(held, "parent", "left_semi"), "tied")
+        before, n = n, tied.count()
+        if n == before:
+            break
+    return tied
 
 
 def data_tiers(holds: DataFrame, items: DataFrame) -> DataFrame:
