@@ -132,10 +132,15 @@ def nearest_prefix(gone: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def search(items: DataFrame, query: str, *, limit: int, weight: str) -> DataFrame:
-    """The first ``limit`` names that hold ``query``, whatever their case: prefixes first, then by weight, name and id."""
+    """The first ``limit`` names that hold ``query``, whatever their case: prefixes first, then members, then by weight, name and id.
+
+    Ghosts are never found; ``items`` may leave out ``ghost`` and ``is_member`` where there are none.
+    """
     hit = items.where(F.contains(F.lower("name"), F.lit(query.lower())))
-    order = [F.when(F.startswith(F.lower("name"), F.lit(query.lower())), 0).otherwise(1).alias("far"), F.desc(weight), F.asc("name"), F.asc("id")]
-    return hit.withColumn("far", order[0]).orderBy("far", *order[1:]).limit(limit).drop("far")
+    if "ghost" in items.columns:
+        hit = hit.where(~F.coalesce("ghost", F.lit(False)))
+    member = [F.desc(F.coalesce("is_member", F.lit(False)))] if "is_member" in items.columns else []
+    return hit.orderBy(~F.startswith(F.lower("name"), F.lit(query.lower())), *member, F.desc(weight), "name", "id").limit(limit)
 
 
 def ring_roster(rings: DataFrame, rollup: DataFrame, ring: int, rows: int) -> DataFrame:

@@ -86,12 +86,19 @@ def _tied(pairs: DataFrame) -> DataFrame:
     return tied
 
 
-def data_tiers(holds: DataFrame, items: DataFrame) -> DataFrame:
-    """(node, tier, parent): root, nested, or standing as vocabulary, shared, ring or afar."""
+def data_tiers(holds: DataFrame, items: DataFrame, holders_off: DataFrame | None = None) -> DataFrame:
+    """(node, tier, parent): root, nested, or standing as vocabulary, shared, ring, afar or narrower.
+
+    ``holders_off`` has the holds (src, dst, kind) by declarations that the reading leaves
+    off; an item with no other owning or sharing holder is narrower, not a root.
+    """
     out = items.select(F.col("id").alias("node"), "kind").join(nesting_forest(holds, items), "node", "left").join(holders(holds), "node", "left")
-    held = F.coalesce("held_by", F.lit(0))
+    held, off = F.coalesce("held_by", F.lit(0)), F.lit(False)
+    if holders_off is not None:
+        out = out.join(holders(holders_off).select("node", F.lit(True).alias("off")), "node", "left")
+        off = F.coalesce("off", F.lit(False))
     tier = (
-        F.when(F.col("kind") == "static", "root").when(F.col("parent").isNotNull(), "nested").when(held == 0, "root")
+        F.when(F.col("kind") == "static", "root").when(F.col("parent").isNotNull(), "nested").when((held == 0) & off, "narrower").when(held == 0, "root")
         .when(held > HELD_CAP, "vocab").when(F.col("shared"), "shared").when(F.col("ringed"), "ring").otherwise("afar")
     )
     return out.select("node", tier.alias("tier"), "parent")

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 import pytest
 
-from rookery.operators import ownership
+from rookery.operators import dependency, ownership
 
 
 def _greedy(holds, frame):
@@ -54,3 +54,18 @@ def test_rings_are_the_greedy_walk(spark, seed):
     want = _greedy(holds, frame)
     assert any(ringed for _, ringed in want.values())
     assert {x.node: (x.parent, x.ringed) for x in _forest(spark, holds, frame).collect()} == want
+
+
+def test_items_held_only_off_the_reading_are_narrower(spark):
+    holds = lambda *of: spark.createDataFrame([(a, b, k, 1) for a, b, k in of], "src long, dst long, kind string, fields long")
+    items = spark.createDataFrame([(n, "static" if n == 5 else "struct", "m") for n in range(1, 6)], "id long, kind string, frame string")
+    off = holds((9, 1, "owns"), (9, 2, "owns"), (9, 3, "borrows"), (9, 4, "shares"), (9, 5, "owns"))
+    got = ownership.data_tiers(holds((1, 2, "owns")), items, off)
+    assert {r.node: r.tier for r in got.collect()} == {1: "narrower", 2: "nested", 3: "root", 4: "narrower", 5: "root"}
+
+
+def test_search_leaves_out_ghosts_and_puts_members_first(spark):
+    of = [(1, "alpha", 5, False, False), (2, "alto", 1, True, False), (3, "alum", 9, True, True), (4, "royal", 99, True, False), (5, "zeta", 7, True, False)]
+    items = spark.createDataFrame(of, "id long, name string, fan_in long, is_member boolean, ghost boolean")
+    assert [r.id for r in dependency.search(items, "AL", limit=9, weight="fan_in").collect()] == [2, 1, 4]
+    assert [r.id for r in dependency.search(items.drop("ghost", "is_member"), "al", limit=2, weight="fan_in").collect()] == [3, 1]
