@@ -29,4 +29,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     files.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(files)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; frames that were not staged are left alone."""
+    for df in tables:
+        if path := getattr(df, "staged_at", None):
+            spark = df.sparkSession
+            files = spark._jvm.org.apache.hadoop.fs.Path(path)
+            system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+            system.delete(files, True)
+            system.cancelDeleteOnExit(files)
