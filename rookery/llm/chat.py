@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.llm.common import small_batches
+from rookery.llm.common import slices
 
 OPEN, CLOSE = "<turn ", "</turn>\n"
 #: The role whose texts are under the loss mask.
@@ -53,12 +53,15 @@ def events_of_rows(conversations: DataFrame) -> DataFrame:
     """A table of finished messages (conv_id, turn, role, text) as a log: one ``message`` event each.
 
     Every row is a message of its own; rows of one turn follow one another by
-    role, then by the text's hash, and equal rows are counted apart.
+    role, then by text, nulls first, and equal rows are messages each.  Rows are
+    sorted in ranges, so that neither a conversation, a turn nor a repeated row
+    has to fit in one task.
     """
-    row = conversations.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
-    same = Window.partitionBy("conv_id", "turn", "role", "h").orderBy("text")
+    row = conversations.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("source"))
+    order = ["conv_id", "turn", "role", "text", "source"]
+    row = row.repartitionByRange(*order).sortWithinPartitions(*order)
     return row.select(
-        "conv_id", "turn", F.struct("role", "h", F.row_number().over(same).alias("copy")).alias("part"),
+        "conv_id", "turn", F.struct("role", F.monotonically_increasing_id().alias("place")).alias("part"),
         F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text",
     )
 
@@ -152,7 +155,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.clear()
         return pa.RecordBatch.from_arrays(columns, names=["conv_id", *(n for n, _ in _DIGEST)])
 
-    for batch in batches:
+    for batch in slices(batches):
         kind = batch.schema.field(0).type
         for conv, piece, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if digest is None or conv != now:
@@ -168,8 +171,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """Counts and digests of every conversation, read back from its rendered pieces."""
-    small_batches(pieces.sparkSession)
+    """Counts and digests of every conversation, read back from its rendered pieces.
+
+    Rows with a null ``conv_id`` are one conversation.  Without pieces there are
+    no rows; a conversation without learned texts has the digest of no bytes.
+    """
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "part").select("conv_id", "piece", "loss_start", "loss_end")
     kind = pieces.schema["conv_id"].dataType.simpleString()
     return ordered.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

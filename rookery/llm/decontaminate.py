@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import small_batches, utf8
+from rookery.llm.common import slices, utf8
 
 #: Window length in words.
 WINDOW = 13
@@ -59,13 +59,21 @@ class Patterns:
         self.window = window
         self.vocab: dict[bytes, int] = {}
         number = self.vocab.setdefault
-        found: dict[tuple[int, ...], list[tuple[str | None, int]]] = {}
+        found: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.items: list[str | None] = []
         for item_id, text in items:
             ids = [number(w, len(self.vocab) + 1) for w in words_of(text)]
             n = min(window, len(ids))
             for start in range(len(ids) - n + 1 if n else 0):
-                found.setdefault(tuple(ids[start : start + n]), []).append((item_id, start))
-        self.places = list(found.values())
+                found.setdefault(tuple(ids[start : start + n]), []).append((len(self.items), start))
+            self.items.append(item_id)
+        #: The distinct items of each window, as they are named in results.
+        self.items_of = [frozenset(self.items[k] for k, _ in places if self.items[k] is not None) for places in found.values()]
+        #: Every place of a window in the benchmark, by item and start.
+        which = np.repeat(np.arange(len(found)), [len(p) for p in found.values()])
+        place = np.array([x for p in found.values() for x in p], np.int64).reshape(-1, 2)
+        order = np.lexsort((place[:, 1], place[:, 0]))
+        self.place_window, self.place_item, self.place_start = which[order], place[order, 0], place[order, 1]
         self.lengths = np.array([len(w) for w in found], np.int64)
         self.keys = -(-window // 3)
         padded = np.zeros((len(found), 3 * self.keys), np.int64)
@@ -143,35 +151,86 @@ class SuffixArray:
         return which[there], lo[there], hi[there]
 
 
-def longest(starts: np.ndarray, windows: np.ndarray, patterns: Patterns) -> list[tuple[int, int, str | None, int]]:
-    """Maximal verbatim matches (start, words, item, start in item) along a document.
-
-    ``starts`` are sorted places of occurring windows.  A match goes on while the
-    next place's window is the next one of the same item; of several items that
-    are left at its end, the first is named.
-    """
-    out: list[tuple[int, int, str | None, int]] = []
-    begin, live, last, length = 0, {}, -2, 0
-    for p, w in zip(starts.tolist(), windows.tolist(), strict=True):
-        places = patterns.places[w]
-        if live and p == last + 1:
-            on = {(item, at): since for item, at in places if (since := live.get((item, at - 1))) is not None}
-            if on:
-                live, last, length = on, p, p - begin + int(patterns.lengths[w])
-                continue
-        if live:
-            (item, at), since = next(iter(live.items()))
-            out.append((begin, length, item, since))
-        begin, last, length = p, p, int(patterns.lengths[w])
-        live = {(item, at): at for item, at in places}
-    if live:
-        (item, at), since = next(iter(live.items()))
-        out.append((begin, length, item, since))
+def suffix_ranks(values: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of the suffixes of ``values`` by their first 1, 2, 4 ... values, up to ``longest``; 0 is beyond the end."""
+    ranks = [np.unique(values, return_inverse=True)[1].astype(np.int64) + 1]
+    while 1 << (len(ranks) - 1) < longest:
+        r, step = ranks[-1], 1 << (len(ranks) - 1)
+        after = np.append(r[step:], np.zeros(min(step, len(r)), np.int64))
+        ranks.append(np.unique(r * (len(r) + 1) + after, return_inverse=True)[1] + 1)
+    return ranks
+
+
+def common_prefix(ranks: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the suffixes at ``a`` and ``b`` share, for many pairs at once."""
+    n, a, b = len(ranks[0]), a.copy(), b.copy()
+    out = np.zeros(len(a), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            inside = (a < n) & (b < n)
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            out[same] += 1 << k
+            a[same] += 1 << k
+            b[same] += 1 << k
     return out
 
 
-def match_shard(docs: list[np.ndarray], patterns: Patterns) -> list[tuple[np.ndarray, set, list]]:
-    """For each document of a shard: places of hit words, items, maximal matches."""
+def longest(starts: np.ndarray, windows: np.ndarray, patterns: Patterns) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted places of occurring windows of full length: the longest verbatim match from there on, in words, and a place in the benchmark where it is.
+
+    Windows that follow one another, in the shard and in the items, are two
+    sequences.  Their suffixes are sorted together; the benchmark's suffix that
+    shares most with a shard's is the nearest one before or after it.
+    """
+    there = np.isin(patterns.place_window, windows)
+    at = np.flatnonzero(there)
+    breaks = (np.diff(patterns.place_item[at]) != 0) | (np.diff(patterns.place_start[at]) != 1)
+    gaps = np.diff(starts) != 1
+    n_bench = len(at) + int(breaks.sum()) + 1  # with a separator of its own after each run
+    bench_at = np.arange(len(at)) + np.append(0, np.cumsum(breaks))
+    shard_at = n_bench + np.arange(len(starts)) + np.append(0, np.cumsum(gaps))
+    values = -1 - np.arange(shard_at[-1] + 1)
+    values[bench_at], values[shard_at] = patterns.place_window[at], windows
+    runs = np.diff(np.flatnonzero(np.append(np.append(-1, values) < 0, True)))
+    ranks = suffix_ranks(values, int(runs.max()))
+    order = np.lexsort((np.arange(len(values)), ranks[-1]))
+    of_bench = np.full(len(values), -1)
+    of_bench[bench_at] = np.arange(len(at))
+    sorted_bench, where = of_bench[order], np.empty(len(values), np.int64)
+    where[order] = np.arange(len(values))
+    known = sorted_bench >= 0
+    before = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))[where[shard_at]]
+    after = np.minimum.accumulate(np.where(known, np.arange(len(values)), len(values))[::-1])[::-1][where[shard_at]]
+    length, place = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+    for near, ok in ((before, before >= 0), (after, after < len(values))):
+        other = sorted_bench[np.where(ok, near, 0)]
+        share = np.where(ok, common_prefix(ranks, shard_at, bench_at[np.maximum(other, 0)]), 0)
+        better = share > length
+        length[better], place[better] = share[better], other[better]
+    return length + patterns.window - 1, at[place]
+
+
+def spans_of(starts: np.ndarray, windows: np.ndarray, patterns: Patterns) -> list[tuple[int, int, str | None, int]]:
+    """Verbatim matches (start, words, item, start in item) of sorted places that lie within no match that starts before.
+
+    Of several places of a match in the benchmark, one is named.
+    """
+    out: list[tuple[int, int, str | None, int]] = []
+    full = patterns.lengths[windows] == patterns.window
+    if full.any():
+        at, (length, place) = starts[full], longest(starts[full], windows[full], patterns)
+        end = at + length
+        new = np.append(True, end[1:] > np.maximum.accumulate(end)[:-1])
+        for p, n, q in zip(at[new].tolist(), length[new].tolist(), place[new].tolist(), strict=True):
+            out.append((p, n, patterns.items[patterns.place_item[q]], int(patterns.place_start[q])))
+    first = dict(zip(patterns.place_window[::-1].tolist(), range(len(patterns.place_window) - 1, -1, -1), strict=True)) if not full.all() else {}
+    for p, w in zip(starts[~full].tolist(), windows[~full].tolist(), strict=True):  # short items are windows of their own
+        out.append((p, int(patterns.lengths[w]), patterns.items[patterns.place_item[first[w]]], 0))
+    return sorted(out, key=lambda s: s[:2])
+
+
+def match_shard(docs: list[np.ndarray], patterns: Patterns, spans: bool) -> list[tuple[np.ndarray, set, list]]:
+    """For each document of a shard: places of hit words, items and, if asked for, its matches."""
     begins = np.cumsum([0] + [len(d) + 1 for d in docs])
     ids = np.zeros(begins[-1], np.int64)
     for b, d in zip(begins, docs, strict=False):
@@ -191,23 +250,23 @@ def match_shard(docs: list[np.ndarray], patterns: Patterns) -> list[tuple[np.nda
     windows, places = windows[order], places[order]
     of = np.searchsorted(begins, places, "right") - 1
     cuts = np.flatnonzero(np.diff(of)) + 1
-    for d, w, p in zip(of[np.append(0, cuts)].tolist(), np.split(windows, cuts), np.split(places, cuts), strict=True):
-        items = {item for k in np.unique(w).tolist() for item, _ in patterns.places[k] if item is not None}
-        spans: list = []
-        for n in np.unique(patterns.lengths[w]).tolist():  # short items are windows of their own
-            of_n = patterns.lengths[w] == n
-            spans += longest(p[of_n] - begins[d], w[of_n], patterns)
-        out[d] = (np.flatnonzero(hit[begins[d] : begins[d + 1]]).astype(np.int32), items, sorted(spans, key=lambda s: s[:2]))
+    found = spans_of(places, windows, patterns) if spans else []
+    span_of = np.searchsorted(begins, [x[0] for x in found], "right") - 1 if found else []
+    for d, w in zip(of[np.append(0, cuts)].tolist(), np.split(windows, cuts), strict=True):
+        items = set().union(*(patterns.items_of[k] for k in np.unique(w).tolist()))
+        out[d] = (np.flatnonzero(hit[begins[d] : begins[d + 1]]).astype(np.int32), items, [])
+    for d, (p, n, item, at) in zip(span_of, found, strict=True):
+        out[d][2].append((p - int(begins[d]), n, item, at))
     return out
 
 
-def found_in(texts: list[bytes], patterns: Patterns) -> list[tuple[int, np.ndarray, set, list]]:
+def found_in(texts: list[bytes], patterns: Patterns, spans: bool) -> list[tuple[int, np.ndarray, set, list]]:
     """``match_shard`` over a batch, in shards of at most ``SHARD_WORDS`` words (or one document)."""
     out: list[tuple[int, np.ndarray, set, list]] = []
     shard: list[np.ndarray] = []
 
     def close() -> None:
-        out.extend((len(d), *m) for d, m in zip(shard, match_shard(shard, patterns), strict=True))
+        out.extend((len(d), *m) for d, m in zip(shard, match_shard(shard, patterns, spans), strict=True))
         shard.clear()
 
     size, number = 0, patterns.vocab.get
@@ -245,11 +304,12 @@ def matches(
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window.  Returns one row per row of ``docs`` (repeated
     rows stay): the id, ``n_words``, ``hits`` (places of hit words), ``items``
-    (those with occurring windows) and ``spans`` (maximal verbatim matches).  A
-    null or empty text has no words and no hits; an item with a null id hits but
-    is not listed; with an empty benchmark nothing is hit.
+    (those with occurring windows) and ``spans`` (verbatim matches that lie
+    within no match that starts before: where, how many words, an item and where
+    in it).  A null or empty text has no words and no hits; an item with a null
+    id hits but is not listed; with an empty benchmark nothing is hit.  Texts may
+    be of any length, and may repeat one word: the work is n log n.
     """
-    small_batches(docs.sparkSession)
     # positions, not names: docs may hold columns named like the ones made here
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     for k, block in enumerate(benchmark_blocks(benchmark, item_col, item_text_col)):
@@ -258,23 +318,35 @@ def matches(
     return out.drop("text").withColumnRenamed("id", id_col)
 
 
-def _pass(held, window: int, more: bool):
+_built: dict[tuple[int, int], tuple[list, Patterns]] = {}  # with the block, so that its number stays its own
+
+
+def built(held, window: int) -> Patterns:
+    """A block's patterns, made once in a worker; only the last block's are kept."""
+    key = (id(held.value), window)
+    if key not in _built:
+        _built.clear()
+        _built[key] = held.value, Patterns(held.value, window)
+    return _built[key][1]
+
+
+def _pass(held, window: int, more: bool, spans: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(held.value, window)
-        for batch in batches:
-            found = found_in(utf8(batch.column(1)), patterns)
+        patterns = built(held, window)
+        for batch in slices(batches):
+            found = found_in(utf8(batch.column(1)), patterns, spans)
             hits = [h for _, h, _, _ in found]
             items = [sorted(i) for _, _, i, _ in found]
-            spans = [s for _, _, _, s in found]
+            matched = [s for _, _, _, s in found]
             if more:
                 hits = [np.union1d(h, o).astype(np.int32) for h, o in zip(hits, batch.column(3).to_pylist(), strict=True)]
                 items = [sorted({*i, *o}) for i, o in zip(items, batch.column(4).to_pylist(), strict=True)]
-                spans = [o + s for s, o in zip(spans, batch.column(5).to_pylist(), strict=True)]
+                matched = [o + s for s, o in zip(matched, batch.column(5).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([n for n, *_ in found], pa.int32()),
                     pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
-                    pa.array([[x if isinstance(x, dict) else dict(zip(("doc_start", "n_words", "item_id", "item_start"), x, strict=True)) for x in s] for s in spans], SPAN_TYPE),
+                    pa.array([[x if isinstance(x, dict) else dict(zip(("doc_start", "n_words", "item_id", "item_start"), x, strict=True)) for x in s] for s in matched], SPAN_TYPE),
                 ],
                 names=["id", "text", "n_words", "hits", "items", "spans"],
             )
@@ -283,8 +355,12 @@ def _pass(held, window: int, more: bool):
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and a digest of the items, from ``matches``; contaminated if a twentieth of the words is hit."""
+    """Counts and a digest of the items, from ``matches``; contaminated if a twentieth of the words is hit.
+
+    ``longest_match`` is in words (0 if there is none), ``longest_start`` where the first of that length starts, in words from 0.
+    """
     n_hit = F.size("hits").cast("long")
+    best = F.array_max(F.transform("spans", lambda s: F.struct(s["n_words"].alias("n_words"), (-s["doc_start"]).alias("back"), s["doc_start"].alias("start"))))
     return found.select(
         id_col,
         F.col("n_words").cast("long").alias("n_words"),
@@ -292,7 +368,8 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_words"])), F.lit(0)).alias("longest_match"),
+        F.coalesce(best["n_words"], F.lit(0)).cast("long").alias("longest_match"),
+        best["start"].cast("long").alias("longest_start"),
     )
 
 
@@ -306,14 +383,13 @@ def remove_contaminated(
     the words hit by each block have to be put together first: the row rides
     along as a struct while the passes add to its hits.
     """
-    small_batches(docs.sparkSession)
     blocks = list(_broadcasts(docs, benchmark, item_col, item_text_col))
     if len(blocks) == 1:
         return docs.mapInArrow(_keep(blocks[0], docs.columns.index(text_col), window), docs.schema)
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = row.schema["id"].dataType.simpleString()
     for k, held in enumerate(blocks):
-        row = row.mapInArrow(_pass(held, window, bool(k)), f"id {kind}, text string, {FOUND}")
+        row = row.mapInArrow(_pass(held, window, bool(k), False), f"id {kind}, text string, {FOUND}")
     n_hit = F.size("hits")
     return row.where(~((n_hit > 0) & (HIT_SHARE * n_hit >= F.col("n_words")))).select("id.*")
 
@@ -325,25 +401,28 @@ def _broadcasts(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col:
 
 def _keep(held, at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(held.value, window)
-        for batch in batches:
-            found = found_in(utf8(batch.column(at)), patterns)
+        patterns = built(held, window)
+        for batch in slices(batches, at):
+            found = found_in(utf8(batch.column(at)), patterns, False)
             yield batch.filter(pa.array([not (len(h) and HIT_SHARE * len(h) >= n) for n, h, _, _ in found], pa.bool_()))
 
     return run
 
 
-#: The digest in SQL; ``longest_match`` is not part of it.
+#: The digest in SQL; a match is a run of windows on one diagonal of a document and an item.
 ORACLE_SQL = r"""
-with b as (select item_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
-bw as (select distinct item_id, least(13,len(w)) n, array_to_string(list_slice(w, i, i+least(13,len(w))-1), ' ') g
+with b as (select row_number() over () k, item_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+bw as (select k, item_id, i j, least(13,len(w)) n, array_to_string(list_slice(w, i, i+least(13,len(w))-1), ' ') g
  from b, unnest(range(1, greatest(len(w)-12, 1)+1)) t(i) where len(w) > 0),
 d as (select doc_id, coalesce(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
 dw as (select doc_id, n, i, array_to_string(list_slice(w, i, i+n-1), ' ') g from d, (select distinct n from bw) k, unnest(range(1, len(w)-n+2)) t(i)),
-m as (select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.g = bw.g and dw.n = bw.n),
+m as (select dw.doc_id, dw.i, dw.n, bw.item_id, bw.k, bw.j from dw join bw on dw.g = bw.g and dw.n = bw.n),
 h as (select doc_id, count(distinct p) n_hit from (select distinct doc_id, i, n from m), unnest(range(i, i+n)) t(p) group by doc_id),
-s as (select doc_id, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct doc_id, item_id from m) group by doc_id)
+s as (select doc_id, count(*) n_items, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from (select distinct doc_id, item_id from m) group by doc_id),
+runs as (select doc_id, min(i) i, count(*) - 1 + min(n) n_words from
+ (select doc_id, k, n, i, i - row_number() over (partition by doc_id, k, n, i - j order by i) r, i - j g from m) group by doc_id, k, n, g, r),
+l as (select doc_id, max(n_words) longest_match, arg_min(i, (-n_words, i)) - 1 longest_start from runs group by doc_id)
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
- coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
-from d left join h using (doc_id) left join s using (doc_id)
+ coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated, cast(coalesce(longest_match, 0) as bigint) longest_match, cast(longest_start as bigint) longest_start
+from d left join h using (doc_id) left join s using (doc_id) left join l using (doc_id)
 """

@@ -7,14 +7,15 @@ full shingle sets decide.
 
 Equal sets are one class from the start, so copies cost nothing later.  Only
 bundles that two classes share can meet in a table, so the others are dropped
-before keys are paired.  Then:
+before keys are paired.  A table key that classes share is a bucket.  Then:
 
-1. Every class is compared with the smallest class of each of its tables' buckets.
-   A bucket of n classes makes n - 1 comparisons.  Links give first components.
-2. In buckets that still hold several components, classes of different components
-   may be linked too.  They are compared in blocks of bounded size, inside tasks,
-   where an estimate from all minhashes rejects most pairs; only links that join
-   two components leave a task.
+1. Every class is compared with the smallest class of each of its buckets.  A
+   bucket of n classes makes n - 1 comparisons.  Links give first components.
+2. In a bucket, classes outside the component of its smallest one are compared
+   with the bucket's others of another component.  This is done in blocks of
+   bounded size, inside tasks, where an estimate from all minhashes rejects most
+   pairs, and a pair that shares several buckets counts in the first only.  Only
+   links that join two components leave a task.
 
 No bucket is gathered in one task, nothing is capped, and what is broadcast is
 checked for its size.
@@ -30,23 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import small_batches, staged, utf8
+from rookery.llm.common import discard, join_heavy, slices, small, staged, utf8
 from rookery.llm.components import components
 from rookery.llm.shingles import BUNDLES, ROWS, Words64, bundles, common, minhashes, name_of, shingles
 
 #: Linked if 100 * intersection >= SIMILAR * union, unless another share is asked for.
 SIMILAR = 85
-#: Classes of a block, and members that are compared with a bucket's smallest class in one task.
-BLOCK, MEMBERS = 256, 512
+#: Classes, and shingles of their sets, in a block or compared with a bucket's smallest class in one task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Pairs just similar enough that the estimate from minhashes may reject.
 MISSED = 1e-6
-#: Rows up to which ids are sent to every executor; beyond, rows are shuffled.
-BROADCAST_ROWS = 500_000
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Words64()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t, hashes) for t in utf8(batch.column(1))]
         keys = [bundles(s).view(np.int64) if len(s) else [] for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -60,7 +59,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Words64()
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t, hashes) for t in utf8(batch.column(1))]
         same = [len(s) > 0 and name_of(s) == c for s, c in zip(sets, batch.column(2).to_pylist(), strict=True)]
         sketches = [(minhashes(s) >> np.uint64(32)).astype(np.uint32).tobytes() if ok else b"" for s, ok in zip(sets, same, strict=True)]
@@ -106,14 +105,19 @@ def star_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
+def first_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The first table in which two sketches meet, or -1."""
+    same = (a == b).reshape(2, BUNDLES, ROWS).all(axis=2)
+    return int(same[0].argmax() * BUNDLES + same[1].argmax()) if same.any(axis=1).all() else -1
+
+
 def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
-    """Links between components among the classes of two blocks, as many as join them."""
-    nodes, labels, blocks, sketches, shingle_sets = (group.column(c).to_pylist() for c in ("node", "label", "block", "sketch", "shingles"))
+    """Pairs of components that are linked by classes of two blocks, or of one with itself, as many as join them."""
+    labels, blocks, tables, sketches, shingle_sets = (group.column(c).to_pylist() for c in ("label", "block", "t", "sketch", "shingles"))
     sketch = np.stack([np.frombuffer(s, np.uint32) for s in sketches])
     sets = [np.frombuffer(s, np.uint64) for s in shingle_sets]
-    sizes = np.array([len(s) for s in sets])
-    label, (_, block) = np.array(labels), np.unique(np.array(blocks, object).astype(str), return_inverse=True)
-    two = block.max() > 0
+    sizes, label, block = np.array([len(s) for s in sets]), np.array(labels), np.array(blocks)
+    two = block.max() > block.min()
     parent = {x: x for x in set(labels)}
 
     def root(x: int) -> int:
@@ -123,8 +127,8 @@ def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
         return x
 
     out = []
-    for k in range(len(nodes)):
-        others = np.arange(k + 1, len(nodes))
+    for k in range(len(labels)):
+        others = np.arange(k + 1, len(labels))
         may = (label[others] != label[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))
         if two:
             may &= block[others] != block[k]
@@ -132,15 +136,75 @@ def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
         others = others[(sketch[others] == sketch[k]).sum(axis=1) >= fewest]
         for j in others.tolist():
             a, b = root(labels[k]), root(labels[j])
-            if a != b and similar(sets[k], sets[j], percent):
+            if a != b and first_shared(sketch[k], sketch[j]) == tables[k] and similar(sets[k], sets[j], percent):
                 parent[max(a, b)] = min(a, b)
-                out.append((nodes[k], nodes[j]))
+                out.append((labels[k], labels[j]))
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, to be sent to every executor if it has few enough rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _parts(which=None):
+    """Blocks for the rows that are ``which``, by number and by shingles; a power of two."""
+    one, n = (F.count("*"), F.sum("n")) if which is None else (F.count_if(which), F.sum(F.when(which, F.col("n"))))
+    weight = F.greatest(one / BLOCK, F.coalesce(n, F.lit(0)) / BLOCK_SHINGLES, F.lit(1.0))
+    return F.pow(F.lit(2), F.ceil(F.log2(weight))).cast("int")
+
+
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Of classes (node, n, keys), the members of buckets (table_key, t, node, n, head, size, parts), buckets, and how many members.
+
+    ``t`` is the number of the table, ``head`` the bucket's smallest class, and
+    ``parts`` in how many tasks the members are compared with the head.
+    """
+    single = classes.select("node", "n", F.posexplode("keys").alias("k", "key"))
+    met = single.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    live = join_heavy(single, met, "key", "size", 2 * BUNDLES * classes.count())
+    live = live.groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.struct("k", "key")).alias("keys"))
+    one, two = F.filter("keys", lambda x: x["k"] < BUNDLES), F.filter("keys", lambda x: x["k"] >= BUNDLES)
+    pair = lambda x, y: F.struct((x["k"] * BUNDLES + y["k"] - BUNDLES).alias("t"), F.xxhash64(x["key"], y["key"]).alias("table_key"))
+    tables = F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: pair(x, y))))
+    keyed = staged(live.select("node", "n", F.explode(tables).alias("e")).select("e.table_key", "e.t", "node", "n"), "keys")
+    heads = keyed.groupBy("table_key").agg(F.min("node").alias("head"), F.count("*").alias("size"), _parts().alias("parts"))
+    heads = staged(heads.where("size > 1"), "heads")
+    members = heads.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    buckets = staged(join_heavy(keyed, heads, "table_key", "size", members), "buckets")
+    discard(keyed)
+    return buckets, heads, members
+
+
+def _with_heads(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """1: links of the buckets' members with the smallest of the bucket."""
+    pairs = buckets.where("node <> head").groupBy("head", "node").agg(F.max("parts").alias("parts"))
+    members = pairs.select("head", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "node")
+    first = pairs.select("head", "parts").distinct()
+    first = first.select("head", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("head").alias("node"))
+    sets = members.unionByName(first).join(full.select("node", "shingles"), "node")
+    return sets.groupBy("head", "parts", "part").applyInArrow(_star(percent), "a long, b long")
+
+
+def _with_others(buckets: DataFrame, heads: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """2: links between components, of classes that are apart from the bucket's smallest one, with any other.
+
+    The classes apart (``a`` blocks) meet one another and those with the smallest
+    one (``b`` blocks); these, being of one component, don't meet one another.
+    """
+    own = buckets.select("table_key", "t", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_head = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("table_key", "size", F.coalesce("label", "head").alias("head_label"))
+    own = join_heavy(own, of_head, "table_key", "size", members)
+    own = staged(own.select("table_key", "t", "node", "n", "label", (F.col("label") != F.col("head_label")).alias("apart")), "labelled")
+    sizes = own.groupBy("table_key").agg(F.count("*").alias("size"), F.max("apart").alias("open"), _parts().alias("all"), _parts(F.col("apart")).alias("a"), _parts(~F.col("apart")).alias("b"))
+    own = join_heavy(own, sizes.where("open"), "table_key", "size", members)
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    block = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), dealt("a")).otherwise(F.col("a") + dealt("b"))
+    own = own.withColumn("block", block)
+    with_a = F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: F.struct(F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high")))
+    with_b = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(F.col("block").alias("low"), (F.col("a") + i).alias("high")))
+    alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    met = F.when(F.col("all") == 1, alone).when(F.col("apart"), F.concat(with_a, with_b)).otherwise(with_a)
+    spread = own.select("table_key", "t", "node", "label", "block", F.explode(met).alias("e")).select("table_key", "t", "node", "label", "block", "e.low", "e.high")
+    sets = spread.join(full.select("node", "sketch", "shingles"), "node")
+    found = staged(sets.groupBy("table_key", "low", "high").applyInArrow(_blocks(percent), "a long, b long"), "joined")
+    discard(own)
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR) -> DataFrame:
@@ -151,95 +215,57 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A text's set is its distinct five-word shingles; of fewer words, all of them
     as one; null or without words, it is empty and linked with nothing.  Rows
     that share an id count as one document with several texts.  A row with a null
-    id takes no part: its component is null and it is kept.
+    id takes no part: its component is null and it is kept.  Texts may be of any
+    length; an empty table gives no rows; other columns take no part.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(rows.mapInArrow(_signatures, "id long, n long, cls binary, keys array<long>"), "signatures")
-    classes = staged(signed.where("n > 0 and id is not null").groupBy("cls").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "classes")
-
-    # table keys
-    single = classes.select("node", F.posexplode("keys").alias("k", "key"))
-    met = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = single.join(met, "key").groupBy("node").agg(F.collect_set(F.struct("k", "key")).alias("keys"))
-    one, two = F.filter("keys", lambda x: x["k"] < BUNDLES), F.filter("keys", lambda x: x["k"] >= BUNDLES)
-    tables = F.flatten(F.transform(one, lambda x: F.transform(two, lambda y: F.xxhash64(x["key"], y["key"]))))
-    keyed = staged(live.select("node", F.explode(tables).alias("table_key")), "keys")
-    heads = keyed.groupBy("table_key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("table_key", "head")
-    buckets = staged(keyed.join(heads, "table_key"), "buckets")
+    named = F.coalesce((F.col("n") > 0) & F.col("id").isNotNull(), F.lit(False))
+    n_named, ids, distinct = signed.agg(F.count_if(named), F.count("id"), F.count_distinct("id")).head()
+    classes = staged(signed.where(named).groupBy("cls").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "classes")
+    buckets, heads, members = _buckets(classes)
 
     # full sets of the classes that met
-    met_nodes = buckets.select("node").distinct().join(classes.select("node", "cls"), "node")
-    met_nodes = staged(met_nodes, "met")
-    wanted = rows.join(small(met_nodes.withColumnRenamed("node", "id"), met_nodes.count()), "id")
-    if _repeated(signed):  # an id's other texts have other sets, which are left out below
-        wanted = wanted.select("id", "text", "cls").distinct()
-    full = staged(wanted.select("id", "text", "cls").mapInArrow(_sets, "node long, cls binary, sketch binary, shingles binary"), "sets")
-
-    # 1: each with the smallest of its buckets
-    pairs = buckets.where("node <> head").select("head", "node").distinct()
-    sized = pairs.groupBy("head").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(sized, "head").select("head", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("side"), "node")
-    first = sized.select("head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("head").alias("node"))
-    stars = members.unionByName(first).join(full.select("node", "shingles"), "node")
-    links = staged(stars.groupBy("head", "part").applyInArrow(_star(percent), "a long, b long"), "links")
-
-    # documents of several texts
-    texts = signed.where("n > 0 and id is not null").select("id", "cls").distinct().join(classes.select("cls", "node"), "cls")
-    links = links.unionByName(texts.where("id <> node").join(texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "id").select(F.col("id").alias("a"), F.col("node").alias("b")))
-
-    # 2: between components that still meet
-    labels = components(links)
-    labelled = buckets.join(labels, "node", "left").select("table_key", "head", "node", F.coalesce("label", "node").alias("label"))
-    labelled = staged(labelled, "labelled")
-    several = labelled.groupBy("table_key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("table_key")
-    rest = staged(labelled.join(several, "table_key").select("head", "node", "label").distinct(), "rest")
-    clouds = components(rest.select(F.col("head").alias("a"), F.col("node").alias("b")))
-    spread = staged(_dealt(rest.select("node", "label").distinct().join(clouds.withColumnRenamed("label", "cloud"), "node")), "blocks")
-    compared = spread.join(full.select("node", "sketch", "shingles"), "node").groupBy("cloud", "low", "high").applyInArrow(_blocks(percent), "a long, b long")
-    final = components(staged(links.unionByName(compared), "all-links"))
-
-    out = signed.join(classes.select("cls", "node"), "cls", "left").join(final, "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    met = staged(buckets.select("node").distinct().join(classes.select("node", "cls"), "node"), "met")
+    wanted = rows.join(small(met.withColumnRenamed("node", "id"), met.count()), "id").select("id", "text", "cls")
+    wanted = wanted.distinct() if ids > distinct else wanted  # an id's other texts have other sets, which are left out
+    full = staged(wanted.mapInArrow(_sets, "node long, cls binary, sketch binary, shingles binary"), "sets")
+
+    links = staged(_with_heads(buckets, full, percent), "links")
+    every = links
+    if ids > distinct:  # an id's texts belong together
+        texts = signed.where(named).select("id", "cls").distinct().join(classes.select("cls", "node"), "cls")
+        several = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+        every = links.unionByName(texts.join(several, "id").select(F.col("id").alias("a"), F.col("node").alias("b")))
+    labels = components(every)
+    compared = _with_others(buckets, heads, members, labels, full, percent)
+    joined = components(compared)
+    labels = labels.unionByName(joined.select("node", F.col("node").alias("label"))).distinct()
+    last = joined.select(F.col("node").alias("label"), F.col("label").alias("last"))
+    labels = labels.join(small(last, last.count()), "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    of_class = classes.select("cls", "node", "copies").join(labels, "node", "left").select("cls", "copies", F.coalesce("label", "node").alias("component"))
+    of_class = staged(of_class, "components")
+    discard(buckets, heads, met, full, links)
+
+    some = join_heavy(signed.where(named).select("id", "n", "cls"), of_class, "cls", "copies", n_named).select("id", "n", "component")
+    out = some.unionByName(signed.where(~named).select("id", "n", F.col("id").alias("component")))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _dealt(rest: DataFrame) -> DataFrame:
-    """Classes (node, label, cloud) dealt to pairs of blocks: one row for each block that a class's block is compared with.
-
-    A component of more than ``BLOCK`` classes in a cloud has blocks of its own,
-    which are not compared with one another; the others share blocks.
-    """
-    count = rest.groupBy("cloud", "label").agg(F.count("*").alias("n"))
-    own = count.where(F.col("n") > BLOCK).select("cloud", F.col("label").alias("own"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    shared = count.where(F.col("n") <= BLOCK).groupBy("cloud").agg(F.sum("n").alias("n")).select("cloud", F.lit(None).cast("long").alias("own"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    kinds = own.unionByName(shared)
-    block = lambda own, part: F.concat_ws(":", F.coalesce(own.cast("string"), F.lit("shared")), F.lpad(part.cast("string"), 9, "0"))
-    every = kinds.select("cloud", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct("own", block(F.col("own"), p).alias("block")))).alias("b"))
-    every = every.groupBy("cloud").agg(F.collect_list("b").alias("others"))
-    mine = rest.join(own.select("cloud", F.col("own").alias("label"), F.col("parts").alias("mine")), ["cloud", "label"], "left")
-    mine = mine.join(shared.select("cloud", F.col("parts").alias("common")), "cloud", "left").withColumn("own", F.when(F.col("mine").isNotNull(), F.col("label")))
-    mine = mine.withColumn("block", block(F.col("own"), F.pmod(F.xxhash64("node"), F.coalesce("mine", "common"))))
-    joined = mine.join(every, "cloud").select("cloud", "node", "label", "block", F.explode(F.filter("others", lambda o: o["own"].isNull() | F.col("own").isNull() | (o["own"] != F.col("own")))).alias("o"))
-    return joined.select("cloud", "node", "label", "block", F.least("block", "o.block").alias("low"), F.greatest("block", "o.block").alias("high"))
-
-
-def _repeated(signed: DataFrame) -> bool:
-    return bool(signed.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-
-
 def remove_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILAR) -> DataFrame:
     """``docs`` with one row of each component, all columns kept as they are.
 
-    Of rows that share the kept id one stays: which, if they differ, is the
-    first in Spark's order of partial aggregates.  Rows with a null id all stay.
+    Of rows that share the kept id, the one with the smallest text stays, and of
+    equal texts the one whose other columns come first as JSON.  Rows with a null
+    id all stay, and so do texts without words, unless their id is repeated.
     """
-    judged = staged(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "judged")
+    judged = staged(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).select(id_col, "kept"), "judged")
+    n_gone, ids, distinct = judged.agg(F.count_if(~F.col("kept")), F.count(id_col), F.count_distinct(id_col)).head()
     gone = judged.where(~F.col("kept")).select(id_col).distinct()
-    out = docs.join(small(gone, gone.count()), id_col, "left_anti").select(*docs.columns)
-    if _repeated(judged.select(F.col(id_col).alias("id"))):
-        null = docs.where(F.col(id_col).isNull())
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(null)
+    out = docs.join(small(gone, n_gone), id_col, "left_anti").select(*docs.columns)
+    if ids > distinct:
+        row = F.struct(*[out[c] for c in out.columns])
+        one = out.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min_by(row, F.struct(F.col(text_col), F.to_json(row))).alias("row_"))
+        out = one.select("row_.*").unionByName(out.where(F.col(id_col).isNull()))
     return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import small_batches, utf8
+from rookery.llm.common import slices, utf8
 from rookery.llm.labelled import SAMPLE_ROWS, WordHashes, held_out, labelled_sample
 
 #: Weights: 2 to this power.
@@ -96,7 +96,6 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", *, modulus: int = 5, remainder: int = 0, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Learn from at most ``rows`` labelled rows whose crc32 remainder is not ``remainder``."""
-    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, modulus=modulus, remainder=remainder, id_col=id_col, text_col=text_col, rows=rows)
     model = sample.repartition(1).mapInArrow(_train_task, "model binary").head()
     return np.frombuffer(model[0], np.float32) if model else np.zeros((1 << BITS) + 1, np.float32)
@@ -107,12 +106,11 @@ def score_documents(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_
 
     A null text counts as empty; an empty text gets the score of the bias alone.
     """
-    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             scores = score(utf8(batch.column(1)), held.value, hashes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
@@ -122,6 +120,11 @@ def score_documents(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Quality of every document, learned from ``labels.quality`` outside the held-out fifth."""
+    """Quality of every document, learned from ``labels.quality`` outside the held-out fifth.
+
+    Null and empty texts get the score of the bias alone; a row with a null id is
+    not held out; repeated rows have a row each; texts may be of any length; an
+    empty table gives no rows; without labels every score is one half.
+    """
     scored = score_documents(docs, fit(docs, labels))
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -16,6 +16,8 @@ from rookery.llm.common import staged
 MULTIPLIER = 2862933555777941757
 #: Parts of a shard that are numbered apart.
 BUCKETS = 256
+#: Copies of one row that one task writes out.
+COPIES = 65_536
 #: The order of rows in a part.
 ORDER = ("key", "id", "size", "text_crc32")
 
@@ -94,9 +96,13 @@ def shard(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col
     ended = placed.withColumn("through", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     # at most shards * BUCKETS rows, whatever the input
     slots = ended.join(F.broadcast(total), ["shard", "bucket"]).withColumn("last", F.col("offset") + F.col("through"))
+    slots = slots.select("id", "size", "text_crc32", "shard", "grown_shard", (F.col("last") - F.col("n")).alias("from"), (F.col("last") - 1).alias("to"))
+    # a row with very many copies is dealt over tasks before they are written out
+    pieces = slots.where(F.col("to") - F.col("from") >= COPIES).withColumn("at", F.explode(F.sequence("from", "to", F.lit(COPIES).cast("long"))))
+    pieces = pieces.withColumns({"from": F.col("at"), "to": F.least("to", F.col("at") + COPIES - 1)}).drop("at").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slots = slots.where(F.col("to") - F.col("from") < COPIES).unionByName(pieces)
     return slots.select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("last") - F.col("n"), F.col("last") - 1)).alias("slot"), "grown_shard",
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence("from", "to")).alias("slot"), "grown_shard",
     )
 
 

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 WORDS = 8
 #: Listed keys for each block; 512 bits over 24 keys give about 1 false positive in 1000.
 KEYS_PER_BLOCK = 24
-#: The filter or the list is sent to every executor up to this many rows, else joined by a shuffle.
+#: Most blocks, so that the filter, of 64 bytes a block, can be sent to every executor whatever the list; beyond, blocks are fuller.
+MOST_BLOCKS = 1 << 18
+#: The list is sent to every executor up to this many rows, else joined by a shuffle with what the filter lets pass.
 BROADCAST_ROWS = 100_000
 
 #: Fixed values: (host, path, verdict).
@@ -78,27 +80,29 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id",
     subdomains if the url's path starts with the entry's.  Of equal entries the
     smallest verdict counts; of equally long ones that with the longer host.
     Null urls and urls without ``://`` have an empty host and path, and fit
-    nothing (but an entry of an empty host and path).  Repeated rows stay, each
-    with its verdict.  With an empty list all get ``otherwise``.
+    nothing (but an entry of an empty host and path).  Hosts may have any number
+    of labels: only as many as a listed host has are looked at.  Repeated rows
+    stay, each with its verdict.  With an empty list all get ``otherwise``.
     """
     spark = pages.sparkSession
     entries = listed.select("host", "path", "verdict").where("host is not null and path is not null").groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    entries = entries.select(entry_key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"), "verdict")
-    n, lengths = entries.agg(F.count("*"), F.collect_set("path_length")).head()
+    entries = entries.select(entry_key(F.col("host"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"), "verdict")
+    n, lengths, labels = entries.agg(F.count("*"), F.collect_set("path_length"), F.max("labels")).head()
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     if not n:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
-    blocks = -(-n // KEYS_PER_BLOCK)
+    blocks = min(-(-n // KEYS_PER_BLOCK), MOST_BLOCKS)
     small = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
 
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    last = F.slice(parts, F.greatest(F.size(parts) - labels + 1, F.lit(1)), F.lit(labels))  # no listed host has more labels
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda k: F.array_join(F.slice(last, k, F.lit(labels)), "."))
     prefix_lengths = F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]), lambda k: k <= F.length("path"))
     candidates = F.flatten(F.transform(suffixes, lambda h: F.transform(prefix_lengths, lambda k: entry_key(h, F.substring("path", F.lit(1), k)))))
     # rows of one host and path have the same candidates: they are looked up once
     keys = rows.select("host", "path").distinct().select("host", "path", F.explode(candidates).alias("key"))
-    possible = keys.withColumn("block", block_of(F.col("key"), blocks)).join(small(bloom_filter(entries, blocks)), "block")
+    possible = keys.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(bloom_filter(entries, blocks)), "block")
     in_all = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(bits(F.col("key")))])
     exact = possible.where(in_all).select("host", "path", "key").join(small(entries), "key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_length", "rule")).alias("best"))

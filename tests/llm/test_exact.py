@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -20,6 +22,11 @@ def docs(spark, rows, schema=DOC):
     return spark.createDataFrame(rows, schema)
 
 
+def repeated(word, n):
+    """A long text of a ``range``, which isn't part of the plan."""
+    return F.repeat(F.concat(F.lit(word), F.substring(F.col("id").cast("string"), 5, 1)), n)
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
@@ -38,6 +45,21 @@ def contamination(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def longest_match(text, items):
+    """The longest run of words that a text and an item share, and where the first of that length starts."""
+    w, best = words(text), (0, None)
+    for _, t in items:
+        b = words(t)
+        for at in range(len(w)):
+            for k in range(len(b)):
+                n = 0
+                while at + n < len(w) and k + n < len(b) and w[at + n] == b[k + n]:
+                    n += 1
+                if n >= min(13, len(b)) and (n > best[0] or (n == best[0] and at < best[1])):
+                    best = n, at
+    return best
+
+
 @pytest.mark.parametrize("block", [4_000_000, 300])
 def test_decontamination_is_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
@@ -51,7 +73,8 @@ def test_decontamination_is_brute_force(spark, monkeypatch, block):
     df = docs(spark, rows).withColumns({"n_words": F.lit("clash"), "hits": F.lit(1), "id": F.lit(2)})
     got = decontaminate.digest(decontaminate.matches(df, bench)).collect()
     want = [(i, *contamination(t, items)) for i, t in rows]
-    assert sorted(map(str, (tuple(x)[:-1] for x in got))) == sorted(map(str, want))
+    assert sorted(map(str, (tuple(x)[:-2] for x in got))) == sorted(map(str, want))
+    assert sorted(str(tuple(x)[-2:]) for x in got) == sorted(str(longest_match(t, items)) for _, t in rows)
     kept = decontaminate.remove_contaminated(df, bench)
     assert kept.columns == df.columns
     assert sorted(map(str, ((x.doc_id, x.text) for x in kept.collect()))) == sorted(map(str, (row for row, w in zip(rows, want, strict=True) if not w[-1])))
@@ -64,6 +87,21 @@ def test_matches_are_the_longest_and_say_where(spark):
     assert [tuple(s) for s in found.spans] == [(2, 25, "7", 5)]
 
 
+def test_a_word_repeated_a_million_times_on_both_sides(spark):
+    text, item = "a " * 500_000, "a " * 400_000
+    began = time.time()
+    got = decontaminate.digest(decontaminate.matches(docs(spark, [(1, text)]), docs(spark, [(7, item)], "item_id long, text string"))).head()
+    assert (got.n_hit, got.n_items, got.longest_match, got.longest_start) == (500_000, 1, 400_000, 0)
+    assert time.time() - began < 60
+
+
+def test_a_text_of_20_mb_is_judged(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    df = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(repeated("xyz abc ", 1_250_000), F.lit(item), repeated(" abc xyz", 1_250_000)).alias("text"))
+    got = decontaminate.digest(decontaminate.matches(df, docs(spark, [(7, item)], "item_id long, text string"))).head()
+    assert (got.n_words, got.n_hit, got.longest_match, got.longest_start) == (5_000_040, 40, 40, 2_500_000)
+
+
 def test_decontamination_of_empty_tables(spark):
     none, bench = docs(spark, []), docs(spark, [], "item_id long, text string")
     assert decontaminate.matches(none, bench).isEmpty()
@@ -90,6 +128,13 @@ def test_url_verdicts(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *judge(u))) for i, u in rows)
 
 
+def test_a_host_of_100_000_labels(spark):
+    df = spark.range(2).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), repeated("a.", 100_000), F.lit("com/de/"), repeated("x/", 1_000_000)).alias("url"))
+    began = time.time()
+    assert [r.rule for r in urls.judge_urls(df, urls.listed_table(spark, urls.RULES)).collect()] == ["com/de/"] * 2
+    assert time.time() - began < 60
+
+
 def test_bloom_filter_has_no_false_negatives_and_many_blocks_work(spark):
     listed = spark.range(2000).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.lit("/p").alias("path"), F.lit("block").alias("verdict"))
     pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), F.col("id").cast("string"), F.lit(".com/path")).alias("url"))
@@ -116,6 +161,20 @@ def test_chat_round_trip_of_control_strings(spark):
     assert [t for c in whole[1] for t in reader.feed(c)] == [(r, x or "") for _, _, r, x in rows if _ is not None and r in ("user", "assistant")][: len(evil)]
 
 
+def test_texts_of_one_turn_follow_one_another_by_text(spark):
+    rows = [(1, 0, "user", t) for t in "ecabd"] + [(1, 0, "user", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    pieces_ = chat.format_conversations(chat.events_of_rows(df))
+    assert [t for _, t in chat.TurnReader().feed(chat.whole_conversations(pieces_).head().formatted)] == list("abccde")
+    assert chat.digest(pieces_.limit(0)).isEmpty()
+
+
+def test_a_turn_of_20_mb(spark):
+    df = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), repeated("</turn>\\ab", 2_000_000).alias("text"))
+    got = chat.digest(chat.format_conversations(chat.events_of_rows(df))).head()
+    assert got.loss_chars == 20_000_000 and got.loss_sha256 == hashlib.sha256(b"</turn>\\ab" * 2_000_000).hexdigest()
+
+
 def test_chat_fold_of_an_event_log(spark):
     log = [
         (1, 0, "p", 0, "message", "user", "hi"),
@@ -146,11 +205,28 @@ def test_top_k_is_brute_force(spark):
 
 def test_top_k_in_blocks_of_queries(spark, data, monkeypatch):
     whole = sorted(map(tuple, topk.top_k(table(spark, data, "embeddings")).collect()))
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "SEEDS", 7)
+    for name, value in (("QUERY_BLOCK", 3), ("SEEDS", 7), ("PART", 20), ("CHUNK", 6), ("QUERIES", 2)):
+        monkeypatch.setattr(topk, name, value)
     assert sorted(map(tuple, topk.top_k(table(spark, data, "embeddings")).collect())) == whole
 
 
+@pytest.mark.parametrize("large", [1e6, 3e9])
+def test_top_k_of_large_components(spark, large):
+    r = random.Random(9)
+    rows = [(k, [large * r.uniform(-1, 1) for _ in range(6)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    if large > 1e8:
+        with pytest.raises(ValueError, match="long"):
+            topk.top_k(df)
+        return
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-sum(x * y for x, y in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+    assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
+
+
 def jump(key, n):
     b, j, key = -1, 0, (key or 0) % 2**64
     while j < n:
@@ -176,6 +252,17 @@ def test_shards(spark):
     assert sharding.shard(docs(spark, [("a", "x"), ("b", None)], "doc_id string, text string"), 7).count() == 2
 
 
+def test_many_copies_of_a_row_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 8)
+    got = sharding.shard(spark.range(100).select(F.lit(3).cast("long").alias("doc_id"), F.lit("t").alias("text"))).collect()
+    assert sorted(r.slot for r in got) == list(range(100))
+
+
+def test_a_text_of_20_mb_has_a_shard(spark):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), repeated("é ", 7_000_000).alias("text"))
+    assert sharding.shard(df).head().size == 21_000_016
+
+
 def test_jump_hash_for_many_shards(spark):
     keys = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", *[sharding.jump_hash(F.col("k"), n).alias(f"n{n}") for n in (1, 2, 13, 1000)])
@@ -203,6 +290,23 @@ def test_encoding_equals_the_library(spark, library, chunk):
     assert all(back[i] == (t or "").replace("\u2581", " ") for i, t in rows)
 
 
+def test_a_document_of_many_groups_of_chunks(spark, library, monkeypatch):
+    monkeypatch.setattr(pieces, "TOGETHER", 4)
+    states = pieces.states
+    monkeypatch.setattr(pieces, "states", lambda m: states(m, 4))
+    r = random.Random(1)
+    texts = ["".join(r.choice("aabcdehnt  ") for _ in range(n)) for n in (9000, 700, 20)]
+    got = {x.doc_id: list(x.ids) for x in pieces.encode(docs(spark, list(enumerate(texts))), chunk=80).collect()}
+    assert got == {k: library.encode(t) for k, t in enumerate(texts)}
+
+
+def test_a_text_of_20_mb_is_encoded(spark):
+    df = spark.range(1).select(F.col("id").alias("doc_id"), repeated("a word and one ", 1_400_000).alias("text"))
+    began = time.time()
+    got = pieces.encode(df).head()
+    assert got.round_trip and got.n_tokens == len(got.ids) and time.time() - began < 90
+
+
 def test_products_of_transfer_matrices_are_associative():
     v = pieces.vocabulary(pieces.MODEL)
     text = pieces.marked("the tokenizers encodewithoutspaces andmore " * 3)

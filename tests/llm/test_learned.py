@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -11,9 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rookery.llm import near_dedup, queries, quality, secrets, toxicity
+from rookery.llm import common, components, near_dedup, queries, quality, secrets, toxicity
 from rookery.llm.common import table
-from rookery.llm.shingles import Words64, shingles
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BAD = ["idiot", "scum", "moron"]
@@ -64,7 +64,11 @@ def test_toxic_rows_go_and_columns_stay(spark, corpus):
 
 
 def brute(rows, percent=near_dedup.SIMILAR):
-    sets = [shingles((t or "").encode(), Words64()) for _, t in rows]
+    """From raw words, with none of the library's functions."""
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split("[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
     parent = {i: i for i, _ in rows if i is not None}
 
     def root(x):
@@ -76,7 +80,7 @@ def brute(rows, percent=near_dedup.SIMILAR):
         for b in range(a):
             if rows[a][0] is None or rows[b][0] is None:
                 continue
-            if near_dedup.similar(sets[a], sets[b], percent) and len(sets[a]) and len(sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = root(rows[a][0]), root(rows[b][0])
                 parent[max(x, y)] = min(x, y)
     return [(i, len(s), root(i) if i is not None else None, i is None or root(i) == i) for (i, _), s in zip(rows, sets, strict=True)]
@@ -86,8 +90,10 @@ def brute(rows, percent=near_dedup.SIMILAR):
 def test_near_duplicates_are_brute_force(spark, monkeypatch, small):
     if small:  # many blocks and parts
         monkeypatch.setattr(near_dedup, "BLOCK", 4)
-        monkeypatch.setattr(near_dedup, "MEMBERS", 3)
-        monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 500)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "SHARE", 20)
+        monkeypatch.setattr(components, "CONTRACTED", 4)
     r = random.Random(8)
     word = lambda: r.choice("abcdefghij") * r.randint(1, 3) + str(r.randint(0, 300))
     rows = []
@@ -128,6 +134,35 @@ def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     assert near_dedup.remove_near_duplicates(df.limit(0)).isEmpty()
 
 
+def test_components_are_those_of_a_plain_walk(spark, monkeypatch):
+    monkeypatch.setattr(components, "CONTRACTED", 5)
+    r = random.Random(3)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1100)] + [(2000 + k, 2001 + k) for k in range(90)] + [(7, 7), (None, 3), (5, None)]
+    near: dict = {}
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        if start not in want:
+            todo = [start]
+            while todo:
+                if (x := todo.pop()) not in want:
+                    want[x] = start
+                    todo += near[x]
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = [(x.node, x.label) for x in components.components(df).collect()]
+    assert sorted(got) == sorted(want.items())
+    assert components.components(df.limit(0)).isEmpty()
+
+
+def test_of_one_id_the_smallest_text_stays(spark):
+    rows = [(1, "b", 1), (1, "a", 2), (1, "a", 1), (2, None, 5), (2, "z", 6), (None, "q", 7), (None, "q", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(map(str, map(tuple, near_dedup.remove_near_duplicates(df).collect()))) == sorted(map(str, [(1, "a", 1), (2, None, 5), (None, "q", 7), (None, "q", 7)]))
+
+
 def test_secrets(spark):
     key = "AKIA" + "QZ7RT2XW4NPLM8VB"
     texts = {
