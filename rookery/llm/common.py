@@ -38,6 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = 1, rows: int =
             end = min(max(int(np.searchsorted(total, most, "right")), at + 1), at + rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -56,12 +57,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def join_heavy(rows: DataFrame, by_key: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_heavy(rows: DataFrame, by_key: DataFrame, key: str, size: str, total: int, keys: int | None = None) -> DataFrame:
     """``rows`` joined with ``by_key``, which has a row a key and how many rows have it (``size``, in all ``total``).
 
     The rows of a heavy key stay where they are: fewer than ``SHARE`` keys can be
-    heavy, and those are sent to every executor.  The others are shuffled.
+    heavy, and those are sent to every executor.  The others are shuffled, unless
+    there are known to be few ``keys``.
     """
+    if keys is not None and keys <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(by_key), key)
     values = [c for c in by_key.columns if c != key]
     heavy = by_key.where(F.col(size) * SHARE > total).select(key, F.struct(*values).alias("heavy_"))
     marked = rows.join(F.broadcast(heavy), key, "left")

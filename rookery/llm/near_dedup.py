@@ -13,9 +13,10 @@ before keys are paired.  A table key that classes share is a bucket.  Then:
    bucket of n classes makes n - 1 comparisons.  Links give first components.
 2. In a bucket, classes outside the component of its smallest one are compared
    with the bucket's others of another component.  This is done in blocks of
-   bounded size, inside tasks, where an estimate from all minhashes rejects most
-   pairs, and a pair that shares several buckets counts in the first only.  Only
-   links that join two components leave a task.
+   bounded size, inside tasks: an estimate from all minhashes rejects most pairs,
+   a pair that shares several buckets counts in the first only, and full sets are
+   brought only where a pair is left.  Only links that join two components leave
+   a task.
 
 No bucket is gathered in one task, nothing is capped, and what is broadcast is
 checked for its size.
@@ -64,8 +65,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = [len(s) > 0 and name_of(s) == c for s, c in zip(sets, batch.column(2).to_pylist(), strict=True)]
         sketches = [(minhashes(s) >> np.uint64(32)).astype(np.uint32).tobytes() if ok else b"" for s, ok in zip(sets, same, strict=True)]
         out = pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["node", "cls", "sketch", "shingles"],
+            [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+            names=["node", "cls", "n", "sketch", "shingles"],
         )
         yield out.filter(pa.array(same, pa.bool_()))
 
@@ -111,13 +112,40 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(same[0].argmax() * BUNDLES + same[1].argmax()) if same.any(axis=1).all() else -1
 
 
+def candidates(group: pa.Table, percent: int, fewest: int) -> Iterator[tuple[int, list[int]]]:
+    """Rows of two blocks, or of one, with the later ones that may be linked to them over components and meet them in this table first."""
+    sketch = np.stack([np.frombuffer(s, np.uint32) for s in group.column("sketch").to_pylist()])
+    sizes, label, block = (group.column(c).to_numpy() for c in ("n", "label", "block"))
+    table, two = group.column("t")[0].as_py(), block.max() > block.min()
+    for k in range(len(label)):
+        others = np.arange(k + 1, len(label))
+        may = (label[others] != label[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))
+        if two:
+            may &= block[others] != block[k]
+        others = others[may]
+        others = others[(sketch[others] == sketch[k]).sum(axis=1) >= fewest]
+        if len(others):
+            yield k, [j for j in others.tolist() if first_shared(sketch[k], sketch[j]) == table]
+
+
+def _with_candidates(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """The rows of a group that may be linked to another, with their sketches; full sets are needed for no others."""
+    fewest = fewest_equal(percent)
+
+    def run(group: pa.Table) -> pa.Table:
+        keep = np.zeros(len(group), bool)
+        for k, others in candidates(group, percent, fewest):
+            keep[others] = True
+            keep[k] |= bool(others)
+        return group.filter(pa.array(keep))
+
+    return run
+
+
 def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
     """Pairs of components that are linked by classes of two blocks, or of one with itself, as many as join them."""
-    labels, blocks, tables, sketches, shingle_sets = (group.column(c).to_pylist() for c in ("label", "block", "t", "sketch", "shingles"))
-    sketch = np.stack([np.frombuffer(s, np.uint32) for s in sketches])
-    sets = [np.frombuffer(s, np.uint64) for s in shingle_sets]
-    sizes, label, block = np.array([len(s) for s in sets]), np.array(labels), np.array(blocks)
-    two = block.max() > block.min()
+    labels = group.column("label").to_pylist()
+    sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
     parent = {x: x for x in set(labels)}
 
     def root(x: int) -> int:
@@ -127,16 +155,10 @@ def block_links(group: pa.Table, percent: int, fewest: int) -> pa.Table:
         return x
 
     out = []
-    for k in range(len(labels)):
-        others = np.arange(k + 1, len(labels))
-        may = (label[others] != label[k]) & (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))
-        if two:
-            may &= block[others] != block[k]
-        others = others[may]
-        others = others[(sketch[others] == sketch[k]).sum(axis=1) >= fewest]
-        for j in others.tolist():
+    for k, others in candidates(group, percent, fewest):
+        for j in others:
             a, b = root(labels[k]), root(labels[j])
-            if a != b and first_shared(sketch[k], sketch[j]) == tables[k] and similar(sets[k], sets[j], percent):
+            if a != b and similar(sets[k], sets[j], percent):
                 parent[max(a, b)] = min(a, b)
                 out.append((labels[k], labels[j]))
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -181,18 +203,20 @@ def _with_heads(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("head", "parts", "part").applyInArrow(_star(percent), "a long, b long")
 
 
-def _with_others(buckets: DataFrame, heads: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _with_others(buckets: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """2: links between components, of classes that are apart from the bucket's smallest one, with any other.
 
     The classes apart (``a`` blocks) meet one another and those with the smallest
     one (``b`` blocks); these, being of one component, don't meet one another.
     """
-    own = buckets.select("table_key", "t", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_head = heads.join(labels.withColumnRenamed("node", "head"), "head", "left").select("table_key", "size", F.coalesce("label", "head").alias("head_label"))
-    own = join_heavy(own, of_head, "table_key", "size", members)
-    own = staged(own.select("table_key", "t", "node", "n", "label", (F.col("label") != F.col("head_label")).alias("apart")), "labelled")
-    sizes = own.groupBy("table_key").agg(F.count("*").alias("size"), F.max("apart").alias("open"), _parts().alias("all"), _parts(F.col("apart")).alias("a"), _parts(~F.col("apart")).alias("b"))
-    own = join_heavy(own, sizes.where("open"), "table_key", "size", members)
+    label = F.coalesce("label", "node")
+    own = buckets.join(small(labels, labels.count()), "node", "left").select("table_key", "t", "node", "n", "head", label.alias("label"))
+    seen = own.groupBy("table_key").agg(F.count("*").alias("size"), F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("head_label"), (F.min("label") != F.max("label")).alias("open"))
+    seen = staged(seen.where("open").select("table_key", "size", "head_label"), "open")
+    own = join_heavy(own, seen, "table_key", "size", members, seen.count())
+    own = labelled = staged(own.select("table_key", "t", "node", "n", "label", (F.col("label") != F.col("head_label")).alias("apart")), "labelled")
+    sizes = own.groupBy("table_key").agg(F.count("*").alias("size"), _parts().alias("all"), _parts(F.col("apart")).alias("a"), _parts(~F.col("apart")).alias("b"))
+    own = join_heavy(own, sizes, "table_key", "size", own.count(), seen.count())
     dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     block = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), dealt("a")).otherwise(F.col("a") + dealt("b"))
     own = own.withColumn("block", block)
@@ -200,10 +224,14 @@ def _with_others(buckets: DataFrame, heads: DataFrame, members: int, labels: Dat
     with_b = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(F.col("block").alias("low"), (F.col("a") + i).alias("high")))
     alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
     met = F.when(F.col("all") == 1, alone).when(F.col("apart"), F.concat(with_a, with_b)).otherwise(with_a)
-    spread = own.select("table_key", "t", "node", "label", "block", F.explode(met).alias("e")).select("table_key", "t", "node", "label", "block", "e.low", "e.high")
-    sets = spread.join(full.select("node", "sketch", "shingles"), "node")
-    found = staged(sets.groupBy("table_key", "low", "high").applyInArrow(_blocks(percent), "a long, b long"), "joined")
-    discard(own)
+    group = ["table_key", "low", "high"]
+    spread = own.select("table_key", "t", "node", "label", "block", F.explode(met).alias("e")).select("table_key", "e.low", "e.high", "t", "node", "label", "block")
+    kinds = "table_key long, low int, high int, t int, node long, n long, label long, block int, sketch binary"
+    some = spread.join(full.select("node", "n", "sketch"), "node").select(*group, "t", "node", "n", "label", "block", "sketch")
+    some = some.groupBy(*group).applyInArrow(_with_candidates(percent), kinds)
+    found = some.join(full.select("node", "sketch", "shingles"), ["node", "sketch"]).groupBy(*group).applyInArrow(_blocks(percent), "a long, b long")
+    found = staged(found, "joined")
+    discard(seen, labelled)
     return found
 
 
@@ -229,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = staged(buckets.select("node").distinct().join(classes.select("node", "cls"), "node"), "met")
     wanted = rows.join(small(met.withColumnRenamed("node", "id"), met.count()), "id").select("id", "text", "cls")
     wanted = wanted.distinct() if ids > distinct else wanted  # an id's other texts have other sets, which are left out
-    full = staged(wanted.mapInArrow(_sets, "node long, cls binary, sketch binary, shingles binary"), "sets")
+    full = staged(wanted.mapInArrow(_sets, "node long, cls binary, n long, sketch binary, shingles binary"), "sets")
 
     links = staged(_with_heads(buckets, full, percent), "links")
     every = links
@@ -238,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         several = texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
         every = links.unionByName(texts.join(several, "id").select(F.col("id").alias("a"), F.col("node").alias("b")))
     labels = components(every)
-    compared = _with_others(buckets, heads, members, labels, full, percent)
+    compared = _with_others(buckets, members, labels, full, percent)
     joined = components(compared)
     labels = labels.unionByName(joined.select("node", F.col("node").alias("label"))).distinct()
     last = joined.select(F.col("node").alias("label"), F.col("label").alias("last"))
