@@ -49,7 +49,7 @@ def labelled_sample(
 class WordHashes(dict):
     """crc32 of words, remembered; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 

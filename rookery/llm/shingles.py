@@ -22,7 +22,7 @@ ODD = (_r.integers(0, 1 << 63, (2 * BUNDLES * ROWS, 1), np.uint64) << np.uint64(
 class Words64(dict):
     """64-bit hashes of words, remembered; forgets all when it holds ``most`` words."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most = most
 
