@@ -79,9 +79,24 @@ def rests(event: Column, vocabulary: Column) -> Column:
     return event.isNotNull() | ~vocabulary
 
 
-def resting_drawn(reading: Column, picked: Column, dirty: Column, lit: Column) -> Column:
-    """What a wire does at rest under a reading: all, picked, changed or none; what is lit is always drawn."""
-    return lit | F.when(reading == "all", True).when(reading == "picked", picked).when(reading == "changed", dirty).otherwise(False)
+def resting_drawn(bundle: Column, lit: Column, answers: Column, picked: Column, dirty: Column, anchored: Column, cross: Column) -> Column:
+    """Whether a wire is drawn at rest.
+
+    A bundle shows iff nothing is picked; what is lit and contracts always; with a
+    pick nothing else; without one, what the diff anchors if there is a diff, else
+    what doesn't cross modules.
+    """
+    return F.when(bundle, ~picked).when(lit | answers, True).when(picked, False).when(dirty, anchored).otherwise(~cross)
+
+
+def hovered(bundle: Column, from_here: Column, to_here: Column) -> Column:
+    """Whether hovering lights a line: from either end, a bundle never."""
+    return F.when(bundle, False).otherwise(from_here | to_here)
+
+
+def wire_visible(rests: Column, holding_kin: Column, near: Column) -> Column:
+    """Whether a wire shows: it rests, a selection's holding leads along it, or it is near in the read direction."""
+    return rests | holding_kin | near
 
 
 def fact_sheet(*facts: Column) -> Column:

@@ -49,16 +49,29 @@ def boundary_bundles(edges: DataFrame, inside: DataFrame, homes: DataFrame) -> D
     """Edges with exactly one end inside a box, by the far end's module and direction.
 
     ``solid`` edges are counted (n), others summed by weight; (far, inbound, solid, n).
+    Edges whose far end has no home are no part of a bundle; see ``single_edges``.
     """
     box = inside.select(F.col(inside.columns[0]).alias("node")).distinct()
     mark = lambda c: box.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_in"))
     e = edges.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
     cross = e.where(F.col("src_in").isNull() != F.col("dst_in").isNull())
     far = F.when(F.col("src_in").isNull(), F.col("src")).otherwise(F.col("dst"))
-    cross = cross.select(far.alias("node"), F.col("src_in").isNull().alias("inbound"), "solid", "w").join(homes.select("node", F.col("module").alias("far")), "node")
+    cross = cross.select(far.alias("node"), F.col("src_in").isNull().alias("inbound"), "solid", "w").join(homes.where("module is not null").select("node", F.col("module").alias("far")), "node")
     return cross.groupBy("far", "inbound", "solid").agg(F.when(F.col("solid"), F.count("*")).otherwise(F.sum("w")).cast("long").alias("n"))
 
 
+def single_edges(edges: DataFrame, inside: DataFrame, homes: DataFrame) -> DataFrame:
+    """Edges (src, dst, solid, w) that no bundle takes in: both ends on one side of the box, or a far end without a home."""
+    box = inside.select(F.col(inside.columns[0]).alias("node")).distinct()
+    mark = lambda c: box.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_in"))
+    e = edges.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left")
+    far = F.when(F.col("src_in").isNull(), F.col("src")).otherwise(F.col("dst"))
+    e = e.withColumn("crosses", F.col("src_in").isNull() != F.col("dst_in").isNull()).withColumn("node", far)
+    home = homes.where("module is not null").select("node", F.lit(True).alias("homed")).distinct()
+    e = e.join(home, "node", "left")
+    return e.where(~F.col("crosses") | F.col("homed").isNull()).select("src", "dst", "solid", "w")
+
+
 def frame_rollup(homes: DataFrame) -> DataFrame:
     """Marks held by every frame at any depth; a path's frames are all its prefixes (``path`` is an array)."""
     frames = F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.array_join(F.slice("path", 1, k), "/"))

@@ -38,6 +38,10 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame, key: str, content: str) -> DataFrame:
-    """One row: number of files and a hash of their keys and contents that no order changes."""
-    h = F.xxhash64(key, content)
-    return files.agg(F.count("*").alias("n_files"), F.bit_xor(h).alias("fingerprint"))
+    """One row: number of files, and a sum of hashes of their keys and contents that no order changes.
+
+    Repeated rows count each; a null is told from an empty text.
+    """
+    tagged = lambda c: F.concat(F.when(F.col(c).isNull(), "0").otherwise("1"), F.coalesce(F.col(c), F.lit("")))
+    h = F.conv(F.substring(F.md5(F.concat(F.md5(tagged(key)), F.md5(tagged(content)))), 1, 15), 16, 10).cast("decimal(38,0)")
+    return files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("fingerprint"))

@@ -185,12 +185,12 @@ _PATHS = "p as (select page_id, regexp_replace(regexp_replace(regexp_replace(url
 
 
 @query(
-    f"""with {_PATHS}, o as (select distinct array_to_string(string_split(path, '/')[1:2], '/') owner from p where page_id % 3 = 0)
+    f"""with {_PATHS}, o as (select distinct array_to_string(string_split(path, '/')[1:2], '/') owner from p)
 select path, max_by(owner, length(owner)) owner from (select distinct path from p) q left join o on path = owner or starts_with(path, owner || '/') group by path"""
 )
 def q_longest_prefix(s: SparkSession, d: str) -> DataFrame:
     p = _paths(s, d)
-    owners = p.where("page_id % 3 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("owner"))
+    owners = p.select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("owner"))
     return dependency.longest_prefix(p, owners)
 
 
@@ -405,9 +405,9 @@ def q_type_walk(s: SparkSession, d: str) -> DataFrame:
 
 # ---- structural diff
 
-_DECLS = """b as (select cast(o_custkey % 50 as varchar) path, o_orderpriority kind, cast(o_orderkey % 40 as varchar) as name, o_orderstatus as text, o_orderkey place from orders where o_orderkey % 7 <> 0 and o_orderkey < 3000),
+_DECLS = """b as (select cast(o_custkey % 50 as varchar) path, o_orderpriority kind, cast(o_orderkey % 40 as varchar) as name, o_orderstatus as text, o_orderkey place from orders where o_orderkey % 7 <> 0),
  l as (select cast((o_custkey + case when o_orderkey % 5 = 0 then 1 else 0 end) % 50 as varchar) path, o_orderpriority kind, cast(o_orderkey % 40 as varchar) as name,
-  case when o_orderkey % 3 = 0 then 'F' else o_orderstatus end as text, o_orderkey place from orders where o_orderkey % 11 <> 0 and o_orderkey < 3000)"""
+  case when o_orderkey % 3 = 0 then 'F' else o_orderstatus end as text, o_orderkey place from orders where o_orderkey % 11 <> 0)"""
 
 
 @query(
@@ -516,12 +516,14 @@ def q_text_normalise(s: SparkSession, d: str) -> DataFrame:
     return h.select("page_id", trait.alias("trait"), kind.alias("type"), T.promises(F.col("header")).alias("promise"), T.bare_trait(trait).alias("bare"), T.collapse(F.concat("url", F.lit("  a   b "))).alias("flat"))
 
 
-@query("select doc_id, 1 + length(left(text, cast(n_chars // 2 as integer))) - length(replace(left(text, cast(n_chars // 2 as integer)), chr(10), '')) line from documents")
+@query("select doc_id, 1 + length(left(text, cast(n_chars // 2 as integer))) - length(replace(left(text, cast(n_chars // 2 as integer)), chr(10), '')) line, 1 + length(text) - length(replace(text, chr(10), '')) last_line from documents")
 def q_line_numbers(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "documents").select("doc_id", T.lines_before(F.col("text"), F.floor(F.col("n_chars") / 2)).cast("long").alias("line"))
+    return _table(s, d, "documents").select("doc_id", T.lines_before(F.col("text"), F.floor(F.col("n_chars") / 2)).cast("long").alias("line"), T.lines_before(F.col("text"), F.length("text")).cast("long").alias("last_line"))
 
 
-@query()
+@query(
+    """select count(*) n_files, cast(coalesce(sum(cast(('0x' || substr(md5(md5(case when doc_id is null then '0' else '1' end || coalesce(cast(doc_id as varchar), '')) || md5(case when text is null then '0' else '1' end || coalesce(text, ''))), 1, 15)) as hugeint)), 0) as varchar) fingerprint from documents"""
+)
 def q_fingerprint(s: SparkSession, d: str) -> DataFrame:
     return intervals.fingerprint(_table(s, d, "documents"), "doc_id", "text")
 
