@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import time
@@ -9,12 +10,14 @@ import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rookery.llm import common, components, near_dedup, queries, quality, secrets, toxicity
 from rookery.llm.common import table
+from rookery.llm.labelled import WordHashes
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 BAD = ["idiot", "scum", "moron"]
@@ -56,6 +59,68 @@ def test_classifiers_on_held_out_rows(spark, corpus, run, col, modulus, rest):
     assert run(docs.limit(5), labels.limit(0)).count() == 5
 
 
+def test_quality_is_plain_ftrl():
+    """Weights and scores against follow-the-regularised-leader written out with dictionaries."""
+    r = random.Random(4)
+    rows = [(" ".join(r.choice(["good", "bad", "x!!", "Äh", "fine,"]) for _ in range(r.randint(0, 12))).encode(), r.randint(0, 1)) for _ in range(60)]
+    z, n = {}, {}
+    a, b, l1, l2 = quality.ALPHA, quality.BETA, quality.L1, quality.L2
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((b + math.sqrt(n.get(k, 0.0))) / a + l2)
+
+    hashes = WordHashes()
+    for epoch in range(quality.EPOCHS):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            text, y = rows[at]
+            count = {}
+            for k in quality.features(text, hashes).tolist():
+                count[k] = count.get(k, 0) + 1
+            total = math.sqrt(max(sum(count.values()), 1))
+            x = {k: c / total for k, c in count.items()} | {1 << quality.BITS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g, old = (p - y) * v, n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / a * w[k]
+                n[k] = old + g * g
+    weights = quality.train(rows)
+    assert np.flatnonzero(weights).tolist() == sorted(k for k in z if weight(k))
+    assert all(math.isclose(weights[k], weight(k), rel_tol=1e-4, abs_tol=1e-6) for k in z)
+    got = quality.score([t for t, _ in rows], weights, hashes)
+    for (text, _), score in zip(rows, got.tolist(), strict=True):
+        f = quality.features(text, hashes).tolist()
+        want = sum(float(weights[k]) for k in f) / math.sqrt(max(len(f), 1)) + float(weights[-1])
+        assert math.isclose(score, 1 / (1 + math.exp(-want)), rel_tol=1e-5)
+
+
+def test_toxicity_scores_are_a_plain_convolution():
+    """Scores against filters that are moved over the words one by one."""
+    net, hashes, r = toxicity.Network(3), WordHashes(), random.Random(5)
+    net.table[1:] = np.random.default_rng(6).normal(0, 1, (toxicity.BUCKETS - 1, toxicity.DIMS))
+    net.shift += 0.1
+    texts = [" ".join(r.choice(["a", "bc", "d", "e9", "ü"]) for _ in range(k)).encode() for k in (0, 1, 2, 5, 40)]
+    got = net.scores(texts, hashes)
+    for text, score in zip(texts, got.tolist(), strict=True):
+        one, two, _ = toxicity.buckets([text], hashes)
+        e = [net.table[a].astype(float) + net.table[b] for a, b in zip(one, two, strict=True)]
+        top = []
+        for f, shift in zip(net.filters, net.shift, strict=True):
+            for k in range(toxicity.FILTERS):
+                answers = [sum(float(e[at + j] @ f[j, :, k]) for j in range(len(f)) if at + j < len(e)) for at in range(len(e))]
+                top.append(max(max(answers) + float(shift[k]), 0.0))
+        want = sum(t * float(o) for t, o in zip(top, net.out, strict=True)) + float(net.bias)
+        assert math.isclose(score, 1 / (1 + math.exp(-want)), rel_tol=1e-4)
+
+
+def test_toxicity_without_a_language(spark, corpus):
+    docs, labels = corpus
+    plain = docs.drop("lang")
+    assert toxicity.remove_toxic(plain, labels).columns == plain.columns and toxicity.remove_toxic(plain.limit(0), labels).isEmpty()
+    assert {r.threshold for r in toxicity.toxicity(plain, labels).collect()} == {toxicity.THRESHOLD}
+
+
 def test_toxic_rows_go_and_columns_stay(spark, corpus):
     docs, labels = corpus
     kept = toxicity.remove_toxic(docs, labels)
@@ -191,11 +256,28 @@ def test_forest_on_unseen_findings(spark):
     assert right / n > 0.97
 
 
+def plainly_contaminated(text, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit = words(text), set()
+    windows = {tuple(b[k : k + 13]) for b in map(words, items) if b for k in range(max(len(b) - 12, 1))}
+    for n in {len(x) for x in windows}:
+        for at in range(len(w) - n + 1):
+            if tuple(w[at : at + n]) in windows:
+                hit |= set(range(at, at + n))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name, schema in (("documents", DOC), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
 def test_pipeline_stages_in_turn(spark, data):
     docs = table(spark, data, "documents")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id: r.text for r in docs.collect()}
+        previous, before = docs, {r.doc_id: r.text for r in docs.collect()}
         docs = stage(spark, docs, data)
         after = {r.doc_id: r.text for r in docs.collect()}
         assert docs.columns == columns and set(after) <= set(before), name
@@ -204,9 +286,21 @@ def test_pipeline_stages_in_turn(spark, data):
             assert set(after) == want
         elif name == "secrets":
             assert set(after) == set(before)
-            assert all(after[i] == t or "[secret]" in after[i] for i, t in before.items())
+            found = {}
+            for x in secrets.scan(previous).where("is_secret").collect():
+                found.setdefault(x.doc_id, []).append((x.start, x.n_chars))
+            for i, t in before.items():
+                for start, n in sorted(found.get(i, []), reverse=True):
+                    t = t[:start] + "[secret]" + t[start + n :]
+                assert after[i] == t
         else:
             assert all(after[i] == before[i] for i in after)
+            if name == "toxicity":
+                flagged = {x.doc_id for x in toxicity.toxicity(previous, table(spark, data, "labels")).where("flagged").collect()}
+                assert set(after) == set(before) - flagged
+            else:
+                items = [x.text for x in table(spark, data, "benchmark").collect()]
+                assert set(after) == {i for i, t in before.items() if not plainly_contaminated(t, items)}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert last.count() == len(after) and last.where("not round_trip").isEmpty()
 
