@@ -121,14 +121,12 @@ def test_data_tiers(spark, holds, items, want):
     assert dict(rows(ownership.data_tiers(_holds(spark, holds), _items(spark, items)), "node", "tier")) == want
 
 
-def test_row_diff_fixtures(spark):
-    base = spark.createDataFrame([(1, 0, "id", "u32"), (1, 1, "changed", "bool"), (1, 2, "lines", "u32"), (2, 0, "id", "a"), (2, 1, "changed", "b"), (2, 2, "stale", "c")], "item long, ord int, name string, decl string")
-    live = spark.createDataFrame([(1, 0, "id", "u32"), (1, 1, "status", "FileStatus"), (1, 2, "lines", "u64"), (2, 0, "id", "a"), (2, 1, "status", "d")], "item long, ord int, name string, decl string")
-    got = rows(editions.row_diff(base, live), "item", "event", "seat", "name")
-    assert got == sorted(
-        [(1, "added", 1, "status"), (1, "added", 2, "lines"), (1, "removed", 1, "changed"), (1, "removed", 2, "lines"), (2, "added", 1, "status"), (2, "removed", 1, "changed"), (2, "removed", 1, "stale")],
-        key=repr,
-    )
+def test_rows_that_go_keep_a_seat_between_their_neighbours(spark):
+    schema = "item long, ord int, name string, decl string"
+    base = spark.createDataFrame([(7, k, n, "i8") for k, n in enumerate("abcd")] + [(8, 0, "p", "i8"), (8, 1, "q", "i8")], schema)
+    live = spark.createDataFrame([(7, k, n, "i8") for k, n in enumerate("acx")] + [(8, 0, "p", "i16"), (8, 1, "q", "i8")], schema)
+    want = [(7, "removed", 1, "b"), (7, "removed", 2, "d"), (7, "added", 2, "x"), (8, "added", 0, "p"), (8, "removed", 0, "p")]
+    assert rows(editions.row_diff(base, live), "item", "event", "seat", "name") == sorted(want, key=repr)
 
 
 def test_longest_prefix_is_by_segment(spark):
@@ -139,15 +137,14 @@ def test_longest_prefix_is_by_segment(spark):
 
 
 def test_module_paths_and_headers(spark):
-    paths = {"src/views/data/map.rs": ["views", "data"], "src/load.rs": ["load"], "src/main.rs": [], "crates/engine/src/parse/lex.rs": ["parse"]}
-    paths["src/views/data/map.rs"] = ["views", "data", "map"]
-    paths["crates/engine/src/parse/lex.rs"] = ["parse", "lex"]
+    paths = {"src/main.rs": [], "src/bird.rs": ["bird"], "nest/src/egg/shell.rs": ["egg", "shell"], "nest/tests/egg/mod.rs": ["egg"]}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert dict(rows(df.select("p", T.module_path(F.col("p"))))) == paths
-    h = spark.createDataFrame([("impl Clone for Vis",), ("impl From<Option<ast::Visibility>> for Vis",), ("impl fmt::Display for X",), ("impl X",)], "h string")
+    headers = {"impl Fly for Rook": ("Fly", "Rook", "Fly"), "impl Into<Box<dyn air::Wing>> for Rook": ("Into<Box<dyn air::Wing>>", "Rook", "Into"), "impl air::Fly for Rook<T>": ("air::Fly", "Rook<T>", "air"), "impl Rook": (None, None, None)}
+    h = spark.createDataFrame([(x,) for x in headers], "h string")
     got = h.select("h", *T.header_promise(F.col("h")), T.promises(F.col("h"))).collect()
-    assert [tuple(r)[1:] for r in got] == [("Clone", "Vis", "Clone"), ("From<Option<ast::Visibility>>", "Vis", "From"), ("fmt::Display", "X", "fmt"), (None, None, None)]
-    assert [r[0] for r in h.select(T.bare_trait(F.lit("fmt::Display"))).limit(1).collect()] == ["Display"]
+    assert {r[0]: tuple(r)[1:] for r in got} == headers
+    assert h.limit(1).select(T.bare_trait(F.lit("air::Fly<T>"))).head()[0] == "Fly"
 
 
 def test_text_helpers(spark):
