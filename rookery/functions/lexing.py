@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from rookery.functions.text import dedent
+from rookery.operators.intervals import CELL, cells
 
 # Rust's words.
 KEYWORDS = (
@@ -12,7 +16,7 @@ KEYWORDS = (
 ).split()
 #: What a token looks like; the first that fits counts.
 TOKEN = "|".join([
-    r"//[^\n]*", r"/\*(?s:.*?)\*/", r"#!?\[[^\]]*\]", r"b?r?\"(?:\\(?s:.)|[^\"\\])*\"", r"b?'(?:\\.[^']*|[^'\\\n])'", r"'[\p{L}_][\p{L}\p{N}_]*",
+    r"//[^\n]*", r"/\*(?s:.*?)\*/", r"#!?\[[^\]]*\]", r"b?r(#*)\"(?s:.*?)\"\1", r"b?\"(?s:.*?)(?<!\\)(?:\\\\)*+\"", r"b?'(?:\\.[^']*|[^'\\\n])'", r"'[\p{L}_][\p{L}\p{N}_]*",
     r"[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?", r"(?U:[\p{L}_][\p{L}\p{N}_]*)", r"(?U:\s+)", r"(?s:.)",
 ])
 
@@ -22,40 +26,44 @@ def tokens(text: Column) -> Column:
 
     Classes: doc, comment, attr (a whole attribute), str, lifetime, num, kw, macro
     (a name before ``!``), fn (a name after ``fn``), type (a name with a capital), ident, punct, space.
+    The text is cut once; every token then looks at its neighbours in the list.
     """
     raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     blank = lambda x: x.rlike(r"^(?U)\s+$")
 
-    def classify(x: Column, k: Column) -> Column:
-        after, before = F.get(raw, k + 1), F.get(raw, k - 1)
-        after = F.when(blank(after), F.get(raw, k + 2)).otherwise(after)
-        before = F.when(blank(before), F.get(raw, k - 2)).otherwise(before)
+    def classify(every: Column, x: Column, k: Column) -> Column:
+        after, before = F.get(every, k + 1), F.get(every, k - 1)
+        after = F.when(blank(after), F.get(every, k + 2)).otherwise(after)
+        before = F.when(blank(before), F.get(every, k - 2)).otherwise(before)
         name = (
             F.when(x.isin(*KEYWORDS), "kw").when(after.eqNullSafe("!"), "macro").when(before.eqNullSafe("fn"), "fn")
             .when(x.rlike(r"^\p{Lu}"), "type").otherwise("ident")
         )
         kind = (
             F.when(blank(x), "space").when(x.rlike(r"^(///|//!|/\*\*|/\*!)"), "doc").when(x.rlike(r"^(//|/\*)"), "comment").when(x.rlike(r"^#!?\["), "attr")
-            .when(x.rlike(r"^b?r?\"|^b?'(?:\\.[^']*|[^'\\\n])'$"), "str").when(x.startswith("'"), "lifetime").when(x.rlike("^[0-9]"), "num").when(x.rlike(r"^[\p{L}_]"), name).otherwise("punct")
+            .when(x.rlike(r"^b?(?:r#*)?\"|^b?'(?:\\.[^']*|[^'\\\n])'$"), "str").when(x.startswith("'"), "lifetime").when(x.rlike("^[0-9]"), "num").when(x.rlike(r"^[\p{L}_]"), name).otherwise("punct")
         )
         return F.struct(x.alias("text"), kind.alias("class"))
 
-    return F.transform(raw, classify)
+    # bound as a lambda's variable: a lambda computes any other expression again for each token
+    return F.get(F.transform(F.array(raw), lambda every: F.transform(every, lambda x, k: classify(every, x, k))), F.lit(0))
 
 
 def runs(files: DataFrame) -> DataFrame:
-    """(file, line, run, text, class): tokens of (file, text), cut at line ends; lines and runs count from 0."""
-    t = files.select("file", F.explode(F.transform(tokens(F.col("text")), lambda x, k: F.struct(x["text"].alias("text"), x["class"].alias("class"), k.alias("k")))).alias("t"), F.col("text").alias("whole"))
-    before = F.aggregate(F.slice(F.regexp_extract_all("whole", F.lit(TOKEN), F.lit(0)), F.lit(1), F.col("t.k")), F.lit(0), lambda a, x: a + F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))))
-    part = t.select("file", F.col("t.k").alias("k"), F.col("t.class").alias("class"), before.alias("at"), F.posexplode(F.split("t.text", "\n", -1)).alias("n", "part"))
-    part = part.select("file", (F.col("at") + F.col("n")).alias("line"), "k", "class", F.regexp_replace("part", "\r+$", "").alias("text")).where("text <> ''")
-    return part.select("file", "line", F.col("k").alias("run"), "text", "class")
+    """(file, line, run, text, class): tokens of (file, text), cut at line ends; lines and runs count from 0.
+
+    A file is one row.  Lines before a token are a running sum over its file's tokens.
+    """
+    t = files.select("file", F.posexplode(tokens(F.col("text"))).alias("run", "t")).select("file", "run", "t.text", "t.class")
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    before = F.sum(ends).over(Window.partitionBy("file").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    part = t.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")).select("file", "run", "class", "before", F.posexplode(F.split("text", "\n", -1)).alias("n", "part"))
+    part = part.select("file", (F.col("before") + F.col("n")).alias("line"), "run", F.regexp_replace("part", "\r+$", "").alias("text"), "class")
+    return part.where("text <> ''")
 
 
 def quoted(items: DataFrame) -> DataFrame:
     """Each item's own text (file text, start, end in characters) with its first line's indent, and without the indent that all lines share."""
-    from rookery.functions.text import dedent
-
     head = F.regexp_extract(F.left("text", F.col("start")), r"([^\n]*)$", 1)
     indent = F.when(F.trim(head) == "", head).otherwise("")
     own = F.concat(indent, F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
@@ -63,10 +71,13 @@ def quoted(items: DataFrame) -> DataFrame:
 
 
 def linked(run_spans: DataFrame, spans: DataFrame) -> DataFrame:
-    """Runs (file, run, start, end, item) with the target of the span inside them, links to the item itself left out; links count from 1 by first place."""
-    from pyspark.sql import Window
+    """Runs (file, run, start, end, item) with the target of the span inside them, links to the item itself left out; links count from 1 by first place.
 
-    hit = run_spans.join(spans.select("file", F.col("start").alias("s"), F.col("end").alias("e"), "target"), "file").where("start <= s and end >= e and target <> item")
+    A span meets the runs in the grid's cell that it starts in.
+    """
+    met = spans.select("file", F.col("start").alias("s"), F.col("end").alias("e"), "target", F.floor(F.col("start") / CELL).alias("cell"))
+    run = run_spans.where("start <= end").withColumn("cell", F.explode(cells(F.col("start"), F.col("end"))))
+    hit = run.join(met, ["file", "cell"]).where("start <= s and end >= e and target <> item")
     first = hit.groupBy("file", "item", "target").agg(F.min("s").alias("first"))
     number = first.withColumn("link", F.row_number().over(Window.partitionBy("file", "item").orderBy("first", "target"))).drop("first")
     return hit.join(number, ["file", "item", "target"]).select("file", "item", "run", "target", "link")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rookery.operators.intervals import CELL, cells
+
 
 def files_of(modules: DataFrame) -> DataFrame:
     """(path, krate): source files of local crates, of several crates the first; build output and other files go."""
@@ -54,8 +56,10 @@ def fan_in(refs: DataFrame) -> DataFrame:
 
 
 def outside(refs: DataFrame, skipped: DataFrame) -> DataFrame:
-    """References (file, at) that lie in no skipped range [start, end)."""
-    hit = refs.join(skipped.select(F.col("file"), "start", "end"), "file").where("at >= start and at < end").select("file", "at").distinct()
+    """References (file, at) that lie in no skipped range [start, end); by the cells of a grid, not by all pairs of a file."""
+    s = skipped.where("start < end").select("file", "start", "end", F.explode(cells(F.col("start"), F.col("end") - 1)).alias("cell"))
+    at = refs.select("file", "at").distinct().withColumn("cell", F.floor(F.col("at") / CELL))
+    hit = at.join(s, ["file", "cell"]).where("at >= start and at < end").select("file", "at").distinct()
     return refs.join(hit, ["file", "at"], "left_anti")
 
 

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Width of a grid's cell, about that of a long span.
 CELL = 1024
 
 
+def cells(first: Column, last: Column) -> Column:
+    """The grid's cells from one offset to another, which must not be smaller."""
+    return F.sequence(F.floor(first / CELL), F.floor(last / CELL))
+
+
 def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Each point (file, at) with the id of the span (file, start, end, id) around it that starts last; both ends count, null if none.
 
@@ -16,25 +24,34 @@ def innermost(points: DataFrame, spans: DataFrame) -> DataFrame:
     cells of a grid, so that the join is an equi join on file and cell.
     """
     p = points.select("file", "at").distinct()
-    s = spans.select("file", "start", "end", "id", F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor(F.col("end") / CELL))).alias("cell"))
+    s = spans.select("file", "start", "end", "id", F.explode(cells(F.col("start"), F.col("end"))).alias("cell"))
     met = p.withColumn("cell", F.floor(F.col("at") / CELL)).join(s, ["file", "cell"]).where("start <= at and end >= at")
     best = met.groupBy("file", "at").agg(F.max_by("id", F.struct(F.col("start"), -F.col("end"), -F.col("id"))).alias("id"))
     return p.join(best, ["file", "at"], "left")
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of spans sorted by file, start and end, those that start at or after the end of the last kept one of their file."""
+    at, last = object(), None
+    for batch in batches:
+        keep = []
+        for file, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if file != at:
+                at, last = file, None
+            keep.append(last is None or start >= last)
+            if keep[-1]:
+                last = end
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def without_overlaps(spans: DataFrame) -> DataFrame:
     """Spans (file, start, end) kept greedily: in order of start and end, one stays if it starts at or after the last kept one's end.
 
-    The fold is over one file's distinct spans, sorted in the aggregate.
+    Distinct spans are dealt by file, sorted on disk if need be, and streamed; only
+    the last kept end is held.  Spans without a start or an end are left out.
     """
-    s = spans.select("file", "start", "end").distinct().groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
-    start = F.struct(F.lit(-1).cast("long").alias("last"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("kept"))
-    kept = F.aggregate(
-        "all", start,
-        lambda a, x: F.when(x["start"] >= a["last"], F.struct(x["end"].cast("long").alias("last"), F.concat(a["kept"], F.array(F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))).alias("kept"))).otherwise(a),
-        lambda a: a["kept"],
-    )
-    return s.select("file", F.explode(kept).alias("x")).select("file", "x.start", "x.end")
+    s = spans.select("file", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna(subset=["start", "end"]).distinct()
+    return s.repartition("file").sortWithinPartitions("file", "start", "end").mapInArrow(_greedy, s.schema)
 
 
 def fingerprint(files: DataFrame, key: str, content: str) -> DataFrame:

@@ -150,15 +150,19 @@ def type_walk(terms: DataFrame, depth: int = 16) -> DataFrame:
     workspace) or plain.  The strongest wrapper so far counts, a local type is a
     target and its arguments are walked on, below ``dyn`` nothing is.  Of several
     edges of a row to one target the strongest, then the outermost counts.
-    Terms are trees, so a level is a join and ``depth`` bounds the levels.
+    Terms are trees, so a level is a join; levels are staged, and the walk ends with
+    the deepest term or at ``depth``.
     """
     effect = F.when(F.col("ctor") == "ref", 1).when(F.col("ctor") == "dyn", 2).when(F.col("ctor") == "shared", 3).otherwise(0)
-    t = terms.withColumn("effect", effect)
+    t = staged(terms.withColumn("effect", effect), "terms")
     level = t.where("parent is null").select("row", "node", "ctor", "name", F.col("effect").alias("rank"), F.lit(0).alias("level"))
     found = level
     for k in range(1, depth + 1):
         up = level.where("ctor <> 'dyn'").select("row", F.col("node").alias("parent"), F.col("rank").alias("above"))
         level = t.join(up, ["row", "parent"]).select("row", "node", "ctor", "name", F.greatest("above", "effect").alias("rank"), F.lit(k).alias("level"))
+        level = staged(level, "level")
+        if level.isEmpty():
+            break
         found = found.unionByName(level)
     hit = found.where(F.col("ctor").isin("local", "dyn"))
     best = hit.groupBy("row", F.col("name").alias("target")).agg(F.min_by("rank", F.struct(-F.col("rank"), "level", "node")).alias("rank"))

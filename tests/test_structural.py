@@ -163,6 +163,36 @@ def test_intervals(spark):
     assert rows(intervals.without_overlaps(over)) == [("f", 0, 5), ("f", 5, 9)]
 
 
+def test_ranges_of_a_file_against_all_pairs(spark):
+    from rookery.operators import attribution
+
+    r = random.Random(5)
+    points = [(r.choice("fg"), r.randrange(9000)) for _ in range(200)] + [("f", 100), ("f", 100), ("none", 5)]
+    ranges = [(f, a, a + r.choice([0, 1, 40, 3000])) for f, a in ((r.choice("fgh"), r.randrange(9000)) for _ in range(12))] + [("f", 100, 101), ("g", 50, 10)]
+    p = spark.createDataFrame(points, "file string, at long")
+    s = spark.createDataFrame(ranges, "file string, start long, end long")
+    want = [x for x in points if not any(f == x[0] and a <= x[1] < b for f, a, b in ranges)]
+    assert rows(attribution.outside(p, s)) == sorted(want, key=repr)
+    kept: dict = {}
+    for f, a, b in sorted(set(ranges)):
+        if f not in kept or a >= kept[f][-1][1]:
+            kept.setdefault(f, []).append((a, b))
+    assert rows(intervals.without_overlaps(s)) == sorted(((f, a, b) for f, x in kept.items() for a, b in x), key=repr)
+    some = s.unionByName(spark.createDataFrame([("k", None, 4), ("k", 5, None), (None, 1, 2)], "file string, start long, end long"))
+    assert [x for x in rows(intervals.without_overlaps(some)) if x[0] in ("k", None)] == [(None, 1, 2)]
+
+
+def test_links_of_a_file_against_all_pairs(spark):
+    from rookery.functions import lexing
+
+    r = random.Random(6)
+    run = [("f", k, a, a + r.choice([4, 30, 2500]), r.randrange(4)) for k, a in enumerate(r.randrange(8000) for _ in range(60))]
+    span = [("f", a, a + 3, r.randrange(4)) for a in (r.randrange(8000) for _ in range(60))]
+    got = lexing.linked(spark.createDataFrame(run, "file string, run int, start int, end int, item int"), spark.createDataFrame(span, "file string, start int, end int, target int"))
+    want = [(k, t) for _, k, a, b, item in run for _, s, e, t in span if a <= s and e <= b and t != item]
+    assert rows(got, "run", "target") == sorted(want, key=repr)
+
+
 def test_fingerprint_ignores_order(spark):
     df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, c string")
     one = intervals.fingerprint(df, "k", "c").head()
@@ -234,6 +264,26 @@ def test_lexer_classes(spark):
     assert whole == text
 
 
+def test_lexer_strings(spark):
+    from rookery.functions import lexing
+
+    strings = [r'"a\"b"', r'"\\"', '""', '"two\nlines"', 'r"c:\\"', 'r#"say "hi" // no"#', 'br##"x"#y"##', 'b"z"', r'"\\\""']
+    df = spark.createDataFrame([(f"f({x});",) for x in strings] + [(None,), ("",), ('let a = "open',)], "t string")
+    got = [r.t for r in df.select(lexing.tokens(F.col("t")).alias("t")).collect()]
+    assert [[(t["text"], t["class"]) for t in x][2:-2] for x in got[: len(strings)]] == [[(x, "str")] for x in strings]
+    assert got[-3] is None and got[-2] == [] and "".join(t["text"] for t in got[-1]) == 'let a = "open'
+
+
+def test_lexer_on_a_long_file(spark):
+    from rookery.functions import lexing
+
+    line = 'pub fn note(at: &str) -> Wire { wire("x", at) } // done\n'
+    n = 10_000
+    files = spark.createDataFrame([("f", 'let all = "' + "long " * 50_000 + '";\n' + line * n)], "file string, text string")
+    last = lexing.runs(files).where("text = '// done'").agg(F.count("*"), F.max("line")).head()
+    assert tuple(last) == (n, n)
+
+
 def test_quotes_and_links(spark):
     from rookery.functions import lexing
 
