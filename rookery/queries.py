@@ -120,14 +120,15 @@ def q_event_on_link(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_EVENTS}, g as (select distinct p_name || ' ' || dst % 20 as name from ev join part on p_partkey = ev.dst where event = 'removed')
-select name from g where name not in (select p_name || ' ' || dst % 20 from part join l on l.dst = p_partkey)""",
+    f"""with {_EVENTS}, g as (select distinct p_name || ' ' || dst || '.' || src % 20 as name from ev join part on p_partkey = ev.dst where event = 'removed')
+select name from g where name not in (select p_name || ' ' || dst || '.' || src % 20 from part join l on l.dst = p_partkey)""",
     "hop",
 )
 def q_ghosts(s: SparkSession, d: str) -> DataFrame:
-    names = _items(s, d).select(F.col("id").alias("dst"), F.concat_ws(" ", "name", (F.col("id") % 20).cast("string")).alias("name"))
+    names = _items(s, d).select(F.col("id").alias("dst"), F.col("name").alias("crate"))
+    named = lambda links: links.join(names, "dst").withColumn("name", F.expr("crate || ' ' || dst || '.' || src % 20"))
     old, new = _editions(s, d)
-    return dependency.ghosts(dependency.manifest_events(old, new, ["src", "dst", "kind"]).join(names, "dst"), new.join(names, "dst"))
+    return dependency.ghosts(named(dependency.manifest_events(old, new, ["src", "dst", "kind"])), named(new))
 
 
 _ENTRY = "select min(id) node from fx_item where id not in (select dst from fx_edge where src <> dst)"
@@ -325,9 +326,9 @@ def q_touches(s: SparkSession, d: str) -> DataFrame:
 # ---- data altitude
 
 
-def _holds(s: SparkSession, d: str) -> DataFrame:
+def _holds(s: SparkSession, d: str, edges: str = "fx_edge") -> DataFrame:
     kind = F.when(F.col("kind") == "normal", "owns").when(F.col("kind") == "dev", "shares").otherwise("borrows")
-    return _edges(s, d).select("src", "dst", kind.alias("kind"), F.col("w").alias("fields"))
+    return relation(s, d, edges).select("src", "dst", kind.alias("kind"), F.col("w").alias("fields"))
 
 
 @query(
@@ -340,12 +341,12 @@ def q_holders_shared(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_nest_forest(s: SparkSession, d: str) -> DataFrame:
-    return ownership.nesting_forest(_holds(s, d), _items(s, d).withColumn("frame", F.col("crate")))
+    return ownership.nesting_forest(_holds(s, d, "few_edge"), _items(s, d).withColumn("frame", F.col("crate")))
 
 
 @query()
 def q_data_tiers(s: SparkSession, d: str) -> DataFrame:
-    return ownership.data_tiers(_holds(s, d), _items(s, d).withColumn("frame", F.col("crate")))
+    return ownership.data_tiers(_holds(s, d, "few_edge"), _items(s, d).withColumn("frame", F.col("crate")))
 
 
 @query(f"with seed as (select id node from fx_item where size = 3), {_UP}, {_BFS} select node, hops from d where hops > 0", "fx_edge", "fx_item")
