@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from rookery.plans.staging import discard, shared_folder, staged
 
-__all__ = ["shared_folder", "staged", "discard", "table", "slices", "utf8", "crc32_of_id", "small", "join_heavy"]
+__all__ = ["shared_folder", "staged", "discard", "table", "slices", "utf8", "crc32_of_id", "small", "join_heavy", "ranked"]
 
 #: Rows, and bytes of text, that a Python function takes at once (or one row).  Spark bounds what it sends by bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
@@ -72,3 +73,31 @@ def join_heavy(rows: DataFrame, by_key: DataFrame, key: str, size: str, total: i
     there = marked.where("heavy_ is not null").select(*rows.columns, *[F.col("heavy_")[v].alias(v) for v in values])
     other = marked.where("heavy_ is null").select(*rows.columns).join(by_key.where(F.col(size) * SHARE <= total), key)
     return there.unionByName(other.select(*rows.columns, *values))
+
+
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str, within=None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``rank`` (from 0 in its group) and ``n`` (rows of the group), and the groups with their ``n``.
+
+    Rows are range-sorted by group and order over all tasks, so a group of any
+    size is spread; a row's rank is its place in its partition and the count of
+    its group's rows in the partitions before.  Equal rows are split like others.
+    The result is a staged table: a task that reads it meets ranks in ascending
+    stretches.  ``within`` (a pair of a function on Arrow batches and what it
+    returns) sees each partition in order before it is written.  Groups must not
+    be null.  Only a row for each partition and group is gathered.
+    """
+    kept = rows.columns
+    by = [*group, *order, "tie_"]
+    # staged rows come in, so the ranges' sample doesn't run what made them
+    laid = rows.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).select(*kept)
+    if within:
+        laid = laid.mapInArrow(*within)
+    kept = laid.columns
+    laid = staged(laid.withColumns({"part_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}), name)
+    spans = staged(laid.groupBy("part_", *group).agg(F.count("*").alias("rows_"), F.min("place_").alias("first_")), f"{name}-spans")
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    before = F.coalesce(F.sum("rows_").over(whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = spans.withColumns({"before_": before, "n": F.sum("rows_").over(whole)}).drop("rows_")
+    out = laid.join(small(offsets, spans.count()), ["part_", *group])
+    groups = spans.groupBy(*group).agg(F.sum("rows_").alias("n"))
+    return out.select(*kept, (F.col("before_") + F.col("place_") - F.col("first_")).alias("rank"), "n"), groups

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rookery.llm import chat, decontaminate, near_dedup, pieces, quality, secrets, sharding, topk, toxicity, urls
+from rookery.llm import chat, decontaminate, merkle, mixing, near_dedup, pieces, quality, secrets, sharding, topk, toxicity, trie, urls
 from rookery.llm.common import table
 
 
@@ -51,12 +51,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_decontaminate, op2_quality, op3_url_filter, op4_chat_format, op5_top_k,
             op6_shard, op7_toxicity, op8_sentencepiece, op9_near_dedup, op10_secret_scan,
+            op11_merkle_manifest, op12_mix_sources, op13_prefix_trie,
         )
     }
 
@@ -68,4 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_format": chat.ORACLE_SQL,
         "op5_top_k": topk.ORACLE_SQL,
         "op6_shard": sharding.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
+        "op13_prefix_trie": trie.ORACLE_SQL,
     }

@@ -318,7 +318,7 @@ def test_query_matches_its_sql(spark, data, name):
 
 
 def test_numbers_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_patterns_take_time_in_proportion(spark):
