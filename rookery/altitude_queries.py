@@ -431,7 +431,7 @@ def q_neighbourhood(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_EVENT_LINKS} select src, dst, event, list_extract([0.38, 0.54, 0.68], 1 + (row_number() over (partition by src order by dst) - 1) % 3)::double as at from (select src, dst, min(event) event from ln where event is not null group by src, dst)""",
+    f"""with {_EVENT_LINKS} select src, dst, event, list_extract([0.38, 0.54, 0.68], 1 + (row_number() over (order by src, dst) - 1) % 3)::double as at from (select src, dst, min(event) event from ln where event is not null group by src, dst)""",
     "fx_edge",
 )
 def q_event_labels(s: SparkSession, d: str) -> DataFrame:
@@ -460,11 +460,36 @@ def q_member_dirs(s: SparkSession, d: str) -> DataFrame:
     return landmarks.member_dirs(_items(s, d).select("name", at.alias("manifest_path"), (F.col("size") <= 10).alias("is_member")), "/w/root")
 
 
+def _ring_walk(s: SparkSession, d: str) -> DataFrame:
+    orders = _table(s, d, "orders").select(F.col("o_orderkey").alias("node"), "o_orderpriority")
+    root = orders.agg(F.min("node").alias("node"))
+    return graph.ring_walk(relation(s, d, "order_edge"), orders.select("node"), orders.where("o_orderpriority = '1-URGENT'").select("node"), root)
+
+
+#: SQL: who discovers whom; a node's path of ids is its place in its level.
+_TREE = """select e.dst node, t.node parent, t.hops + 1 hops, list_append(t.path, e.dst) path, row_number() over (partition by e.dst order by t.path) k
+  from {t} t join order_edge e on e.src = t.node join {d} d on d.node = e.dst and d.hops = t.hops + 1"""
+_STEP = "select order_edge.dst, r.hops + 1 from {r} r join order_edge on order_edge.src = r.node"
+
+
+@query(
+    f"""with r0(node, hops) as (select min(o_orderkey), 0 from orders union {_STEP.format(r="r0")} where r.hops < 200), d0 as (select node, min(hops) hops from r0 group by node),
+ t0(node, parent, hops, path) as (select node, cast(null as bigint), 0, [node] from d0 where hops = 0 union all select node, parent, hops, path from ({_TREE.format(t="t0", d="d0")}) x where k = 1),
+ s1 as (select o_orderkey node from orders where o_orderpriority = '1-URGENT' and o_orderkey not in (select node from d0)),
+ r1(node, hops) as (select node, 1 from s1 union {_STEP.format(r="r1")} where r.hops < 200 and order_edge.dst not in (select node from d0)), d1 as (select node, min(hops) hops from r1 group by node),
+ t1(node, parent, hops, path) as (select node, cast(null as bigint), 1, [node] from s1 union all select node, parent, hops, path from ({_TREE.format(t="t1", d="d1")}) x where k = 1),
+ known as (select node, hops, parent from t0 union all select node, hops, parent from t1),
+ every as (select * from known union all select o_orderkey, (select max(hops) + 1 from known), null from orders where o_orderkey not in (select node from known))
+select node, hops, least(hops, 4) ring, parent from every""",
+    "order_edge",
+)
+def q_ring_walk(s: SparkSession, d: str) -> DataFrame:
+    return _ring_walk(s, d)
+
+
 @query(None)
 def q_radial_layout(s: SparkSession, d: str) -> DataFrame:
-    from rookery.queries import q_rings_capped
-
-    return landmarks.radial_layout(_edges(s, d), q_rings_capped(s, d).select("node", "hops"))
+    return landmarks.radial_layout(_ring_walk(s, d).select("node", "hops", "parent"))
 
 
 # ---- predicates and words
@@ -473,7 +498,7 @@ def q_radial_layout(s: SparkSession, d: str) -> DataFrame:
 @query(
     """with w as (select src, dst, kind = 'build' bundle, src % 3 = 0 lit, kind = 'dev' answers, w % 2 = 0 picked, dst % 5 = 0 def_dirty, src % 5 = 0 user_dirty, src % 2 <> dst % 2 as crosses from fx_edge)
 select src, dst, case when bundle then not picked when lit or answers then true when picked then false else user_dirty end calls_dirty, case when bundle then not picked when lit or answers then true when picked then false else not crosses end clean,
- case when bundle then false else src % 7 = 0 or dst % 7 = 0 end hover from w""",
+ case when bundle then false when answers then src % 7 = 0 else src % 7 = 0 or dst % 7 = 0 end hover from w""",
     "fx_edge",
 )
 def q_resting_drawn(s: SparkSession, d: str) -> DataFrame:
@@ -481,7 +506,9 @@ def q_resting_drawn(s: SparkSession, d: str) -> DataFrame:
     bundle, lit, answers, picked = F.col("kind") == "build", src % 3 == 0, F.col("kind") == "dev", F.col("w") % 2 == 0
     anchored, cross = P.diff_anchored("out", dst % 5 == 0, src % 5 == 0), src % 2 != dst % 2
     drawn = lambda dirty: P.resting_drawn(bundle, lit, answers, picked, F.lit(dirty), anchored, cross)
-    return _edges(s, d).select("src", "dst", drawn(True).alias("calls_dirty"), drawn(False).alias("clean"), P.hovered(bundle, src % 7 == 0, dst % 7 == 0).alias("hover"))
+    # the pointer is at every seventh declaration, and references are read outwards
+    hover = P.hovered(bundle, answers, "out", F.lit(0), dst % 7, src % 7)
+    return _edges(s, d).select("src", "dst", drawn(True).alias("calls_dirty"), drawn(False).alias("clean"), hover.alias("hover"))
 
 
 _WORDED = """select id, case when parent is null then name else 'T' || parent || '::' || name end as label, case when id % 2 = 0 then 'impl ' || name else 'impl A<B> for ' || name end header, case when vis = '' then '' else vis || ' ' end || kind decl_words,

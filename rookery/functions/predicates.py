@@ -89,9 +89,9 @@ def resting_drawn(bundle: Column, lit: Column, answers: Column, picked: Column,
     return F.when(bundle, ~picked).when(lit | answers, True).when(picked, False).when(dirty, anchored).otherwise(~cross)
 
 
-def hovered(bundle: Column, from_here: Column, to_here: Column) -> Column:
-    """Whether hovering lights a line: from either end, a bundle never."""
-    return F.when(bundle, False).otherwise(from_here | to_here)
+def hovered(bundle: Column, reference: Column, direction: str, at: Column, definition: Column, user: Column) -> Column:
+    """Whether hovering at a node lights a line: a reference by the direction that is read, structure from either end, a bundle never."""
+    return F.when(bundle, False).when(reference, draws(direction, at, definition, user)).otherwise(draws("both", at, definition, user))
 
 
 def wire_visible(rests: Column, holding_kin: Column, near: Column) -> Column:

@@ -94,8 +94,8 @@ def out_links(name: Column, version: Column, registry: Column, repository: Colum
     return F.array_compact(F.concat(first, F.array(home)))
 
 
-def _ink(count: Column, base: float, slope: float, most: float) -> Column:
-    return F.least(F.lit(base) + F.ln(F.greatest(count, F.lit(1)).cast("double")) * slope, F.lit(most))
+def _ink(count: Column, base: float, per_log: float, most: float) -> Column:
+    return F.least(F.lit(base) + F.ln(F.greatest(count, F.lit(1)).cast("double")) * per_log, F.lit(most))
 
 
 def tie_width(count: Column) -> Column:

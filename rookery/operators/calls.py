@@ -28,16 +28,6 @@ def way_in_reach(calls: DataFrame, drawn: DataFrame) -> DataFrame:
     return descendants(discovery_tree(calls, drawn))
 
 
-def contract_edges(clauses: DataFrame, methods: DataFrame) -> DataFrame:
-    """(clause, method): a trait's clause is answered by the methods of that name of types that promise the trait; the first clause of a name counts.
-
-    ``clauses`` is (trait, name, id), ``methods`` (trait, name, id) with the
-    promised trait; a method isn't its own answer.
-    """
-    first = clauses.groupBy("trait", "name").agg(F.min("id").alias("clause"))
-    return methods.join(first, ["trait", "name"]).where("id <> clause").select("clause", F.col("id").alias("method"))
-
-
 def corridors(calls: DataFrame, homes: DataFrame) -> DataFrame:
     """Calls between modules: (src_module, dst_module, calls), each call at least once, none inside a module."""
     home = homes.select("node", "module")

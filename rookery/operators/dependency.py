@@ -71,20 +71,6 @@ def ghosts(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return gone.join(nodes.select("name").distinct(), "name", "left_anti")
 
 
-def path_to_root(links: DataFrame, selected: DataFrame) -> DataFrame:
-    """Edges on some way from a user down to the selection, with their role.
-
-    An edge is drawn iff its dependency end is in the closure, which includes the
-    selection.  Role: dep from the selection, else user.
-    """
-    live = routes(links)
-    start = selected.select(F.col(selected.columns[0]).alias("node"))
-    up = closure(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, inclusive=True).select("node")
-    sel = start.distinct().select(F.col("node").alias("src"), F.lit(True).alias("from_sel"))
-    drawn = live.join(up.select(F.col("node").alias("dst")), "dst").select("src", "dst").distinct().join(sel, "src", "left")
-    return drawn.select("src", "dst", F.when(F.col("from_sel"), "dep").otherwise("user").alias("role"))
-
-
 def merge_edges(links: DataFrame) -> DataFrame:
     """One edge a pair: the kind of the smallest drawing rank, and the weight of all."""
     ranked = links.withColumn("rank", rank_of(F.col("kind"), KIND_RANK))
@@ -113,7 +99,7 @@ def longest_prefix(paths: DataFrame, owners: DataFrame) -> DataFrame:
     """(path, owner): the deepest owner that is the path or one of its directories; the owner ``.`` has everything, else null.
 
     Paths are taken apart into their prefixes, so this is an equi join, and
-    ``crates/outerly`` never matches ``crates/outer``.
+    ``libs/corely`` never matches ``libs/core``.
     """
     p = paths.select("path").distinct()
     tried = p.select("path", F.explode(prefixes(F.col("path"))).alias("x")).select("path", F.col("x.prefix").alias("owner"), F.col("x.depth").alias("depth"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.plans.staging import staged
+from rookery.plans.staging import discard, staged
 
 #: Rounds after which the rounds' tables are put together.
 FOLD = 12
@@ -36,16 +36,21 @@ def distances(edges: DataFrame, seeds: DataFrame, start: int = 0) -> DataFrame:
 def spread(e: DataFrame, known: DataFrame, start: int) -> DataFrame:
     """Breadth first from the nodes of ``known`` that have ``start`` hops, to nodes not in ``known``."""
     frontier, hops, rounds = known.where(F.col("hops") == start), start, 0
+    rest: list[DataFrame] = []  # rounds' tables that ``known`` is made of, beyond what came in
     while True:
         hops += 1
         new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
         new = staged(new.withColumn("hops", F.lit(hops)), "hops")
         if new.isEmpty():
+            discard(new)
             return known
         known = known.unionByName(new)
         rounds += 1
+        rest.append(new)
         if rounds % FOLD == 0:
             known = staged(known, "hops")
+            discard(*rest[:-1])  # the last one is the frontier
+            rest = [new, known]
         frontier = new
 
 
@@ -88,15 +93,93 @@ def _from(e: DataFrame, known: DataFrame, seated: DataFrame, at: int) -> DataFra
     return spread(e, settled.unionByName(seated), at).where("hops >= 0")
 
 
+def _in_order(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank``, a number that ascends with ``order``: a range of rows for each task, so no task orders them all."""
+    return staged(df.repartitionByRange(*order).sortWithinPartitions(*order).drop("first").withColumn("rank", F.monotonically_increasing_id()), "walk")
+
+
+def queue_walk(e: DataFrame, known: DataFrame, seats: DataFrame, at: int) -> DataFrame:
+    """(node, hops, parent) of ``seats`` and of all that a queue discovers from them, but for nodes of ``known``.
+
+    The seats stand in the queue by id, at ``at`` hops; a node's targets follow it by
+    id.  So within a level nodes are in the order of who discovered them, then of
+    id, and of several discoverers the first in that order is the parent.  A level
+    has ranks of its own, which are all that the next one needs.
+    """
+    start = seats.select(F.col(seats.columns[0]).alias("node")).where("node is not null").distinct().join(known.select("node"), "node", "left_anti")
+    frontier = _in_order(start.select("node", F.lit(at).alias("hops"), F.lit(None).cast(e.schema["src"].dataType).alias("parent")), "node")
+    found, rounds, rest = frontier, 0, [frontier]
+    while True:
+        settled = known.select("node").unionByName(found.select("node"))
+        met = frontier.select(F.col("node").alias("src"), "rank").join(e.select("src", "dst"), "src").join(settled.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        at += 1
+        first = met.groupBy("dst").agg(F.min(F.struct("rank", "src")).alias("by"))
+        new = _in_order(first.select(F.col("dst").alias("node"), F.lit(at).alias("hops"), F.col("by.src").alias("parent"), F.col("by.rank").alias("first")), "first", "node")
+        if new.isEmpty():
+            discard(new)
+            return found.drop("rank")
+        found = found.unionByName(new)
+        rounds += 1
+        rest.append(new)
+        if rounds % FOLD == 0:
+            found = staged(found, "walk")
+            discard(*rest[:-1])
+            rest = [new, found]
+        frontier = new
+
+
+def ring_walk(edges: DataFrame, nodes: DataFrame, members: DataFrame, root: DataFrame, cap: int = 4) -> DataFrame:
+    """(node, hops, ring, parent): rings as in ``rings``, and who discovered each node; seats have no parent.
+
+    The walk has three parts, and what one has found keeps its place: from the
+    root; from members that the root doesn't reach, seated at 1; from what they
+    don't reach either, seated outside all rings.
+    """
+    e = staged(_edges(edges), "edges")
+    node = staged(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), "nodes")
+    only = lambda df: df.select(F.col(df.columns[0]).alias("node")).distinct().join(node, "node", "left_semi")
+    known = staged(queue_walk(e, node.limit(0), only(root), 0), "rings")
+    for seats, at in ((only(members), 1), (node, None)):
+        left = seats.join(known, "node", "left_anti")
+        if not left.isEmpty():
+            at = at or known.agg(F.coalesce(F.max("hops"), F.lit(0)) + 1).head()[0]
+            before, known = known, staged(known.unionByName(queue_walk(e, known, left, at)), "rings")
+            discard(before)
+    return known.withColumn("ring", F.least("hops", F.lit(cap)))
+
+
+def cycle_heads(pointers: DataFrame) -> DataFrame:
+    """(node): the largest node of each cycle of (node, parent), where a node has one parent at most.
+
+    Paths double in every round, and each knows the largest node on it.  A path
+    that ends is dropped; a node that is the largest on its own path closes a
+    cycle, and all paths on or into that are dropped with it.
+    """
+    paths = pointers.where("parent is not null").select("node", F.col("parent").alias("jump"), F.col("parent").alias("most"))
+    paths, heads = staged(paths, "paths"), pointers.select("node").limit(0)
+    while True:
+        n, closed = paths.agg(F.count("*"), F.count_if(F.col("most") == F.col("node"))).head()
+        if not n:
+            discard(paths)
+            return heads
+        left = paths
+        if closed:
+            found = staged(paths.where("most = node").select("node"), "heads")
+            heads = heads.unionByName(found)
+            left = paths.join(found.withColumnRenamed("node", "most"), "most", "left_anti")
+        on = left.select(F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("most").alias("further"))
+        before, paths = paths, staged(left.join(on, "jump").select("node", F.col("next").alias("jump"), F.greatest("most", "further").alias("most")), "paths")
+        discard(before)
+
+
 def discovery_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, parent, level, place): who discovers whom in a breadth-first walk.
+    """(node, parent, level): who discovers whom in a breadth-first walk.
 
     ``edges`` has src, dst and w.  The walk starts from nodes that nothing leads to,
     in order of id, and tries a node's edges heaviest first, then by id; what is
     left is walked from its smallest id, ring after ring.  A level is one round:
-    of several discoverers the first in the walk's order wins.  ``place`` is a
-    node's path of edge numbers from its start: within a level paths compare as
-    the walk's order, so no level has to be numbered in one task.
+    of several discoverers the first in the walk's order wins.  Levels are ordered
+    in ranges, so no level has to be numbered in one task.
     """
     on = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
     e = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
@@ -109,7 +192,7 @@ def discovery_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # strongly tied leftovers of different rings don't meet, so each ring's smallest id can start at once
         heads = _ring_heads(e, left)
         if heads.isEmpty():
-            return known
+            return known.drop("rank")
         known = _walk(e, heads, known)
 
 
@@ -121,32 +204,39 @@ def _ring_heads(e: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each weakly connected part; ``nodes`` has both ends of all edges."""
+    """(node, label): the smallest node of each weakly connected part; ``nodes`` has both ends of all edges.
+
+    A round takes the smallest label among neighbours, then the label of that
+    label, so a label travels ever further.
+    """
     inside, left = edges.select("src", "dst"), nodes.select("node")
     both = staged(inside.unionByName(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "left-edges")
-    label = staged(left.select("node", F.col("node").alias("label")), "labels")
+    label = staged(left.select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
         least = label.join(both, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("label").alias("least"))
-        new = staged(label.join(least, F.col("node") == F.col("dst"), "left").select("node", F.least("label", F.coalesce("least", "label")).alias("new"), "label"), "labels")
-        changed = not new.where("new <> label").isEmpty()
-        label = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return label
+        hooked = label.join(least, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "least").alias("at"), "label")
+        far = label.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        new = hooked.join(far, "at").select("node", F.least("at", "far").alias("label"), (F.least("at", "far") < F.col("label")).alias("moved"))
+        before, label = label, staged(new, "labels")
+        discard(before)
+        if label.where("moved").isEmpty():
+            discard(both)
+            return label.select("node", "label")
 
 
 def _walk(e: DataFrame, seeds: DataFrame, known: DataFrame | None) -> DataFrame:
-    start = seeds.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level"), F.array(F.col("node").cast("long")).alias("place"))
-    frontier = staged(start, "walk")
+    start = seeds.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level"))
+    frontier = _in_order(start, "node")
     known = frontier if known is None else known.unionByName(frontier)
     level = 0
     while True:
         level += 1
-        met = frontier.select(F.col("node").alias("src"), "place").join(e, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
-        first = met.groupBy("dst").agg(F.min(F.struct("place", "nth", "src")).alias("by"))
-        place = F.concat("by.place", F.array(F.col("by.nth").cast("long")))
-        new = first.select(F.col("dst").alias("node"), F.col("by.src").alias("parent"), F.lit(level).alias("level"), place.alias("place"))
-        new = staged(new, "walk")
+        met = frontier.select(F.col("node").alias("src"), "rank").join(e, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
+        first = met.groupBy("dst").agg(F.min(F.struct("rank", "nth", "src")).alias("by"))
+        place = F.struct("by.rank", "by.nth").alias("first")
+        new = _in_order(first.select(F.col("dst").alias("node"), F.col("by.src").alias("parent"), F.lit(level).alias("level"), place), "first")
         if new.isEmpty():
+            discard(new)
             return known
         known = staged(known.unionByName(new), "walk") if level % FOLD == 0 else known.unionByName(new)
         frontier = new

@@ -13,12 +13,12 @@ from rookery.operators.graph import closure
 from rookery.plans.staging import staged
 
 #: Externals that are named at rest; rings at rest; places of event labels along an edge.
-NAMED_EXTERNALS, DEFAULT_CAP, STAGGER = 20, 4, (0.38, 0.54, 0.68)
+SHOWN_OUTSIDERS, RINGS_AT_REST, LABEL_PLACES = 20, 4, (0.38, 0.54, 0.68)
 #: Space between rings, the most of it, and between stars of a ring.
-RING_GAP, MAX_RING_GAP, MIN_ARC = 150.0, 380.0, 24.0
+NEXT_RING, NEXT_RING_MOST, STAR_ROOM = 150.0, 380.0, 24.0
 
 
-def biggest_externals(nodes: DataFrame, limit: int = NAMED_EXTERNALS) -> DataFrame:
+def biggest_externals(nodes: DataFrame, limit: int = SHOWN_OUTSIDERS) -> DataFrame:
     """External nodes with most dependents, then by name and id."""
     return nodes.where("not is_member and not ghost").orderBy(F.desc("dependents"), "name", "id").limit(limit)
 
@@ -46,11 +46,11 @@ def deepest_by_name(rings: DataFrame, nodes: DataFrame) -> DataFrame:
 def ring_cap(deepest: DataFrame, step: str | None) -> int:
     """Rings that are drawn apart for a step: none, ``ring:3``, or names joined by ``+``, which open the rings down to below them."""
     if step is None:
-        return DEFAULT_CAP
+        return RINGS_AT_REST
     if step.startswith("ring:"):
-        return max(int(step[5:]), DEFAULT_CAP)
+        return max(int(step[5:]), RINGS_AT_REST)
     hops = deepest.where(F.col("name").isin(*step.split("+"))).agg(F.max("hops")).head()[0]
-    return max(DEFAULT_CAP, (hops or 0) + 1)
+    return max(RINGS_AT_REST, (hops or 0) + 1)
 
 
 def around(sorted_names: DataFrame) -> DataFrame:
@@ -63,9 +63,19 @@ def around(sorted_names: DataFrame) -> DataFrame:
 
 
 def event_labels(edges: DataFrame) -> DataFrame:
-    """Edges with an event, and where along each its label stands: three places in turn, by each user's edges in the order of ids."""
-    turn = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
-    return edges.where("event is not null").withColumn("at", F.element_at(F.array(*map(F.lit, STAGGER)), F.pmod(turn, F.lit(len(STAGGER))).cast("int") + 1))
+    """Edges with an event, and where along each its label stands: three places in turn, over all such edges in the order of (src, dst).
+
+    The order is one of ranges over tasks; an edge's number is its place in its
+    range and the sizes of the ranges before.
+    """
+    labelled = edges.where("event is not null")
+    laid = labelled.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
+    laid = staged(laid.withColumns({"range_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}), "labels")
+    sizes = laid.groupBy("range_").agg(F.count("*").alias("size_"), F.min("place_").alias("first_"))
+    before = sizes.withColumn("before_", F.sum("size_").over(Window.orderBy("range_")) - F.col("size_")).drop("size_")  # a row for each range
+    turn = F.col("before_") + F.col("place_") - F.col("first_")
+    at = F.element_at(F.array(*map(F.lit, LABEL_PLACES)), F.pmod(turn, F.lit(len(LABEL_PLACES))).cast("int") + 1)
+    return laid.join(F.broadcast(before), "range_").withColumn("at", at).drop("range_", "place_", "first_", "before_")
 
 
 def drawn_edges(links: DataFrame, selected: DataFrame, direction: str) -> DataFrame:
@@ -118,13 +128,6 @@ def member_dirs(packages: DataFrame, root: str) -> DataFrame:
     return inside.select(F.col("name").alias("member"), rel.alias("dir"), F.when(rel == ".", 0).otherwise(F.size(F.split(rel, "/"))).alias("depth"))
 
 
-def ring_tree(edges: DataFrame, rings: DataFrame) -> DataFrame:
-    """(node, hops, parent): a star's parent is the smallest node of the ring inside it that leads to it; seats of their own have none."""
-    hop = lambda c: rings.select(F.col("node").alias(c), F.col("hops").alias(f"{c}_hops"))
-    e = edges.where("src <> dst").join(hop("src"), "src").join(hop("dst"), "dst").where("dst_hops = src_hops + 1")
-    return rings.select("node", "hops").join(e.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")), "node", "left")
-
-
 def leaf_weights(tree: DataFrame) -> DataFrame:
     """(node, hops, parent, weight): how many outermost stars stand below each, a star without any is one; from the outermost ring inwards."""
     tree = staged(tree.select("node", "hops", "parent"), "tree")
@@ -183,14 +186,17 @@ def ring_radii(angles: DataFrame, cap: int) -> list[float]:
     deepest = a.agg(F.max("ring")).head()[0] or 0
     radii = [0.0]
     for k in range(1, deepest + 1):
-        needed = MIN_ARC / max(quarter[k], 1e-4) if k in quarter else 0.0
-        radii.append(min(max(needed, radii[-1] + RING_GAP), radii[-1] + MAX_RING_GAP))
+        needed = STAR_ROOM / max(quarter[k], 1e-4) if k in quarter else 0.0
+        radii.append(min(max(needed, radii[-1] + NEXT_RING), radii[-1] + NEXT_RING_MOST))
     return radii
 
 
-def radial_layout(edges: DataFrame, rings: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
-    """(node, hops, ring, angle, radius, x, y): where every star stands; a star is in the middle of its sector."""
-    placed = sectors(leaf_weights(ring_tree(edges, rings))).withColumn("angle", F.col("start") + F.col("width") / 2)
+def radial_layout(tree: DataFrame, cap: int = RINGS_AT_REST) -> DataFrame:
+    """(node, hops, ring, angle, radius, x, y): where every star stands; a star is in the middle of its sector.
+
+    ``tree`` is (node, hops, parent) as ``graph.ring_walk`` gives it; seats of their own have no parent.
+    """
+    placed = sectors(leaf_weights(tree)).withColumn("angle", F.col("start") + F.col("width") / 2)
     placed = staged(placed.select("node", "hops", "angle"), "angles")
     radii = F.array(*map(F.lit, ring_radii(placed, cap)))
     out = placed.withColumn("ring", F.least("hops", F.lit(cap))).withColumn("radius", F.element_at(radii, F.col("ring") + 1))

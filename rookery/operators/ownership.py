@@ -6,18 +6,16 @@ kind is owns, shares or borrows.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.operators.graph import closure, components
-from rookery.plans.staging import staged
+from rookery.functions.predicates import VISIBILITY, visibility_rank
+from rookery.operators.graph import closure, cycle_heads
+from rookery.plans.staging import discard, staged
 
 #: Fixed value: more holders than this make a type vocabulary.
 HELD_CAP = 3
-#: Who may see a declaration, from the widest.
-VISIBILITY = {"pub": 0, "pub(crate)": 1, "pub(super)": 2, "pub(in)": 2, "": 3}
 #: wrappers' strength, by kind of hold.
 HOLD_RANK = {"owns": 0, "borrows": 1, "dyn": 2, "shares": 3}
 
@@ -28,32 +26,17 @@ def holders(holds: DataFrame) -> DataFrame:
     return h.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("held_by"), F.bool_or(F.col("kind") == "shares").alias("shared"))
 
 
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy nesting in one group of tied nodes: nodes in order of id take the heaviest candidate that closes no ring."""
-    nest: dict[int, int] = {}
-    rows = []
-    for node, mine in pdf.sort_values(["node", "weight", "parent"], ascending=[True, False, True]).groupby("node", sort=True):
-        taken = None
-        for parent in mine["parent"]:
-            at = parent
-            while at is not None and at != node:
-                at = nest.get(at)
-            if at is None:
-                taken = int(parent)
-                break
-        if taken is not None:
-            nest[int(node)] = taken
-        rows.append((int(node), taken, taken is None))
-    return pd.DataFrame(rows, columns=["node", "parent", "ringed"]).astype({"parent": "Int64"})
-
-
 def nesting_forest(holds: DataFrame, items: DataFrame) -> DataFrame:
     """(node, parent, ringed) for items that some item of their frame plainly owns.
 
-    Statics and vocabulary neither nest; vocabulary doesn't contain.  Nodes that
-    can't be on a ring of candidates take their heaviest one, by an aggregate.  For
-    the others the choice depends on earlier ones, so those that candidates tie
-    together are one group, as (node, parent, weight) rows.
+    Items choose in the order of their ids: each takes the heaviest of its owners
+    (the smallest of equals) from which no ring is closed; one without such an owner
+    is ringed.  Statics and vocabulary neither nest; vocabulary doesn't contain.
+
+    At first every item has its heaviest owner.  If choices form a ring, its largest
+    item is the one that would have closed it: the others chose before, and nothing
+    that happens elsewhere makes them choose anew.  So in each round the largest
+    item of every ring moves on to its next owner, until there are no rings.
     """
     it = items.select(F.col("id").alias("node"), "kind", "frame")
     vocab = holders(holds).where(F.col("held_by") > HELD_CAP).select("node")
@@ -61,29 +44,19 @@ def nesting_forest(holds: DataFrame, items: DataFrame) -> DataFrame:
     owns = holds.where("kind = 'owns' and src <> dst").groupBy("src", "dst").agg(F.sum("fields").alias("weight"))
     child = may.where("kind <> 'static'").select(F.col("node").alias("dst"), "frame")
     parent = may.where(F.col("kind").isin("struct", "enum", "union", "static")).select(F.col("node").alias("src"), F.col("frame").alias("parent_frame"))
-    pairs = owns.join(child, "dst").join(parent, "src").where("frame = parent_frame").select(F.col("dst").cast("long").alias("node"), F.col("src").cast("long").alias("parent"), "weight")
-    pairs = staged(pairs, "nest")
-    tied = _tied(pairs)
-    nodes = tied.select("node").distinct()
-    first = pairs.join(nodes, "node", "left_anti").groupBy("node").agg(F.min_by("parent", F.struct(-F.col("weight"), "parent")).alias("parent"))
-    free = first.select("node", "parent", F.lit(False).alias("ringed"))
-    if tied.isEmpty():
-        return free
-    label = components(tied.select(F.col("node").alias("src"), F.col("parent").alias("dst")), nodes)
-    return free.unionByName(pairs.join(label, "node").groupBy("label").applyInPandas(_forest, "node long, parent long, ringed boolean"))
-
-
-def _tied(pairs: DataFrame) -> DataFrame:
-    """(node, parent) of candidates on rings or between rings: in rounds, those go whose node holds none or whose parent is held by none."""
-    tied = pairs.select("node", "parent")
-    n = tied.count()
-    while n:
-        holding, held = tied.select(F.col("parent").alias("node")), tied.select(F.col("node").alias("parent"))
-        tied = staged(tied.join(holding, "node", "left_semi").join(held, "parent", "left_semi"), "tied")
-        before, n = n, tied.count()
-        if n == before:
-            break
-    return tied
+    pairs = owns.join(child, "dst").join(parent, "src").where("frame = parent_frame")
+    # an item has ``HELD_CAP`` owners at most
+    order = Window.partitionBy("dst").orderBy(F.desc("weight"), "src")
+    options = staged(pairs.select(F.col("dst").cast("long").alias("node"), F.row_number().over(order).alias("nth"), F.col("src").cast("long").alias("parent")), "nest")
+    choice = options.where("nth = 1")
+    while True:
+        heads = cycle_heads(choice.select("node", "parent"))
+        if heads.isEmpty():
+            return choice.select("node", "parent", F.col("parent").isNull().alias("ringed"))
+        on = choice.join(heads, "node", "left_semi").select("node", (F.col("nth") + 1).alias("nth"))
+        moved = on.join(options, ["node", "nth"], "left")
+        before, choice = choice, staged(choice.join(heads, "node", "left_anti").unionByName(moved), "nested")
+        discard(before)
 
 
 def data_tiers(holds: DataFrame, items: DataFrame, holders_off: DataFrame | None = None) -> DataFrame:
@@ -131,9 +104,7 @@ def label_bar(counts: DataFrame, nth: int = 13, least: int = 2) -> DataFrame:
 
 def visible(vis: str, floor: str):
     """Whether a visibility is admitted by a floor."""
-    from rookery.operators.dependency import rank_of
-
-    return rank_of(F.col(vis), VISIBILITY) <= VISIBILITY[floor]
+    return visibility_rank(F.col(vis)) <= VISIBILITY[floor]
 
 
 def census(items: DataFrame, floor: str) -> DataFrame:

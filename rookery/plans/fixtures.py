@@ -26,12 +26,27 @@ where src is not null group by src, dst, kind
 RELATIONS: dict[str, str] = {
     # dependency links of all of lineitem, with their dates and requirements, and two editions of them
     "hop": _hop(""),
-    # the links of a few lines only, for nesting: on all of them every part has more holders than an owner may have
-    "few_hop": _hop(" where l_quantity <= 3 and l_partkey % 10 <> 9"),
-    "few_edge": """
-select src, dst, kind, w from few_hop
-union all select p_partkey, p_partkey + 10, 'normal', 1 from part where p_partkey % 20 = 9 and p_partkey + 10 in (select p_partkey from part)
-union all select p_partkey + 10, p_partkey, 'normal', 1 from part where p_partkey % 20 = 9 and p_partkey + 10 in (select p_partkey from part)
+    # orders as items, and who holds them: the customer's order before (for urgent ones, the three before), and the
+    # one beside it of its day and priority, in turn before and after, which makes rings
+    "order_hold": """
+select src, dst, kind, cast(sum(fields) as bigint) fields from (
+ select lag(o_orderkey, 1) over (partition by o_custkey order by o_orderdate, o_orderkey) src, o_orderkey dst, case o_orderstatus when 'P' then 'shares' else 'owns' end kind, 1 + o_orderkey % 3 fields from orders
+ union all select case when o_orderpriority = '1-URGENT' then lag(o_orderkey, 2) over (partition by o_custkey order by o_orderdate, o_orderkey) end, o_orderkey, 'owns', 1 from orders
+ union all select case when o_orderpriority = '1-URGENT' then lag(o_orderkey, 3) over (partition by o_custkey order by o_orderdate, o_orderkey) end, o_orderkey, 'owns', 1 from orders
+ union all select case when o_orderkey % 2 = 0 then lag(o_orderkey, 1) over (partition by o_orderdate, o_orderpriority order by o_orderkey) else lead(o_orderkey, 1) over (partition by o_orderdate, o_orderpriority order by o_orderkey) end,
+  o_orderkey, 'owns', 2 from orders) t
+where src is not null group by src, dst, kind
+""",
+    "order_item": """
+select o_orderkey id, case o_orderstatus when 'F' then 'struct' when 'O' then 'enum' else 'union' end kind, 'orders' frame from orders
+""",
+    # a customer's orders, each leading to the next one, and orders of a day: chains of ten and more rounds, several parts
+    "order_edge": """
+select src, dst from (
+ select o_orderkey src, lead(o_orderkey, 1) over (partition by o_custkey order by o_orderdate, o_orderkey) dst from orders
+ union all select o_orderkey, case when o_orderkey % 7 = 0 then lag(o_orderkey, 1) over (partition by o_custkey order by o_orderdate, o_orderkey) end from orders
+ union all select o_orderkey, case when o_orderstatus = 'P' then lead(o_orderkey, 1) over (partition by o_orderdate order by o_orderkey) end from orders) t
+where dst is not null group by src, dst
 """,
     # weighted directed part graph: all links, those to every tenth part turned round so that some have no user
     "fx_edge": """
@@ -61,7 +76,7 @@ from lineitem group by l_suppkey, l_partkey
 """,
 }
 #: What each relation is made from.
-NEEDS = {"hop": (), "few_hop": (), "few_edge": ("few_hop",), "fx_edge": ("hop",), "whole_edge": ("hop",), "fx_item": (), "fx_row": ()}
+NEEDS = {"hop": (), "order_hold": (), "order_item": (), "order_edge": (), "fx_edge": ("hop",), "whole_edge": ("hop",), "fx_item": (), "fx_row": ()}
 
 
 def with_relations(*names: str) -> str:
@@ -74,7 +89,7 @@ def with_relations(*names: str) -> str:
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a DataFrame; registers no views."""
-    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part") if t in RELATIONS[name] or any(t in RELATIONS[n] for n in NEEDS[name])}
+    sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "part", "orders") if t in RELATIONS[name] or any(t in RELATIONS[n] for n in NEEDS[name])}
     made = {n: spark.sql(_braced(RELATIONS[n], sources), **sources) for n in NEEDS[name]}
     return spark.sql(_braced(RELATIONS[name], sources | made), **(sources | made))
 

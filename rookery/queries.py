@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions import text as T
-from rookery.operators import calls, dependency, editions, graph, intervals, ownership
+from rookery.operators import calls, dependency, editions, graph, intervals, ownership, paper
 from rookery.plans.fixtures import relation, with_relations
 from rookery.streaming import session
 
@@ -150,15 +150,6 @@ def q_rings_capped(s: SparkSession, d: str) -> DataFrame:
     return graph.rings(edges, _ids(items, "true"), _ids(items, "size <= 10"), entry, 4)
 
 
-@query(
-    f"""with seed as (select id node from fx_item where size = 1), {_UP}, {_BFS}
-select distinct src, dst, case when src in (select node from seed) then 'dep' else 'user' end as role from fx_edge where dst in (select node from d)""",
-    "fx_edge", "fx_item",
-)
-def q_path_to_root(s: SparkSession, d: str) -> DataFrame:
-    return dependency.path_to_root(_edges(s, d), _ids(_items(s, d), "size = 1"))
-
-
 @query(
     """select src, dst, arg_min(kind, case kind when 'normal' then 0 when 'build' then 1 else 2 end) kind, cast(sum(w) as bigint) w, count(*) n_links from fx_edge group by src, dst""",
     "fx_edge",
@@ -252,16 +243,6 @@ def q_way_in_reach(s: SparkSession, d: str) -> DataFrame:
     return calls.way_in_reach(edges, _ids(items, "vis in ('pub', 'pub(crate)', 'pub(super)')").unionByName(others))
 
 
-@query(
-    """with c as (select crate as trait, name, min(id) clause from fx_item where kind = 'trait' group by all)
-select clause, id as method from fx_item m join c on m.crate = c.trait and m.name = c.name where kind in ('fn', 'struct') and id <> clause""",
-    "fx_item",
-)
-def q_contract_edges(s: SparkSession, d: str) -> DataFrame:
-    items = _items(s, d).select(F.col("crate").alias("trait"), "name", "id", "kind")
-    return calls.contract_edges(items.where("kind = 'trait'"), items.where("kind in ('fn', 'struct')"))
-
-
 @query(
     """select a.module src_module, b.module dst_module, cast(sum(greatest(w, 1)) as bigint) calls from fx_edge join fx_item a on a.id = src join fx_item b on b.id = dst
  where a.module <> b.module group by all""",
@@ -326,9 +307,9 @@ def q_touches(s: SparkSession, d: str) -> DataFrame:
 # ---- data altitude
 
 
-def _holds(s: SparkSession, d: str, edges: str = "fx_edge") -> DataFrame:
+def _holds(s: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("kind") == "normal", "owns").when(F.col("kind") == "dev", "shares").otherwise("borrows")
-    return relation(s, d, edges).select("src", "dst", kind.alias("kind"), F.col("w").alias("fields"))
+    return _edges(s, d).select("src", "dst", kind.alias("kind"), F.col("w").alias("fields"))
 
 
 @query(
@@ -341,12 +322,12 @@ def q_holders_shared(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_nest_forest(s: SparkSession, d: str) -> DataFrame:
-    return ownership.nesting_forest(_holds(s, d, "few_edge"), _items(s, d).withColumn("frame", F.col("crate")))
+    return ownership.nesting_forest(relation(s, d, "order_hold"), relation(s, d, "order_item"))
 
 
 @query()
 def q_data_tiers(s: SparkSession, d: str) -> DataFrame:
-    return ownership.data_tiers(_holds(s, d, "few_edge"), _items(s, d).withColumn("frame", F.col("crate")))
+    return ownership.data_tiers(relation(s, d, "order_hold"), relation(s, d, "order_item"))
 
 
 @query(f"with seed as (select id node from fx_item where size = 3), {_UP}, {_BFS} select node, hops from d where hops > 0", "fx_edge", "fx_item")
@@ -371,9 +352,10 @@ def q_ties_split(s: SparkSession, d: str) -> DataFrame:
     return ownership.ties(_edges(s, d), _roots(s, d), _ids(_items(s, d), "kind in ('struct', 'enum', 'union', 'static')"))
 
 
-@query(f"with {_TIES}, o as (select n, row_number() over (order by n desc) k from k where x and y) select greatest(2, coalesce(max(n), 2)) bar from o where k = 13", "fx_edge", "fx_item")
+@query(f"with {_TIES}, fl as (select id from fx_item where size = 1), o as (select n, row_number() over (order by n desc) k from k where x and y and (definition in (select id from fl) or not exists (select 1 from fl))) select greatest(2, coalesce(max(n), 2)) bar from o where k = 13", "fx_edge", "fx_item")
 def q_label_bar(s: SparkSession, d: str) -> DataFrame:
-    return ownership.label_bar(q_ties_split(s, d).where("seen = 'both'"))
+    resting = paper.resting_ties(q_ties_split(s, d).where("seen = 'both'"), _ids(_items(s, d), "size = 1"), "in")
+    return ownership.label_bar(resting.where("rests"))
 
 
 @query(
@@ -457,17 +439,18 @@ def q_hold_events(s: SparkSession, d: str) -> DataFrame:
     return editions.edge_events(*_editions(s, d), ["src", "dst", "kind"])
 
 
+_FULL = "p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size"
+
+
 @query(
-    """with t as (select distinct id as "row", unnest(string_split(name, ' ')) as token from fx_item),
- n as (select list_extract(string_split(name, ' '), -1) token, count(*) n, min(id) id from fx_item where size = 5 group by all)
-select "row", token, case when n = 1 then id end target, n > 1 ambiguous from t join n using (token)""",
-    "fx_item",
+    f"""with f as (select p_partkey, {_FULL} as name from part), t as (select distinct l_suppkey as "row", name as token from lineitem join f on p_partkey = l_partkey),
+ n as (select name token, count(*) n, min(p_partkey) id from f group by all)
+select "row", token, case when n = 1 then id end target, n > 1 ambiguous from t join n using (token)"""
 )
 def q_unique_targets(s: SparkSession, d: str) -> DataFrame:
-    items = _items(s, d)
-    tokens = items.select(F.col("id").alias("row"), F.explode(F.split("name", " ")).alias("token"))
-    names = items.where("size = 5").select(F.element_at(F.split("name", " "), -1).alias("name"), "id")
-    return editions.unique_targets(tokens, names)
+    part = _table(s, d, "part").select(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name"), F.col("p_partkey").alias("id"))
+    uses = _table(s, d, "lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("id")).distinct()
+    return editions.unique_targets(uses.join(part, "id").select("row", F.col("name").alias("token")).distinct(), part)
 
 
 # ---- files and texts

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
+from collections import defaultdict, deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from rookery.functions import predicates as P
-from rookery.operators import calls, functions, intervals, landmarks, ownership, paper
+from rookery.operators import calls, functions, graph, intervals, landmarks, ownership, paper
 
 
 def test_contracts_take_the_first_other_clause_of_their_own_trait(spark):
@@ -72,15 +75,90 @@ def test_ring_caps(spark):
     assert [landmarks.ring_cap(deepest, x) for x in (None, "ring:2", "ring:9", "a", "a+b", "z")] == [4, 4, 9, 4, 8, 4]
 
 
+def walked(edges, nodes, root, members):
+    """A queue: from the root, then from members it didn't reach, then from the rest."""
+    out, hops, parent, queue = defaultdict(list), {}, {}, deque(root)
+    for a, b in sorted(set(edges)):
+        if a != b:
+            out[a].append(b)
+    hops.update(dict.fromkeys(root, 0))
+    while True:
+        while queue:
+            a = queue.popleft()
+            for b in out[a]:
+                if b not in hops:
+                    hops[b], parent[b] = hops[a] + 1, a
+                    queue.append(b)
+        seats, at = sorted(n for n in members if n not in hops), 1
+        if not seats:
+            seats, at = sorted(n for n in nodes if n not in hops), max(hops.values(), default=0) + 1
+        if not seats:
+            return hops, parent
+        hops.update(dict.fromkeys(seats, at))
+        queue.extend(seats)
+
+
+def ring_walk(spark, edges, nodes, root, members):
+    of = lambda ids: spark.createDataFrame([(n,) for n in ids], "node long")
+    got = graph.ring_walk(spark.createDataFrame(edges, "src long, dst long"), of(nodes), of(members), of(root))
+    return {x.node: (x.hops, x.parent) for x in got.collect()}
+
+
+def test_of_several_discoverers_the_first_in_the_queue_is_the_parent(spark):
+    edges = [(0, 1), (0, 5), (1, 9), (5, 3), (9, 20), (3, 20)]
+    assert ring_walk(spark, edges, [0, 1, 3, 5, 9, 20], [0], [])[20] == (3, 9)
+    # what the root has found keeps its parent and its distance when a later seat leads to it too
+    assert ring_walk(spark, [(0, 1), (1, 2), (7, 2), (7, 8)], [0, 1, 2, 7, 8, 9], [0], [7]) == {0: (0, None), 1: (1, 0), 2: (2, 1), 7: (1, None), 8: (2, 7), 9: (3, None)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ring_walk_is_a_queue(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(120)] + [(k, k + 1) for k in range(100, 130)]
+    hops, parent = walked(edges, range(140), [5], range(40, 105))
+    assert ring_walk(spark, edges, range(140), [5], range(40, 105)) == {n: (hops[n], parent.get(n)) for n in range(140)}
+
+
+def test_event_labels_take_turns_over_all_edges(spark):
+    rows = [(a, b, "added" if (a + b) % 3 else None) for a in range(9) for b in range(7)]
+    want = {(a, b): landmarks.LABEL_PLACES[k % 3] for k, (a, b, _) in enumerate(sorted(r for r in rows if r[2]))}
+    got = landmarks.event_labels(spark.createDataFrame(rows, "src long, dst long, event string").repartition(5)).collect()
+    assert {(x.src, x.dst): x["at"] for x in got} == want
+
+
+def test_heads_of_cycles(spark):
+    r = random.Random(3)
+    for n in (1, 40, 200):
+        up = {k: r.choice([None, r.randrange(n), r.randrange(n)]) for k in range(n)} | {1000 + k: 1000 + (k + 1) % 37 for k in range(37)}
+        up = {k: v for k, v in up.items() if v != k}
+        want = set()
+        for k in up:
+            at, seen = up[k], []
+            while at is not None and at not in seen and at != k:
+                seen.append(at)
+                at = up.get(at)
+            if at == k:
+                want.add(max([*seen, k]))
+        got = graph.cycle_heads(spark.createDataFrame(list(up.items()), "node long, parent long")).collect()
+        assert sorted(x.node for x in got) == sorted(want)
+
+
+def test_components_are_those_of_a_union(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(40)]
+    label = {n: n for n in range(260)}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = graph.components(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(n,) for n in label], "node long"))
+    assert {x.node: x.label for x in got.collect()} == label
+
+
 def test_layout_is_that_of_a_plain_walk(spark):
-    import random
 
     r = random.Random(2)
-    hops = {0: 0} | {n: r.randint(1, 6) for n in range(1, 80)} | {100: 1, 101: 7}
-    edges = [(a, b) for a in hops for b in hops if hops[b] == hops[a] + 1 and r.random() < 0.2]
-    parent = {}
-    for a, b in sorted(edges):
-        parent.setdefault(b, a)
+    edges = sorted({(a, b) for a, b in ((r.randrange(80), r.randrange(80)) for _ in range(130)) if a != b})
+    hops, parent = walked(edges, range(103), [0], range(60, 102))
     kids = {n: sorted(k for k in hops if parent.get(k) == n) for n in hops}
     weight = {}
     for n in sorted(hops, key=lambda n: -hops[n]):
@@ -100,10 +178,10 @@ def test_layout_is_that_of_a_plain_walk(spark):
     for ring in range(1, 5):
         at = sorted(angle[n] for n in hops if min(hops[n], 4) == ring)
         gaps = sorted([b - a for a, b in zip(at, at[1:], strict=False)] + [at[0] + math.tau - at[-1]])
-        needed = landmarks.MIN_ARC / max(gaps[len(gaps) // 4], 1e-4) if len(at) > 1 else 0.0
+        needed = landmarks.STAR_ROOM / max(gaps[len(gaps) // 4], 1e-4) if len(at) > 1 else 0.0
         radii.append(min(max(needed, radii[-1] + 150), radii[-1] + 380))
-    e = spark.createDataFrame(edges, "src long, dst long")
-    got = {x.node: x for x in landmarks.radial_layout(e, spark.createDataFrame(list(hops.items()), "node long, hops int")).collect()}
+    tree = spark.createDataFrame([(n, hops[n], parent.get(n)) for n in hops], "node long, hops int, parent long")
+    got = {x.node: x for x in landmarks.radial_layout(tree).collect()}
     assert set(got) == set(hops)
     for n, x in got.items():
         assert math.isclose(x.angle, angle[n], abs_tol=1e-9) and math.isclose(x.radius, radii[min(hops[n], 4)], rel_tol=1e-9)

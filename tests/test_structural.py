@@ -47,13 +47,6 @@ def test_virtual_workspace_has_no_root(spark):
     assert got == [(1, 1), (2, 1), (3, 2)]
 
 
-def test_path_to_root_and_removed_links(spark):
-    e = edges(spark, [(0, 1, "normal", None), (0, 2, "normal", None), (0, 9, "normal", None), (1, 3, "normal", None), (2, 3, "normal", None)])
-    assert rows(dependency.path_to_root(e, ids(spark, 3)), "src", "dst") == [(0, 1), (0, 2), (1, 3), (2, 3)]
-    e = edges(spark, [(0, 1, "normal", None), (0, 2, "normal", None), (1, 5, "normal", "removed"), (2, 5, "normal", None)])
-    assert rows(dependency.path_to_root(e, ids(spark, 5)), "src", "dst") == [(0, 2), (2, 5)]
-
-
 def test_call_tiers(spark):
     e = plain(spark, [(0, 1, 2), (1, 2, 5), (2, 2, 4), (7, 8, 1), (8, 7, 1)])
     got = rows(graph.tiers(e, ids(spark, 0, 1, 2, 7, 8)), "node", "tier", "depth")
@@ -130,10 +123,10 @@ def test_rows_that_go_keep_a_seat_between_their_neighbours(spark):
 
 
 def test_longest_prefix_is_by_segment(spark):
-    p = spark.createDataFrame([("crates/outerly/a.rs",), ("crates/outer/in/a.rs",), ("crates/outer/x.rs",)], "path string")
-    o = spark.createDataFrame([("crates/outer",), ("crates/outer/in",)], "owner string")
-    assert rows(dependency.longest_prefix(p, o)) == [("crates/outer/in/a.rs", "crates/outer/in"), ("crates/outer/x.rs", "crates/outer"), ("crates/outerly/a.rs", None)]
-    assert rows(dependency.longest_prefix(p, o.unionByName(spark.createDataFrame([(".",)], "owner string"))))[-1] == ("crates/outerly/a.rs", ".")
+    p = spark.createDataFrame([("libs/corely/a.rs",), ("libs/core/in/a.rs",), ("libs/core/x.rs",)], "path string")
+    o = spark.createDataFrame([("libs/core",), ("libs/core/in",)], "owner string")
+    assert rows(dependency.longest_prefix(p, o)) == [("libs/core/in/a.rs", "libs/core/in"), ("libs/core/x.rs", "libs/core"), ("libs/corely/a.rs", None)]
+    assert rows(dependency.longest_prefix(p, o.unionByName(spark.createDataFrame([(".",)], "owner string"))))[-1] == ("libs/corely/a.rs", ".")
 
 
 def test_module_paths_and_headers(spark):
