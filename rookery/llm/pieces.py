@@ -67,6 +67,8 @@ class Vocabulary:
         self.bytes = [pieces[i].replace(SPACE, " ").encode() for i in range(size)]
         for value, i in self.byte.items():
             self.bytes[i] = bytes([value])
+        #: ``bytes`` as an array, made when something is decoded.
+        self.by_id: pa.Array | None = None
         self.fitting: dict[tuple[str, str], bool] = {}
         self.words = _Words(self)
 
@@ -160,7 +162,6 @@ class Vocabulary:
                 out.append(n)
             else:
                 out += [self.byte.get(b, self.unknown) for b in p.encode("utf-8", "surrogatepass")]
-                self.words.exact &= self.unknown not in out
         return out
 
     def packed_pieces(self, pieces: list[str]) -> bytes:
@@ -174,17 +175,21 @@ class Vocabulary:
         self.words.room()
         return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
 
-    def gives_back(self, ids: bytes, text: str) -> bool:
-        """Whether ids, just made of ``text`` with spaces marked, decode to it.
+    def give_back(self, parts: list[bytes], texts: list[str]) -> list[bool]:
+        """Whether ids decode to their texts: all are decoded, and compared byte by byte."""
+        return [got == text.encode("utf-8", "surrogatepass") for got, text in zip(self.decoded(parts), texts, strict=True)]
 
-        A piece decodes to its own text, and a sign without a piece to its bytes, so
-        that nothing is left to do unless a byte had no piece.
-        """
-        return SPACE not in text and (self.words.exact or self.decode(np.frombuffer(ids, np.int32)) == text.encode("utf-8", "surrogatepass"))
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of ids, with the leading space that encoding adds."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
+    def decoded(self, parts: list[bytes]) -> list[memoryview]:
+        """UTF-8 of each part's ids (int32), with the leading space that encoding adds."""
+        if self.by_id is None:
+            self.by_id = pa.array(self.bytes, pa.large_binary())
+        if not any(parts):
+            return [memoryview(b"")] * len(parts)
+        flat = self.by_id.take(pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        _, offsets, data = flat.buffers()
+        at = np.frombuffer(offsets, np.int64)[np.cumsum([0, *(len(p) // 4 for p in parts)])].tolist()
+        view = memoryview(data).cast("B") if data else memoryview(b"")
+        return [view[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -197,8 +202,6 @@ class _Words(dict):
         super().__init__()
         self.vocabulary = vocabulary
         self.old: dict[str, bytes] = {}
-        #: Whether no sign so far was lost.
-        self.exact = True
 
     def room(self) -> None:
         if len(self) > REMEMBERED:
@@ -344,7 +347,7 @@ def _encode_whole(model_file: str):
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [v.packed(marked(t)) for t in texts]
-            same = [v.gives_back(i, f" {t}") if t else True for i, t in zip(ids, texts, strict=True)]
+            same = v.give_back(ids, [f" {t}" if t else "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
 
     return run
@@ -496,11 +499,12 @@ def _backtrace(model_file: str):
         for batch in slices(batches, "raw"):
             ends = list(zip(*(batch.column(n).to_pylist() for n in ("le", "lp", "re", "rp")), strict=True))
             raws = batch.column("raw").to_pylist()
-            ids, same = [], []
+            ids, own = [], []
             for k, c in _chunks_of(batch, v):
                 le, lp, re_, rp = ends[k]
                 ids.append(c.pieces((le, lp), (re_, rp)))
-                same.append(v.gives_back(ids[-1], raws[k][le - c.origin : re_ - c.origin]))
+                own.append(raws[k][le - c.origin : re_ - c.origin])
+            same = v.give_back(ids, own)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), _lists(ids), pa.array(same, pa.bool_())], names=["row", "k", "ids", "same"])
 
     return run
@@ -545,7 +549,8 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
         for batch in slices(batches, None, 128):
-            texts = [v.decode(np.array(i or [], np.int64))[1:].decode("utf-8", "replace") for i in batch.column(1).to_pylist()]
+            parts = [np.array(i or [], np.int32).tobytes() for i in batch.column(1).to_pylist()]
+            texts = [bytes(x[1:]).decode("utf-8", "replace") for x in v.decoded(parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()

@@ -29,7 +29,8 @@ from pyspark.sql import Window
 from rookery.llm.common import discard, staged
 
 # What a candidate looks like.
-KEY = r"""(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)[\w-]{0,20}+["']?[ \t]{0,3}[:=][ \t]{0,3}"""
+# a name is taken whole, from its start, with the first of these words in it: no place is scanned twice
+KEY = r"""(?<![\w-])(?>[\w-]*?(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential))[\w-]*+["']?[ \t]*+[:=][ \t]*+"""
 KEYED = KEY + r"""(?:"[^"\r\n]{6,}+"|'[^'\r\n]{6,}+'|["']?[^\s"'<>,;]{6,}+)"""
 PREFIXED = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
@@ -39,7 +40,7 @@ PREFIXED = (
     r"sk-[0-9A-Za-z_-]{20,}+",
     r"(?<![\w-])eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{10,}+",
 )
-BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,40}+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+BLOCK = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
 HEX = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])"
 CANDIDATE = "|".join([*PREFIXED, KEYED, BLOCK, HEX])
 
@@ -57,6 +58,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS, TABLE = 3, 1 << 18
 #: Characters that transitions tell apart; digits, and all others, are one each.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0_"
+#: Different characters that a long value of a secret has at the least.
+SIGNS = 64.0
 #: Buckets of hashed words beside a candidate, and of its path; words on each side.
 BESIDE_BUCKETS, PATH_BUCKETS, WORDS_BESIDE = 64, 16, 3
 #: Characters of text beside a candidate that are looked at.
@@ -97,7 +100,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 def described(found: DataFrame, odds: list[float], words: bytes) -> DataFrame:
     """Candidates with the forest's features: numbers, and the words beside it and of its path as arrays."""
     s = F.col("secret")
-    n = F.length(s).cast("double")
+    n = F.greatest(F.length(s), F.lit(1)).cast("double")
     share = lambda pattern: F.length(F.regexp_replace(s, pattern, "")) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "9"), "[^Ul9]", "_")
     runs = F.regexp_replace(classes, r"(.)\1+", "$1")
@@ -108,7 +111,7 @@ def described(found: DataFrame, odds: list[float], words: bytes) -> DataFrame:
         "n_chars": n,
         "digits": share("[^0-9]"), "uppers": share("[^A-Z]"), "lowers": share("[^a-z]"), "others": share("[0-9A-Za-z]"),
         "turns": F.length(runs) / n,
-        "distinct": F.size(F.array_distinct(F.split(F.substring(s, 1, 256), ""))) / F.least(n, F.lit(256.0)),
+        "distinct": F.size(F.array_distinct(F.split(s, ""))) / F.least(n, F.lit(SIGNS)),
         "repeats": F.length(F.regexp_replace(s, r"(.)\1{2,}", "")) / n,
         "transitions": F.coalesce(F.aggregate(transitions(s), F.lit(0.0), lambda a, t: a + F.element_at(F.lit(odds), t + 1)) / n, F.lit(0.0)),
         "dictionary": F.coalesce(F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)), F.lit(0)) / n,
@@ -128,10 +131,12 @@ def letter_runs(s: Column) -> Column:
 
 
 def transitions(s: Column) -> Column:
-    """Numbers of a value's neighbouring characters, the first 1,024 of a long one."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(F.left(s, F.lit(1024))), "[0-9]", "0"), "[^a-z0]", "_")
-    code = lambda k: F.instr(F.lit(ALPHABET), F.substring(plain, k, F.lit(1))) - 1
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 1, F.lit(1))), lambda k: F.greatest(code(k), F.lit(0)) * len(ALPHABET) + F.greatest(code(k + 1), F.lit(0)))
+    """Numbers of a value's neighbouring characters; of a single one, or none, that of the last of the alphabet twice."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(s), "[0-9]", "0"), "[^a-z0]", "_")
+    code = lambda c: F.instr(F.lit(ALPHABET), c) - 1
+    signs = F.split(plain, "")
+    pairs = F.zip_with(F.slice(signs, F.lit(1), F.size(signs) - 1), F.slice(signs, F.lit(2), F.size(signs) - 1), lambda a, b: code(a) * len(ALPHABET) + code(b))
+    return F.when(F.length(plain) > 1, pairs).otherwise(F.array(F.lit(len(ALPHABET) ** 2 - 1)))
 
 
 def transition_odds(values: DataFrame) -> list[float]:

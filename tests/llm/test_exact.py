@@ -290,6 +290,22 @@ def test_encoding_equals_the_library(spark, library, chunk):
     assert all(back[i] == (t or "").replace("\u2581", " ") for i, t in rows)
 
 
+@pytest.mark.parametrize("chunk", [64, 16_384])
+def test_every_text_is_decoded_and_compared(spark, monkeypatch, chunk):
+    """A sign that is lost, and one that decodes to another, are told, in whole documents and in chunks."""
+    monkeypatch.setattr(pieces, "_models", {})
+    texts = ["plain words", "a \u2581 mark", "é 漢字 \U0001f600", "plain " * 60, "plain " * 30 + "\u2581" + " plain" * 30, ""]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r for r in pieces.encode(docs(spark, rows), chunk=chunk).collect()}
+    assert {k for k, r in got.items() if not r.round_trip} == {1, 4}, "U+2581 decodes to a space"
+    v = pieces.Vocabulary()
+    v.byte = {k: i for k, i in v.byte.items() if k != 0xE6}  # a model that lacks a byte loses signs
+    parts = [v.packed(pieces.marked(t)) for t in texts]
+    assert v.give_back(parts, [f" {t}" if t else "" for t in texts]) == [True, False, False, True, False, True]
+    back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs(spark, rows))).collect()}
+    assert back == {k: t.replace("\u2581", " ") for k, t in rows}
+
+
 def test_a_document_of_many_groups_of_chunks(spark, library, monkeypatch):
     monkeypatch.setattr(pieces, "TOGETHER", 4)
     states = pieces.states

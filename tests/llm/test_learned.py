@@ -342,6 +342,40 @@ def test_keys_in_blocks_and_quotes(spark):
     assert secrets.redact(df2).head().text == "token = '[secret]' tail"
 
 
+def test_long_names_keys_and_blocks_are_candidates_whole(spark):
+    body = "Ab9-_" * 100
+    dashed = "".join(x + "-" for x in (f"{k:04x}" for k in range(120)))
+    found = {
+        0: f"-----BEGIN PRIVATE KEY-----\n{dashed}\n-----END PRIVATE KEY-----",
+        1: f'token_of_the_service_of_production_in_the_second_region = "{body}"',
+        2: "my_own_secret:            hunter22hunter",
+        3: f"password={'Zq7' * 1400}",
+    }
+    rows = [(k, "src", f"before {t} after") for k, t in found.items()]
+    rows += [(9, "src", "token " * 9 + "token_" * 20_000 + " = short")]
+    df = spark.createDataFrame(rows, "row long, path string, text string")
+    began = time.time()
+    got = {r.row: r for r in secrets.candidates(df).collect()}
+    assert time.time() - began < 60
+    assert {k: r.found for k, r in got.items() if k < 9} == found
+    assert got[1].secret == body and got[2].secret == "hunter22hunter" and got[3].secret == "Zq7" * 1400
+    for k, r in got.items():
+        if k < 9:
+            assert rows[k][2][r["at"] :].startswith(r.secret)
+
+
+def test_features_see_the_whole_value(spark):
+    values = ["ab" * 3000 + "Z!" * 3000, "x", "", "a1b2" * 2000]
+    df = spark.createDataFrame([(k, v, "", "", "", 0) for k, v in enumerate(values)], "row long, secret string, before string, after string, path string, lead int")
+    odds = [float(k) for k in range(len(secrets.ALPHABET) ** 2)]
+    code = lambda c: secrets.ALPHABET.index("0" if c.isdigit() else c.lower() if c.isascii() and c.isalpha() else "_")
+    for r in secrets.described(df, odds, bytes(secrets.TABLE // 8)).collect():
+        v = values[r.row]
+        if len(v) > 1:
+            assert math.isclose(r.transitions, sum(odds[code(a) * 28 + code(b)] for a, b in zip(v, v[1:], strict=False)) / len(v))
+            assert math.isclose(r.distinct, len(set(v)) / min(len(v), 64))
+
+
 def test_candidates_are_those_of_a_plain_search(spark):
     """All candidates of real documents, with their places, as Python's patterns find them."""
     pattern = re.compile(re.sub(r"\(\?i:(.*?credential)\)", lambda m: f"(?i:{m[1]})", secrets.CANDIDATE))
