@@ -13,7 +13,8 @@ backslash is doubled, ``<turn`` and ``</turn`` get a backslash after ``<``, and
 line break in a role becomes ``\;``; so the marks of the template never occur in
 what they enclose, and reading back is exact.
 
-The fold is shuffled by message, so a very long conversation is spread over tasks;
+The log is shuffled by conversation and, within it, by message, so a conversation
+that holds a third of all rows is spread over tasks;
 rendering needs no shuffle.  Only the digest brings a conversation's messages into
 one task, as a sorted stream of which it holds one message at a time.
 """
@@ -66,6 +67,28 @@ def events_of_rows(conversations: DataFrame) -> DataFrame:
     )
 
 
+def log_of_rows(conversations: DataFrame) -> DataFrame:
+    """A table of finished messages as the log of how each came about.
+
+    A message is begun and streamed on, then abandoned; a regeneration starts it
+    anew, deltas follow, and where the hash of its text is even a wrong delta is mended by
+    an edit.  So ``fold`` gives the table back only if it orders, drops, adds and
+    replaces as it should.  The role is that of the first event; the others have none.
+    Messages and their order are those of ``events_of_rows``; a log comes in no order.
+    """
+    row = events_of_rows(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    n = F.length("text")
+    one, two = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    first, second, third = F.left("text", one), F.substring("text", one + 1, two - one), F.substring("text", two + 1, n)
+    streamed = [event(2, "regenerate", first), event(3, "delta", second)]
+    events = F.array(event(0, "message", first), event(1, "delta", F.lit(" abandoned")), *streamed)
+    mended = F.array(event(4, "delta", F.lit(" mistaken")), event(5, "edit", F.col("text")))
+    whole = F.concat(events, F.when(F.pmod(F.xxhash64("text"), F.lit(2)) == 0, mended).otherwise(F.array(event(4, "delta", third))))
+    out = row.select("conv_id", "turn", "part", "role", F.explode(whole).alias("e"))
+    return out.select("conv_id", "turn", "part", "e.seq", "e.kind", F.when(F.col("e.seq") == 0, F.col("role")).alias("role"), "e.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """The final messages: conv_id, turn, part, role, text.
 

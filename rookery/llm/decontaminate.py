@@ -67,6 +67,8 @@ class Patterns:
             for start in range(len(ids) - n + 1 if n else 0):
                 found.setdefault(tuple(ids[start : start + n]), []).append((len(self.items), start))
             self.items.append(item_id)
+        if len(self.vocab) >= (1 << WORD_BITS) - 1:  # only an item that is a block of its own can have so many
+            raise ValueError(f"an item has {len(self.vocab):,} different words; {(1 << WORD_BITS) - 2:,} are possible")
         #: The distinct items of each window, as they are named in results.
         self.items_of = [frozenset(self.items[k] for k, _ in places if self.items[k] is not None) for places in found.values()]
         #: Every place of a window in the benchmark, by item and start.

@@ -24,7 +24,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.with_planted(table(spark, sf_dir, "conversations"))
-    return chat.digest(chat.format_conversations(chat.events_of_rows(rows)))
+    return chat.digest(chat.format_conversations(chat.log_of_rows(rows)))
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

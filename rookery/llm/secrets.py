@@ -181,19 +181,22 @@ def in_dictionary(word: Column, table: bytes) -> Column:
     return is_set(first) & is_set(second)
 
 
-def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """Labelled findings from rules: row, path, text (one finding in it) and y; the same at every call.
+def _some(k: Column, *texts: str) -> Column:
+    """One of some texts, by a number's hash."""
+    return F.element_at(F.array(*map(F.lit, texts)), (F.pmod(F.xxhash64(k, F.lit(len(texts))), F.lit(len(texts))) + 1).cast("int"))
+
 
-    Half are values as services issue them, drawn from digests; half are what scanners
-    wrongly report: checksums and revisions, identifiers, placeholders, names in code.
+def _value(k: Column, y: Column) -> Column:
+    """Findings by their number: for y = 1 values as services issue them, drawn from digests; for y = 0 what scanners wrongly report.
+
+    Those are checksums and revisions, identifiers, placeholders and names in code.
     """
-    k = F.col("id")
     hexes = F.sha2(F.concat(F.lit("finding "), k.cast("string")).cast("binary"), 512)
     mixed = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "")
     upper = F.translate(F.upper(hexes), "0189", "GXRZ")
     word = F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(k), F.lit(len(DICTIONARY))) + 1).cast("int"))
     other = F.element_at(F.array(*[F.lit(w) for w in DICTIONARY]), (F.pmod(F.xxhash64(k, F.lit(1)), F.lit(len(DICTIONARY))) + 1).cast("int"))
-    some = lambda *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (F.pmod(F.xxhash64(k, F.lit(len(texts))), F.lit(len(texts))) + 1).cast("int"))
+    some = lambda *texts: _some(k, *texts)
     name = some("password", "token", "api_key", "secret", "access_key", "auth_key", "passwd", "pwd")
     sign = some("=", " = ", ": ", '="', ' = "')
     n = F.pmod(F.xxhash64(k, F.lit(2)), F.lit(30)).cast("int")
@@ -218,10 +221,32 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         F.concat(name, sign, F.regexp_replace(F.left(hexes, F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), some(" uuid", " example", " test")),
     ]
     pick = lambda forms: F.element_at(F.array(*forms), (F.pmod(F.floor(k / 2), F.lit(len(forms))) + 1).cast("int"))
+    return F.when(y == 1, pick(real)).otherwise(pick(false))
+
+
+def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
+    """Labelled findings from rules: row, path, text (one finding in it) and y, half of them secrets; the same at every call."""
+    k = F.col("id")
     y = (k % 2).cast("int")
-    around = some("the value is ", "of the and then ", "export ", "", "config.", "und der die ", "de la que ")
-    text = F.concat(around, F.when(y == 1, pick(real)).otherwise(pick(false)), some(" and more", "\nnext line", "", " der die das", " # end"))
-    return spark.range(rows, numPartitions=1).select(k.alias("row"), some("src/app/main.py", "deploy/prod.env", "src0", "docs/notes.md", "tests/test_login.py").alias("path"), text.alias("text"), y.alias("y"))
+    around = _some(k, "the value is ", "of the and then ", "export ", "", "config.", "und der die ", "de la que ")
+    text = F.concat(around, _value(k, y), _some(k, " and more", "\nnext line", "", " der die das", " # end"))
+    return spark.range(rows, numPartitions=1).select(k.alias("row"), _some(k, "src/app/main.py", "deploy/prod.env", "src0", "docs/notes.md", "tests/test_login.py").alias("path"), text.alias("text"), y.alias("y"))
+
+
+def document_findings(found: DataFrame, rows: int = FINDINGS) -> DataFrame:
+    """Labelled findings in documents' own surroundings: row, path, text, y and held_out.
+
+    Each place of a candidate gives two texts: what stands around it there with a
+    secret in it, and with what scanners wrongly report.  No more than ``rows`` are
+    made, of the candidates with the smallest hashes (a bounded sample of labelled
+    rows).  A fifth of the documents is held out, with all their places.
+    """
+    place = F.xxhash64("path", "before", "after", "secret", "at")
+    own = found.select(place.alias("place"), "path", F.left("before", F.length("before") - F.col("lead")).alias("left"), "after", (F.pmod(F.xxhash64("row"), F.lit(5)) == 0).alias("held_out"))
+    own = own.orderBy("place", "left", "after").limit(rows // 2).withColumn("y", F.explode(F.array(F.lit(0), F.lit(1))))
+    k = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)), 1) * 2 + F.col("y")
+    glue = F.when(F.col("left").rlike(r"[\w-]$"), " ").otherwise("")  # else the name goes on to the left
+    return own.select(F.xxhash64("place", "y").alias("row"), "path", F.concat("left", glue, _value(k, F.col("y")), F.when(F.col("after").rlike(r"^[\w-]"), " ").otherwise(""), "after").alias("text"), "y", "held_out")
 
 
 class Forest:
@@ -237,13 +262,14 @@ class Forest:
         return votes.select("row", "no", "path", "found", "secret", "at", "lead", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
 
 
-_forests: dict[str, Forest] = {}
-
-
 def train(findings: DataFrame) -> Forest:
     """A forest from labelled findings (row, path, text, y); each text's candidates have its label."""
     spark = findings.sparkSession
-    found = staged(candidates(findings.select("row", "path", "text")).join(findings.select("row", "y"), "row"), "findings")
+    findings = staged(findings.select("row", "path", "text", "y"), "labelled")
+    found = candidates(findings.select("row", "path", "text"))
+    # a text with several candidates doesn't say which one has its label
+    one = found.groupBy("row").agg(F.count("*").alias("n")).where("n = 1").select("row")
+    found = staged(found.join(findings.select("row", "y").join(one, "row"), "row"), "findings")
     plain = dictionary_words(spark)
     of_odds = F.pmod(F.xxhash64("row"), F.lit(3)) == 0  # these train no tree, lest transitions look better than they are
     values = found.where(of_odds & (F.col("y") == 1)).select("secret", "y").unionByName(plain.select(F.col("word").alias("secret"), F.lit(0).alias("y")))
@@ -256,20 +282,25 @@ def train(findings: DataFrame) -> Forest:
         RandomForestClassifier(labelCol="y", numTrees=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False, featureSubsetStrategy="onethird"),
     ]
     model = Pipeline(stages=stages).fit(data)
-    discard(found, data)
+    discard(findings, found, data)
     return Forest(model, odds, words)
 
 
-def forest(spark: SparkSession) -> Forest:
-    """The forest of ``FINDINGS`` labelled findings; trained once in an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _forests:
-        _forests[app] = train(labelled_findings(spark))
-    return _forests[app]
+def forest(found: DataFrame) -> Forest:
+    """The forest of labelled findings from rules, and of those around the places of ``found``, a table's candidates."""
+    spark = found.sparkSession
+    learned = document_findings(found).where("not held_out").drop("held_out")
+    return train(labelled_findings(spark).unionByName(learned))
 
 
-def judged(found: DataFrame) -> DataFrame:
-    return forest(found.sparkSession).judged(found)
+def measured(found: DataFrame) -> tuple[int, float, float]:
+    """How many findings in held-out documents there are, and the forest's precision and recall on them."""
+    own = document_findings(found)
+    held = staged(own.where("held_out"), "held")
+    judged = forest(found).judged(candidates(held)).join(held.select("row", "y"), "row")
+    n, said, right, real = judged.agg(F.count("*"), F.count_if("is_secret"), F.count_if(F.col("is_secret") & (F.col("y") == 1)), F.count_if(F.col("y") == 1)).head()
+    discard(held)
+    return n, right / max(said, 1), right / max(real, 1)
 
 
 def _searched(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
@@ -286,7 +317,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     """
     rows = _searched(docs, id_col, text_col, path_col).select(F.monotonically_increasing_id().alias("row"), F.col("row").alias("id"), "path", "text")
     rows = staged(rows, "searched")  # fixes the row numbers
-    out = judged(candidates(rows)).join(rows.select("row", "id"), "row").select(F.col("id").alias("row"), "no", "secret", "at", "score", "is_secret")
+    found = staged(candidates(rows), "candidates")
+    out = forest(found).judged(found).join(rows.select("row", "id"), "row").select(F.col("id").alias("row"), "no", "secret", "at", "score", "is_secret")
     return out.select(
         F.col("row").alias(id_col), "no", "secret", F.col("at").cast("long").alias("start"), F.length("secret").cast("long").alias("n_chars"),
         "score", "is_secret",
@@ -306,7 +338,8 @@ def redact(docs: DataFrame, *, text_col: str = "text", path_col: str | None = "s
     rows = staged(rows, "secrets")  # fixes the row numbers
     path = F.col(f"doc.{path_col}").cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     text = F.col(f"doc.{text_col}")
-    found = judged(candidates(rows.select("row", path.alias("path"), text.cast("string").alias("text"))))
+    found = staged(candidates(rows.select("row", path.alias("path"), text.cast("string").alias("text"))), "candidates")
+    found = forest(found).judged(found)
     marks = found.where("is_secret").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("no", F.struct("lead", F.length("secret").alias("n"))))).alias("marks"))
     every = F.regexp_extract_all(text.cast("string"), F.lit(CANDIDATE), F.lit(0))
     masked = lambda x, m: F.concat(F.left(x, m["lead"]), F.lit(mark), F.right(x, F.length(x) - m["lead"] - m["n"]))

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.llm.common import SHARE, staged
+
 #: Words of 64 bits in a block.
 WORDS = 8
 #: Listed keys for each block; 512 bits over 24 keys give about 1 false positive in 1000.
@@ -101,12 +103,20 @@ def judge_urls(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id",
     prefix_lengths = F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]), lambda k: k <= F.length("path"))
     candidates = F.flatten(F.transform(suffixes, lambda h: F.transform(prefix_lengths, lambda k: entry_key(h, F.substring("path", F.lit(1), k)))))
     # rows of one host and path have the same candidates: they are looked up once
-    keys = rows.select("host", "path").distinct().select("host", "path", F.explode(candidates).alias("key"))
+    once = staged(rows.groupBy("host", "path").agg(F.count("*").alias("rows_")), "urls")
+    keys = once.select("host", "path", F.explode(candidates).alias("key"))
     possible = keys.withColumn("block", block_of(F.col("key"), blocks)).join(F.broadcast(bloom_filter(entries, blocks)), "block")
     in_all = reduce(lambda a, b: a & b, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(bits(F.col("key")))])
     exact = possible.where(in_all).select("host", "path", "key").join(small(entries), "key")
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "host_length", "rule")).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select(
+    best = staged(best, "urls-listed")
+    # fewer than ``SHARE`` hosts and paths can be heavy, such as the empty ones of malformed urls; their rows stay where they are
+    total = once.agg(F.coalesce(F.sum("rows_"), F.lit(0))).head()[0]
+    heavy = once.where(F.col("rows_") * SHARE > total).join(best, ["host", "path"], "left").select("host", "path", F.lit(True).alias("heavy_"), F.col("best").alias("heavy_best"))
+    marked = rows.join(F.broadcast(heavy), ["host", "path"], "left")
+    there = marked.where("heavy_").select("id", "host", "path", F.col("heavy_best").alias("best"))
+    other = marked.where("heavy_ is null").select("id", "host", "path").join(best, ["host", "path"], "left")
+    return there.unionByName(other).select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
     )
 

@@ -102,6 +102,13 @@ def test_a_text_of_20_mb_is_judged(spark):
     assert (got.n_words, got.n_hit, got.longest_match, got.longest_start) == (5_000_040, 40, 40, 2_500_000)
 
 
+def test_an_item_of_too_many_words_is_refused(monkeypatch):
+    monkeypatch.setattr(decontaminate, "WORD_BITS", 4)
+    decontaminate.Patterns([("1", b"a b c d e f g h i j k l m n")], 13)
+    with pytest.raises(ValueError, match="15 different words"):
+        decontaminate.Patterns([("1", b"a b c d e f g h i j k l m n o")], 13)
+
+
 def test_decontamination_of_empty_tables(spark):
     none, bench = docs(spark, []), docs(spark, [], "item_id long, text string")
     assert decontaminate.matches(none, bench).isEmpty()
@@ -128,6 +135,17 @@ def test_url_verdicts(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, *judge(u))) for i, u in rows)
 
 
+@pytest.mark.parametrize("share", [1000, 1])
+def test_hot_urls_stay_in_place(spark, monkeypatch, share):
+    monkeypatch.setattr(urls, "SHARE", share)
+    rows = [(k, None) for k in range(400)] + [(k, "http://a.example.org/es/x") for k in range(400, 800)] + [(k, f"http://h{k}.com/de/") for k in range(800, 900)] + [(900, "no scheme"), (901, "http://x.net/")]
+    got = urls.judge_urls(docs(spark, rows, "page_id long, url string"), urls.listed_table(spark, urls.RULES)).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got if r.page_id in (0, 400, 800, 900, 901)) == [
+        (0, "", "", None, "allow"), (400, "a.example.org", "/es/x", "example.org/es/", "block"), (800, "h800.com", "/de/", "com/de/", "block"), (900, "", "", None, "allow"), (901, "x.net", "/", None, "allow"),
+    ]
+    assert len(got) == len(rows) and sum(r.verdict == "block" for r in got) == 500
+
+
 def test_a_host_of_100_000_labels(spark):
     df = spark.range(2).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), repeated("a.", 100_000), F.lit("com/de/"), repeated("x/", 1_000_000)).alias("url"))
     began = time.time()
@@ -161,6 +179,19 @@ def test_chat_round_trip_of_control_strings(spark):
     assert [t for c in whole[1] for t in reader.feed(c)] == [(r, x or "") for _, _, r, x in rows if _ is not None and r in ("user", "assistant")][: len(evil)]
 
 
+def test_a_log_in_any_order_folds_to_its_messages(spark):
+    texts = ["", None, "a", "ab", "</turn>\n\\", "é😀漢", "word " * 50, " abandoned", " mistaken"] + [f"text {k}" for k in range(20)]
+    rows = [(k % 3, k // 3, ("user", "assistant", None)[k % 3], t) for k, t in enumerate(texts)] + [(1, 0, "user", "twice"), (1, 0, "user", "twice"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.log_of_rows(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit"}
+    # only the fold can tell what counts: the log holds more than the texts
+    assert log.agg(F.sum(F.length("text"))).head()[0] > 2 * sum(len(t or "") for _, _, _, t in rows)
+    plain = chat.digest(chat.format_conversations(chat.events_of_rows(df))).collect()
+    assert sorted(map(str, chat.digest(chat.format_conversations(log.orderBy(F.rand(3)))).collect())) == sorted(map(str, plain))
+    assert chat.log_of_rows(df.limit(0)).isEmpty()
+
+
 def test_texts_of_one_turn_follow_one_another_by_text(spark):
     rows = [(1, 0, "user", t) for t in "ecabd"] + [(1, 0, "user", "c")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
