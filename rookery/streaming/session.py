@@ -83,3 +83,43 @@ def settled(events: DataFrame, *, session: str, at: str, order: list[str], wait:
     """
     following = F.lead(at).over(Window.partitionBy(session).orderBy(at, *order))
     return events.withColumn("next_at", following).where(F.col("next_at").isNull() | (F.col("next_at") - F.col(at) >= F.col(wait))).drop("next_at")
+
+
+def stream_settled(events: DataFrame, *, session: str, at: str, order: list[str], wait: str, late: str = "1 minute") -> DataFrame:
+    """The same as a stream: (session, at, order...) of each event once its wait is over; events come in any order.
+
+    ``at`` is a timestamp, ``wait`` in seconds, ``order`` longs that tell equal times
+    apart.  Events more than ``late`` behind the newest time seen are dropped.  What is
+    newer than the watermark waits in a session's state.  An event is withdrawn as
+    soon as a newer one lies within its wait, and commits when the watermark has
+    passed its wait: one timer a session, for the first wait that ends.  So the last
+    event commits when time has moved on, not when the input ends.
+    """
+    cols = ["session", "at", *order]
+    rows = events.select(F.col(session).cast("string").alias("session"), F.col(at).alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), (F.col(wait) * 1e6).cast("long").alias("wait"), *order)
+    rows = rows.where("session is not null").withWatermark("at", late)
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        passed = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut:
+            for pdf in batches:
+                new = zip(pdf["us"], *(pdf[c] for c in order), pdf["wait"], strict=True)
+                held += [tuple(map(int, x)) for x in new if x[0] >= passed]
+        held.sort()
+        done, left = [], []
+        for k, (us, *rest) in enumerate(held):
+            if k + 1 < len(held) and held[k + 1][0] - us < rest[-1]:
+                continue
+            (done if us + rest[-1] <= passed else left).append((us, *rest))
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(max(min(us + rest[-1] for us, *rest in left) // 1000, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
+        if done:
+            out = pd.DataFrame([(key[0], *x[:-1]) for x in done], columns=cols)
+            yield out.assign(at=pd.to_datetime(out["at"], unit="us"))
+
+    kinds = ", ".join(f"{c} long" for c in order)
+    return rows.groupBy("session").applyInPandasWithState(update, f"session string, at timestamp, {kinds}" if order else "session string, at timestamp", "held string", "append", GroupStateTimeout.EventTimeTimeout)
