@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from rookery.plans.staging import discard, shared_folder, staged
 
-__all__ = ["shared_folder", "staged", "discard", "table", "slices", "utf8", "crc32_of_id", "small", "join_heavy", "ranked"]
+__all__ = ["shared_folder", "staged", "discard", "table", "slices", "utf8", "crc32_of_id", "small", "join_heavy", "ranked", "remember"]
 
 #: Rows, and bytes of text, that a Python function takes at once (or one row).  Spark bounds what it sends by bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 8_000_000
@@ -27,8 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = 1, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut into slices of at most ``rows`` rows and ``SLICE_BYTES`` bytes of column ``text``, or one row."""
+#: What a Python worker remembers from one task to the next, by operator, as functions that forget it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """An operator's tables stay in the worker until another operator's task comes."""
+    _remembered[owner] = forget
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int | str | None = 1, rows: int = SLICE_ROWS, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices of at most ``rows`` rows and ``SLICE_BYTES`` bytes of column ``text``, or one row.
+
+    Of what the worker remembers, only what is ``owner``'s stays.
+    """
+    for other in [k for k in _remembered if k != owner]:
+        _remembered.pop(other)()
     for batch in batches:
         size = np.zeros(batch.num_rows, np.int64)
         if text is not None and batch.num_rows:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import slices, utf8
+from rookery.llm.common import remember, slices, utf8
 
 #: Window length in words.
 WINDOW = 13
@@ -329,13 +329,14 @@ def built(held, window: int) -> Patterns:
     if key not in _built:
         _built.clear()
         _built[key] = held.value, Patterns(held.value, window)
+    remember("benchmark", _built.clear)
     return _built[key][1]
 
 
 def _pass(held, window: int, more: bool, spans: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = built(held, window)
-        for batch in slices(batches):
+        for batch in slices(batches, owner="benchmark"):
             found = found_in(utf8(batch.column(1)), patterns, spans)
             hits = [h for _, h, _, _ in found]
             items = [sorted(i) for _, _, i, _ in found]
@@ -404,7 +405,7 @@ def _broadcasts(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col:
 def _keep(held, at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns = built(held, window)
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, owner="benchmark"):
             found = found_in(utf8(batch.column(at)), patterns, False)
             yield batch.filter(pa.array([not (len(h) and HIT_SHARE * len(h) >= n) for n, h, _, _ in found], pa.bool_()))
 

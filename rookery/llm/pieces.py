@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import SLICE_BYTES, discard, slices, staged
+from rookery.llm.common import SLICE_BYTES, discard, remember, slices, staged
 
 SPACE = "▁"
 #: Characters of a chunk; longer documents are cut.
@@ -39,6 +39,11 @@ REMEMBERED, PAIRS = 200_000, 300_000
 TOGETHER = 64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Characters by which pieces are looked up.
+HEAD = 4
+#: Numbers of signs that are no piece, and of what stands before the first one; both beyond any id.
+OTHER, NONE = 1 << 21, (1 << 22) - 1
+
 State = tuple[int, str]  # where the piece ends, and the piece
 START: State = (0, "")
 
@@ -58,11 +63,12 @@ class Vocabulary:
         self.byte = {int(pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.unknown = model.unk_id()
         self.longest = max(map(len, self.score), default=1)
-        #: The longest piece with these first three characters.
-        self.reach: dict[str, int] = {}
-        for piece in self.score:
-            if len(piece) > 2:
-                self.reach[piece[:3]] = max(len(piece), self.reach.get(piece[:3], 0))
+        #: How long pieces of more than ``HEAD`` characters that start so are, the longest first.
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        for piece in sorted(self.score, key=len, reverse=True):
+            if len(piece) > HEAD and len(piece) not in (known := self.sizes.get(piece[:HEAD], ())):
+                self.sizes[piece[:HEAD]] = (*known, len(piece))
+        self.heads: dict[str, list[tuple[int, int]]] = {}
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
         self.bytes = [pieces[i].replace(SPACE, " ").encode() for i in range(size)]
         for value, i in self.byte.items():
@@ -70,6 +76,7 @@ class Vocabulary:
         #: ``bytes`` as an array, made when something is decoded.
         self.by_id: pa.Array | None = None
         self.fitting: dict[tuple[str, str], bool] = {}
+        self.fitting_ids: dict[int, bool] = {}
         self.words = _Words(self)
 
     def merged(self, text: str) -> list[str]:
@@ -119,36 +126,64 @@ class Vocabulary:
             i -= len(last[i])
         return out[::-1]
 
-    def path(self, text: str) -> list[str]:
+    def path(self, text: str) -> list[int]:
         """The whole text's path, found depth first: the longest piece that fits, else a shorter one, else a step back.
 
         A place is reached by one path only, so a place that led nowhere is dead
-        for good.  This gives what ``trace(ends(...))`` gives, sooner.
+        for good.  Pieces are their ids, signs without one ``OTHER`` and their code.
+        This gives what ``trace(ends(...))`` gives, sooner.
         """
-        score, fitting, fits, reach, n = self.score, self.fitting, self.fits, self.reach.get, len(text)
-        out: list[str] = []
-        dead = bytearray(n + 1)
-        before, at, k = "", 0, min(reach(text[:3], 2), n)
+        number, fitting, heads, n = self.number.get, self.fitting_ids, self.heads, len(text)
+        out: list[int] = []
+        lengths: list[int] = []
+        dead: set[int] = set()
+        before, at, below = NONE, 0, n + 1
         while at < n:
-            while k:
-                piece = text[at : at + k]
-                if (piece in score or k == 1) and not dead[at + k]:
-                    known = fitting.get((before, piece))
-                    if known or (known is None and fits(before, piece)):
-                        break
-                k -= 1
-            if k:
-                out.append(piece)
-                before = piece
-                at += k
-                k = min(reach(text[at : at + 3], 2), n - at)
+            head = text[at : at + HEAD]
+            for k, i in heads.get(head) or self.starting(head):
+                if k >= below or (dead and at + k in dead):
+                    continue
+                if not i:
+                    i = number(text[at : at + k], 0) if at + k <= n else 0
+                    if not i:
+                        continue
+                known = fitting.get(before << 22 | i)
+                if known is None:
+                    if len(fitting) > PAIRS:
+                        fitting.clear()
+                    left, piece = text[at - lengths[-1] : at] if lengths else "", text[at : at + k]
+                    known = fitting[before << 22 | i] = self.merged(left + piece) == ([left, piece] if left else [piece])
+                if known:
+                    out.append(i)
+                    lengths.append(k)
+                    before, below = i, n + 1
+                    at += k
+                    break
             else:
-                dead[at] = 1
-                k = len(out.pop()) - 1
-                at -= k + 1
-                before = out[-1] if out else ""
+                dead.add(at)
+                out.pop()
+                below = lengths.pop()
+                at -= below
+                before = out[-1] if out else NONE
         return out
 
+    def starting(self, head: str) -> list[tuple[int, int]]:
+        """How long pieces that start with ``head`` may be, with ids (0: to be looked up), the longest first; always one sign."""
+        if len(self.heads) > PAIRS // 3:
+            self.heads.clear()
+        longer = [(k, 0) for k in self.sizes.get(head, ())]
+        whole = [(k, self.number[head[:k]]) for k in range(len(head), 0, -1) if head[:k] in self.number]
+        own = [] if head[0] in self.number else [(1, OTHER + ord(head[0]))]
+        self.heads[head] = longer + whole + own
+        return self.heads[head]
+
+    def packed_path(self, text: str) -> bytes:
+        """Ids of a text's path, as int32."""
+        ids = self.path(text)
+        if max(ids, default=0) >= OTHER:
+            return array("i", [j for i in ids for j in ([i] if i < OTHER else [self.byte.get(b, self.unknown) for b in chr(i - OTHER).encode("utf-8", "surrogatepass")])]).tobytes()
+        return array("i", ids).tobytes()
+
     def numbers(self, pieces: list[str]) -> list[int]:
         """Ids; a sign that is no piece becomes its bytes."""
         try:
@@ -212,7 +247,7 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             v = self.vocabulary
-            ids = v.packed_pieces(v.path(word))
+            ids = v.packed_path(word)
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -324,6 +359,7 @@ def vocabulary(model_file: str) -> Vocabulary:
     """The model, read once in a process."""
     if model_file not in _models:
         _models[model_file] = Vocabulary(model_file)
+    remember("pieces", _models.clear)
     return _models[model_file]
 
 
@@ -344,7 +380,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 def _encode_whole(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in slices(batches):
+        for batch in slices(batches, owner="pieces"):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = [v.packed(marked(t)) for t in texts]
             same = v.give_back(ids, [f" {t}" if t else "" for t in texts])
@@ -357,7 +393,7 @@ def _cut(chunk: int, reach: int):
     """Rows (row, id, raw) in one pass to chunks, each with what ``reach`` can see around it; only slices go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, 1):
+        for batch in slices(batches, 2, 1, "pieces"):
             raw = batch.column(2).to_pylist()[0]
             total, most = len(raw), max(SLICE_BYTES // (4 * chunk), 1)
             for first in range(0, total, chunk * most):
@@ -399,7 +435,7 @@ def _matrix(entries: list[dict]) -> Matrix:
 def _matrices(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in slices(batches, "raw"):
+        for batch in slices(batches, "raw", owner="pieces"):
             entries = [[(*s, *r) for s, r in c.matrix()] for _, c in _chunks_of(batch, v)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), batch.column("chunks"), _entries(entries)], names=["row", "k", "chunks", "entries"])
 
@@ -409,7 +445,7 @@ def _matrices(model_file: str):
 def _runs(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows that follow one another and are equal in their first ``key`` columns, as dicts."""
     now, held = None, []
-    for batch in slices(batches, None):
+    for batch in slices(batches, None, owner="pieces"):
         for row in batch.to_pylist():
             mark = tuple(row[c] for c in batch.schema.names[:key])
             if mark != now and held:
@@ -496,7 +532,7 @@ def states(matrices: DataFrame, together: int = TOGETHER) -> DataFrame:
 def _backtrace(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in slices(batches, "raw"):
+        for batch in slices(batches, "raw", owner="pieces"):
             ends = list(zip(*(batch.column(n).to_pylist() for n in ("le", "lp", "re", "rp")), strict=True))
             raws = batch.column("raw").to_pylist()
             ids, own = [], []
@@ -548,7 +584,7 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model_file)
-        for batch in slices(batches, None, 128):
+        for batch in slices(batches, None, 128, "pieces"):
             parts = [np.array(i or [], np.int32).tobytes() for i in batch.column(1).to_pylist()]
             texts = [bytes(x[1:]).decode("utf-8", "replace") for x in v.decoded(parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
