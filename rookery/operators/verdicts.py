@@ -41,11 +41,11 @@ def added_holds(holds: DataFrame, deltas: DataFrame, added_rows: DataFrame) -> D
     return h.withColumn("event", F.when(new, "added")).drop("src_delta", "dst_delta", "new_rows")
 
 
-def removed_holds(dropped: DataFrame, live: DataFrame) -> DataFrame:
-    """Edges that dropped rows drew: without self edges, without pairs that are still held, their fields together."""
+def removed_holds(dropped: DataFrame, live: DataFrame, *also: str) -> DataFrame:
+    """Edges that dropped rows drew: without self edges, without pairs that are still held, their fields together, apart by ``also``."""
     gone = dropped.where("src <> dst").join(live.select("src", "dst", "from_method").distinct(), ["src", "dst", "from_method"], "left_anti")
     listed = F.transform(F.array_sort(F.collect_set(F.struct("ord", "name"))), lambda f: f["name"])
-    return gone.groupBy("src", "dst", "kind", "from_method").agg(listed.alias("fields")).withColumn("event", F.lit("removed"))
+    return gone.groupBy("src", "dst", "kind", *also, "from_method").agg(listed.alias("fields")).withColumn("event", F.lit("removed"))
 
 
 def woven(live: DataFrame, removed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rookery.functions import text as T
 from rookery.operators import calls, dependency, editions, graph, intervals, ownership, paper
 from rookery.plans.fixtures import relation, with_relations
-from rookery.streaming import session
+from rookery.streaming import folds, session
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -529,3 +529,32 @@ def q_debounce(s: SparkSession, d: str) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
     e = _table(s, d, "events").select("event_id", "user_id", at.alias("at"), F.when(F.col("event_type") == "view", 21600.0).otherwise(7200.0).alias("wait"))
     return session.settled(e, session="user_id", at="at", order=["event_id"], wait="wait").select("event_id", "user_id")
+
+
+#: Boxes: the whole (0), brands (1 to 99), and parts (from 1000); gestures of all events.
+_BOXES = """bx as (select 0 node, cast(null as bigint) parent union all select distinct cast(substr(p_brand, 7) as bigint), 0 from part union all select p_partkey + 1000, cast(substr(p_brand, 7) as bigint) from part),
+ an as (select node, node anc from bx union all select node, parent from bx where parent is not null union all select b.node, 0 from bx b where b.parent > 0),
+ top as (select max(p_partkey) + 1 n from part),
+ ge as (select user_id, ts, event_id, event_type = 'signup' reading, event_type = 'click' deep, case when event_id % 13 = 0 then 0 when event_id % 3 = 0 then 11 + event_id % 45 else 1000 + (event_id * 31) % n end box from events, top)"""
+
+
+@query(
+    f"""with {_BOXES}, gs as (select *, row_number() over (partition by user_id order by ts, event_id) k from ge),
+ r(user_id, k, folded, packed) as (select distinct user_id, cast(0 as bigint), []::bigint[], []::bigint[] from gs union all
+  select r.user_id, gs.k, case when gs.reading or t.keys is null then r.folded when list_contains(r.folded, gs.box) then list_filter(r.folded, lambda x: not list_contains(t.keys, x)) else list_distinct(list_concat(r.folded, t.keys)) end,
+   case when gs.reading then r.folded when t.keys is not null and list_contains(r.folded, gs.box) then list_filter(r.packed, lambda x: not list_contains(t.keys, x)) else r.packed end
+  from r join gs on gs.user_id = r.user_id and gs.k = r.k + 1 left join (select anc, true as deep, list(node) keys from an group by anc union all select node, false, [node] from bx) t on t.anc = gs.box and t.deep = gs.deep),
+ l as (select user_id, unnest([false, true]) packed, unnest([folded, packed]) keys from (select *, row_number() over (partition by user_id order by k desc) z from r) y where z = 1)
+select user_id, packed, count(*) n, cast(sum(node) as bigint) nodes, min(node) first_node, max(node) last_node from (select user_id, packed, unnest(keys) node from l) q group by user_id, packed"""
+)
+def q_fold_sets(s: SparkSession, d: str) -> DataFrame:
+    part = _table(s, d, "part").select((F.col("p_partkey") + 1000).alias("node"), F.substring("p_brand", 7, 9).cast("long").alias("parent"))
+    whole = part.agg(F.lit(0).cast("long").alias("node"))
+    boxes = folds.numbered(part.unionByName(part.select(F.col("parent").alias("node")).distinct().withColumn("parent", F.lit(0).cast("long"))).unionByName(whole.withColumn("parent", F.lit(None).cast("long"))))
+    top = _table(s, d, "part").agg((F.max("p_partkey") + 1).alias("n"))
+    e = F.col("event_id")
+    box = F.when(e % 13 == 0, 0).when(e % 3 == 0, 11 + e % 45).otherwise(1000 + e * 31 % F.col("n"))
+    events = _table(s, d, "events").join(F.broadcast(top), F.lit(True))  # one row
+    gestures = events.select("user_id", "ts", "event_id", box.alias("box"), (F.col("event_type") == "click").alias("deep"), (F.col("event_type") == "signup").alias("reading"))
+    held = folds.boxes_in(folds.fold_sets(gestures, boxes, session="user_id", order=["ts", "event_id"]), boxes)
+    return held.groupBy(F.col("session").alias("user_id"), "packed").agg(F.count("*").alias("n"), F.sum("node").alias("nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))

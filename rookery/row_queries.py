@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions import text as T
 from rookery.more_queries import _homes, _refs
-from rookery.operators import attribution, frames, verdicts
+from rookery.operators import attribution, frames, names, verdicts
 from rookery.plans.fixtures import relation
 from rookery.queries import _SPANS, _edges, _ids, _items, _spans, _table, query
 
@@ -147,6 +147,59 @@ def q_removed_holds(s: SparkSession, d: str) -> DataFrame:
     return gone.select("src", "dst", "kind", "from_method", F.array_join("fields", ",").alias("names"), "event")
 
 
+_DROPPED = """w as (select distinct l_orderkey || '/' || l_linenumber || '/' || l_suppkey || '/' || l_partkey as "row", l_suppkey src, l_linenumber ord, 'f' || l_linenumber as name, l_partkey a, l_linenumber k, l_linenumber % 2 = 0 from_method from lineitem),
+ x as (select *, case k when 1 then 'Arc<T' || a || ', Vec<T' || (a + 7) || '>>' when 2 then '&T' || a when 3 then 'Box<dyn T' || a || '>' when 4 then 'T' || a || ' { of: T' || (a + 1) || ', T' || (a + 1) || ' }'
+   when 5 then 'Memo<é_T' || a || '>' when 6 then '&mut dyn Fn(Rc<T' || a || '>) -> Weak<T' || (a + 2) || '>' else '(T' || a || ', T' || (a + 3) || ')' end as text, k = 4 skip_leading from w),
+ nm as (select p_partkey id, 'T' || p_partkey as name from part union all select p_partkey + 100000000, 'T' || (p_partkey + 1) from part where p_size = 1 union all select 0, 'Memo'),
+ nk as (select name, case when count(*) = 1 then min(id) end id, count(*) > 1 several from nm group by name),
+ tk as (select "row", skip_leading, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) as word, generate_subscripts(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), 1) ps from x),
+ tt as (select * from tk where not (skip_leading and ps = 1)),
+ ht as (select "row", id, several, min(ps) ps, count(*) n from tt join nk on nk.name = tt.word group by all),
+ fd as (select "row", list(id order by ps) filter (where not several) targets, cast(coalesce(sum(n) filter (where several), 0) as bigint) ambiguous from ht group by "row"),
+ st as (select "row", ps, word, case word when 'dyn' then 2 else 3 end rank from tt where word in ('dyn','Arc','Rc','Weak','Signal','GlobalSignal','ReadSignal','Memo','Resource') and word not in (select name from nk)),
+ wp as (select "row", max(rank) rank, arg_min(word, (-rank, ps)) as word from st group by "row"),
+ wk as (select x."row", case when coalesce(wp.rank, 0) > pl then list_extract(['owns','borrows','dyn','shares'], wp.rank + 1) when pl = 1 then 'borrows' else 'owns' end kind,
+   case when coalesce(wp.rank, 0) > pl then wp.word when pl = 1 then '&' else '' end via, coalesce(targets, []) targets, coalesce(ambiguous, 0) ambiguous
+  from (select *, case when text like '%&%' then 1 else 0 end pl from x) x left join wp using ("row") left join fd using ("row"))"""
+
+
+def _dropped_rows(s: SparkSession, d: str) -> DataFrame:
+    a, k = F.col("l_partkey"), F.col("l_linenumber")
+    t = lambda n: F.concat(F.lit("T"), (a + n).cast("string"))
+    text = (
+        F.when(k == 1, F.concat(F.lit("Arc<"), t(0), F.lit(", Vec<"), t(7), F.lit(">>"))).when(k == 2, F.concat(F.lit("&"), t(0))).when(k == 3, F.concat(F.lit("Box<dyn "), t(0), F.lit(">")))
+        .when(k == 4, F.concat(t(0), F.lit(" { of: "), t(1), F.lit(", "), t(1), F.lit(" }"))).when(k == 5, F.concat(F.lit("Memo<é_"), t(0), F.lit(">")))
+        .when(k == 6, F.concat(F.lit("&mut dyn Fn(Rc<"), t(0), F.lit(">) -> Weak<"), t(2), F.lit(">"))).otherwise(F.concat(F.lit("("), t(0), F.lit(", "), t(3), F.lit(")")))
+    )
+    rows = _table(s, d, "lineitem")
+    return rows.select(F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")]).alias("row"), F.col("l_suppkey").alias("src"), k.alias("ord"), F.concat(F.lit("f"), k.cast("string")).alias("name"), text.alias("text"), (k == 4).alias("skip_leading"), (k % 2 == 0).alias("from_method")).distinct()
+
+
+def _part_names(s: SparkSession, d: str) -> DataFrame:
+    part = _table(s, d, "part")
+    t = lambda n: F.concat(F.lit("a::b::T"), (F.col("p_partkey") + n).cast("string")).alias("name")
+    own = part.select(F.col("p_partkey").alias("id"), F.lit("struct").alias("kind"), t(0))
+    again = part.where("p_size = 1").select((F.col("p_partkey") + 100_000_000).alias("id"), F.lit("trait").alias("kind"), t(1))
+    functions = part.select((F.col("p_partkey") + 200_000_000).alias("id"), F.lit("fn").alias("kind"), t(0))  # no kind that a row can name
+    word = own.agg(F.lit(0).cast("long").alias("id")).select("id", F.lit("enum").alias("kind"), F.lit("Memo").alias("name"))
+    return names.known_names(own.where("id % 11 <> 0").unionByName(functions).unionByName(word), own.where("id % 11 = 0").unionByName(again))
+
+
+@query(f"""with {_DROPPED} select "row", kind, via, array_to_string(targets, ',') targets, ambiguous from wk""")
+def q_name_walk(s: SparkSession, d: str) -> DataFrame:
+    return names.name_walk(_dropped_rows(s, d), _part_names(s, d)).withColumn("targets", F.array_join(F.transform("targets", lambda t: t.cast("string")), ","))
+
+
+@query(
+    f"""with {_DROPPED}, lv as (select distinct l_suppkey src, l_partkey dst, l_linenumber % 2 = 0 from_method from lineitem where l_returnflag = 'N'),
+ dr as (select distinct src, t.dst, kind, via, from_method, ord, name from (select "row", kind, via, unnest(targets) dst from wk) t join x using ("row") where src <> t.dst)
+select src, dst, kind, via, from_method, string_agg(name, ',' order by ord) fields, 'removed' event from dr where not exists (select 1 from lv where lv.src = dr.src and lv.dst = dr.dst and lv.from_method = dr.from_method) group by src, dst, kind, via, from_method"""
+)
+def q_dropped_holds(s: SparkSession, d: str) -> DataFrame:
+    live = _table(s, d, "lineitem").where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), (F.col("l_linenumber") % 2 == 0).alias("from_method"))
+    return names.dropped_holds(_dropped_rows(s, d), _part_names(s, d), live).withColumn("fields", F.array_join("fields", ","))
+
+
 # ---- words
 
 
