@@ -14,9 +14,17 @@ KEYWORDS = (
     "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return "
     "self Self static struct super trait true type unsafe use where while"
 ).split()
+def _comment(depth: int) -> str:
+    """A block comment that holds others, as deep as this; one that doesn't end goes on to the last character."""
+    inner = ""
+    for _ in range(depth):
+        inner = r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)" + (f"|{inner}" if inner else "") + r")*+\*/"
+    return inner + r"|/\*(?s:.*)"
+
+
 #: What a token looks like; the first that fits counts.
 TOKEN = "|".join([
-    r"//[^\n]*", r"/\*(?s:.*?)\*/", r"#!?\[[^\]]*\]", r"b?r(#*)\"(?s:.*?)\"\1", r"b?\"(?s:.*?)(?<!\\)(?:\\\\)*+\"", r"b?'(?:\\.[^']*|[^'\\\n])'", r"'[\p{L}_][\p{L}\p{N}_]*",
+    r"//[^\n]*", _comment(4), r"#!?\[[^\]]*\]", r"b?r(#*)\"(?s:.*?)\"\1", r"b?\"(?s:.*?)(?<!\\)(?:\\\\)*+\"", r"b?'(?:\\.[^']*|[^'\\\n])'", r"'[\p{L}_][\p{L}\p{N}_]*",
     r"[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?", r"(?U:[\p{L}_][\p{L}\p{N}_]*)", r"(?U:\s+)", r"(?s:.)",
 ])
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rookery.functions import text as T
+from rookery.functions.lexing import KEYWORDS
 from rookery.more_queries import _homes, _refs
-from rookery.operators import attribution, frames, names, verdicts
+from rookery.operators import attribution, frames, lexer, names, verdicts
 from rookery.plans.fixtures import relation
 from rookery.queries import _SPANS, _edges, _ids, _items, _spans, _table, query
 
@@ -200,6 +201,25 @@ def q_dropped_holds(s: SparkSession, d: str) -> DataFrame:
     return names.dropped_holds(_dropped_rows(s, d), _part_names(s, d), live).withColumn("fields", F.array_join("fields", ","))
 
 
+_FILES = r"""t as (select doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-z \n]', '', 'g') as txt from documents where doc_id is not null),
+ p as (select doc_id, 'comment' as class, unnest(string_split('/* a /* b */ ' || txt || ' */', chr(10))) part from t union all select doc_id, 'str', unnest(string_split('"' || txt || '"', chr(10))) from t
+  union all select doc_id, 'space', unnest(regexp_extract_all(txt, ' +')) from t),
+ w as (select doc_id, unnest(regexp_extract_all(txt, '[A-Za-z]+')) part, generate_subscripts(regexp_extract_all(txt, '[A-Za-z]+'), 1) k from t),
+ n as (select doc_id, part, lag(part) over (partition by doc_id order by k) before from w)"""
+
+
+@query(
+    f"""with {_FILES} select doc_id, class, count(*) n, cast(sum(length(part)) as bigint) chars from (select * from p where part <> '' union all
+ select doc_id, case when part in ({", ".join(f"'{k}'" for k in KEYWORDS)}) then 'kw' when before = 'fn' then 'fn' when part[1] between 'A' and 'Z' then 'type' else 'ident' end, part from n) x group by doc_id, class"""
+)
+def q_file_runs(s: SparkSession, d: str) -> DataFrame:
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z \n]", "")
+    whole = F.concat(F.lit("/* a /* b */ "), text, F.lit(" */\n"), text, F.lit('\n"'), text, F.lit('"'))
+    files = _table(s, d, "documents").where("doc_id is not null").select(F.col("doc_id").alias("file"), whole.alias("text"))
+    runs = lexer.file_runs(files, 1_000)
+    return runs.groupBy(F.col("file").alias("doc_id"), "class").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
 # ---- words
 
 
