@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.functions.text import dedent
+from rookery.functions.text import common_indent, dedent
 from rookery.operators.intervals import CELL, cells
 
 # Rust's words.
@@ -78,6 +78,37 @@ def quoted(items: DataFrame) -> DataFrame:
     return items.withColumn("quote", dedent(own))
 
 
+def item_source(items: DataFrame) -> DataFrame:
+    """Items with ``blocks``, what is quoted of them: (part, start, end, text) of the header, the item and the closing brace.
+
+    ``items`` has file text, start and end, and owner_start and owner_end of the block that
+    the item is written in (null without one); all in characters.  The header goes from
+    the owner's start to its first brace, if that stands before the item; the closing
+    brace is the owner's last sign, if it is one and stands behind the item.  Lines lose the header's
+    indent, or without a header what all of the item's own lines share.  A range that isn't
+    in the text gives no blocks.
+    """
+    text, n = F.col("text"), F.length("text")
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
+
+    def indent(at: Column) -> Column:
+        """The blanks before a place, if nothing else stands there on its line."""
+        before = F.regexp_extract(F.left(text, at), r"([^\n]*)$", 1)
+        return F.when(F.trim(before) == "", before).otherwise("")
+
+    a, b, first, last = (F.col(c) for c in ("start", "end", "owner_start", "owner_end"))
+    brace = first + F.instr(piece(first, last), "{")
+    head = F.coalesce((last <= n) & (brace > first) & (brace <= a), F.lit(False))
+    foot = F.coalesce((last > b) & (last <= n) & (F.substring(text, last, F.lit(1)) == "}"), F.lit(False))
+    own = F.concat(indent(a), piece(a, b))
+    strip = F.when(head, F.length(indent(first))).otherwise(common_indent(own))
+    cut = lambda t: F.array_join(F.transform(F.split(t, "\n"), lambda x: F.substring(x, strip + 1, F.length(x))), "\n")
+    block = lambda part, x, y: F.struct(F.lit(part).alias("part"), x.cast("long").alias("start"), y.cast("long").alias("end"), cut(F.concat(indent(x), piece(x, y))).alias("text"))
+    blocks = F.array_compact(F.array(F.when(head, block("header", first, brace)), block("item", a, b), F.when(foot, block("closing", last - 1, last))))
+    inside = (a >= 0) & (a <= b) & (b <= n)
+    return items.withColumn("blocks", F.when(inside, blocks).otherwise(F.array().cast("array<struct<part:string,start:bigint,end:bigint,text:string>>")))
+
+
 def linked(run_spans: DataFrame, spans: DataFrame) -> DataFrame:
     """Runs (file, run, start, end, item) with the target of the span inside them, links to the item itself left out; links count from 1 by first place.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rookery.operators.intervals import CELL, cells
+from rookery.plans.numbering import ranked
 
 
 def files_of(modules: DataFrame) -> DataFrame:
@@ -18,12 +19,12 @@ def files_of(modules: DataFrame) -> DataFrame:
 def numbered(items: DataFrame) -> DataFrame:
     """Items with ``id`` from 0 in the order of path, start and end (longest first).
 
-    Ids are offsets of files plus places in a file, so only counts per file are ordered in one place.
+    Items are sorted in ranges over all tasks, so neither a file nor the list of files is
+    ordered in one place.
     """
-    per_file = items.groupBy("path").agg(F.count("*").alias("n"))
-    offset = per_file.select("path", (F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
-    place = F.row_number().over(Window.partitionBy("path").orderBy("start", F.desc("end")))
-    return items.withColumn("place", place).join(offset, "path").withColumn("id", F.coalesce("before", F.lit(0)) + F.col("place") - 1).drop("before", "place")
+    laid = items.withColumn("back_", -F.col("end"))
+    numbered, _ = ranked(laid, [], ["path", "start", "back_"], "items")
+    return numbered.withColumn("id", F.col("rank")).drop("back_", "rank", "n")
 
 
 def parents(items: DataFrame, impls: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from rookery.operators.dependency import KIND_RANK, longest_prefix, rank_of, routes
 from rookery.operators.graph import closure
+from rookery.plans.numbering import ranked
 from rookery.plans.staging import staged
 
 #: Externals that are named at rest; rings at rest; places of event labels along an edge.
@@ -55,27 +56,17 @@ def ring_cap(deepest: DataFrame, step: str | None) -> int:
 
 def around(sorted_names: DataFrame) -> DataFrame:
     """(name, next, previous) in the order of names, with the ends joined."""
-    one = sorted_names.select("name").distinct()
-    ends = one.agg(F.min("name").alias("first"), F.max("name").alias("last"))
-    order = Window.orderBy("name")  # the changed members of one workspace
-    walked = one.select("name", F.lead("name").over(order).alias("next"), F.lag("name").over(order).alias("previous"))
-    return walked.join(F.broadcast(ends), F.lit(True)).select("name", F.coalesce("next", "first").alias("next"), F.coalesce("previous", "last").alias("previous"))
+    numbered, _ = ranked(sorted_names.select("name").distinct(), [], ["name"], "names")
+    numbered = staged(numbered, "around")
+    beside = lambda step, to: numbered.select(F.pmod(F.col("rank") - step, F.col("n")).alias("rank"), F.col("name").alias(to))
+    return numbered.join(beside(1, "next"), "rank").join(beside(-1, "previous"), "rank").select("name", "next", "previous")
 
 
 def event_labels(edges: DataFrame) -> DataFrame:
-    """Edges with an event, and where along each its label stands: three places in turn, over all such edges in the order of (src, dst).
-
-    The order is one of ranges over tasks; an edge's number is its place in its
-    range and the sizes of the ranges before.
-    """
-    labelled = edges.where("event is not null")
-    laid = labelled.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
-    laid = staged(laid.withColumns({"range_": F.spark_partition_id(), "place_": F.monotonically_increasing_id()}), "labels")
-    sizes = laid.groupBy("range_").agg(F.count("*").alias("size_"), F.min("place_").alias("first_"))
-    before = sizes.withColumn("before_", F.sum("size_").over(Window.orderBy("range_")) - F.col("size_")).drop("size_")  # a row for each range
-    turn = F.col("before_") + F.col("place_") - F.col("first_")
-    at = F.element_at(F.array(*map(F.lit, LABEL_PLACES)), F.pmod(turn, F.lit(len(LABEL_PLACES))).cast("int") + 1)
-    return laid.join(F.broadcast(before), "range_").withColumn("at", at).drop("range_", "place_", "first_", "before_")
+    """Edges with an event, and where along each its label stands: three places in turn, over all such edges in the order of (src, dst)."""
+    numbered, _ = ranked(edges.where("event is not null"), [], ["src", "dst"], "labels")
+    turn = F.pmod(F.col("rank"), F.lit(len(LABEL_PLACES))).cast("int") + 1
+    return numbered.withColumn("at", F.element_at(F.array(*map(F.lit, LABEL_PLACES)), turn)).drop("rank", "n")
 
 
 def drawn_edges(links: DataFrame, selected: DataFrame, direction: str) -> DataFrame:
@@ -169,21 +160,25 @@ def sectors(weights: DataFrame) -> DataFrame:
         done = done.unionByName(level)
 
 
+def ring_gaps(angles: DataFrame, cap: int) -> DataFrame:
+    """(ring, gap): between each star (node, hops, angle) and the next one of its ring, the last one's to the first, round the circle."""
+    placed, _ = ranked(angles.select(F.least("hops", F.lit(cap)).alias("ring"), "node", "angle"), ["ring"], ["angle", "node"], "ring-order")
+    placed = staged(placed, "ring-places")
+    following = placed.select("ring", F.pmod(F.col("rank") - 1, F.col("n")).alias("rank"), F.col("angle").alias("next"))
+    turn = F.when(F.col("rank") == F.col("n") - 1, F.lit(math.tau)).otherwise(F.lit(0.0))
+    return placed.where("n >= 2").join(following, ["ring", "rank"]).select("ring", (F.col("next") + turn - F.col("angle")).alias("gap"))
+
+
 def ring_radii(angles: DataFrame, cap: int) -> list[float]:
     """Radius of each ring (node, hops, angle): at least a gap beyond the ring inside it, more where a quarter of its stars stand close.
 
-    Of each ring's gaps between neighbours only the one at the first quarter comes
-    to the driver, so a number a ring, of which there are at most ``cap`` and one.
+    Stars of a ring are ordered in ranges over all tasks, and so are its gaps.  Of
+    those only the one at the first quarter comes to the driver, so a number a
+    ring, of which there are at most ``cap`` and one.
     """
-    ring = F.least("hops", F.lit(cap))
-    a = angles.select(ring.alias("ring"), "node", "angle")
-    order = Window.partitionBy("ring").orderBy("angle", "node")
-    size = F.count("*").over(Window.partitionBy("ring"))
-    round_ = F.min("angle").over(Window.partitionBy("ring")) + math.tau - F.col("angle")
-    gaps = a.withColumn("n", size).withColumn("gap", F.coalesce(F.lead("angle").over(order) - F.col("angle"), round_))
-    gaps = gaps.withColumn("k", F.row_number().over(Window.partitionBy("ring").orderBy("gap")) - 1)
-    quarter = {r["ring"]: r["gap"] for r in gaps.where("n >= 2 and k = floor(n / 4)").select("ring", "gap").collect()}
-    deepest = a.agg(F.max("ring")).head()[0] or 0
+    gaps, _ = ranked(staged(ring_gaps(angles, cap), "gaps"), ["ring"], ["gap"], "gap-order")
+    quarter = {r["ring"]: r["gap"] for r in gaps.where("rank = floor(n / 4)").select("ring", "gap").collect()}
+    deepest = angles.agg(F.max(F.least("hops", F.lit(cap)))).head()[0] or 0
     radii = [0.0]
     for k in range(1, deepest + 1):
         needed = STAR_ROOM / max(quarter[k], 1e-4) if k in quarter else 0.0

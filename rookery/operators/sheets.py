@@ -20,9 +20,14 @@ def crate_focus(links: DataFrame, names: DataFrame, chosen: str, rows: int = 14)
     used = l.where(F.col("dst_name") == chosen).select(F.lit("used by").alias("side"), F.col("src_name").alias("name"), "kind", "event")
     uses = l.where(F.col("src_name") == chosen).select(F.lit("depends on").alias("side"), F.col("dst_name").alias("name"), "kind", "event")
     order = Window.partitionBy("side").orderBy("kind", "name", "event")
-    every = used.unionByName(uses).distinct()
-    placed = every.withColumn("place", F.row_number().over(order)).withColumn("total", F.count("*").over(Window.partitionBy("side")))
-    return placed.where(F.col("place") <= rows)
+
+    def first(side: DataFrame) -> DataFrame:
+        """A side's first rows, with how many there are; each task keeps no more than ``rows``."""
+        every = side.distinct()
+        total = every.agg(F.count("*").alias("total"))
+        return every.orderBy("kind", "name", "event").limit(rows).withColumn("place", F.row_number().over(order)).join(F.broadcast(total), F.lit(True))
+
+    return first(used).unionByName(first(uses))
 
 
 def band(tiers: DataFrame, weights: DataFrame, depth: int, rows: int = 14) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rookery.functions import lexing
 from rookery.functions import text as T
 from rookery.functions.lexing import KEYWORDS
 from rookery.more_queries import _homes, _refs
@@ -220,6 +221,25 @@ def q_file_runs(s: SparkSession, d: str) -> DataFrame:
     return runs.groupBy(F.col("file").alias("doc_id"), "class").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
+@query(
+    """with t as (select doc_id, regexp_replace(left(coalesce(text, ''), 400), '[^A-Za-z ]', '', 'g') as b from documents),
+ l as (select doc_id, b, length(b) n, repeat(' ', cast(doc_id % 3 as integer)) pre from t)
+select doc_id, case when doc_id % 4 = 0 then '' else 'impl ' || b || ' {|' end || '    fn ' || b || ' {' || chr(10) || '    }' || case when doc_id % 5 = 0 then '' else '|}' end quote from l where doc_id % 4 <> 0
+union all select doc_id, 'fn ' || b || ' {' || chr(10) || '}' || case when doc_id % 5 = 0 then '' else '|' end from l where doc_id % 4 = 0"""
+)
+def q_item_source(s: SparkSession, d: str) -> DataFrame:
+    body = F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(400)), "[^A-Za-z ]", "")
+    doc = F.col("doc_id")
+    pre = F.repeat(F.lit(" "), (doc % 3).cast("int"))
+    head = F.concat(F.when(doc % 4 == 0, "no brace").otherwise(F.concat(F.lit("impl "), body, F.lit(" {"))))
+    lead = F.concat(F.lit("// before\n"), pre)
+    item = F.concat(F.lit("fn "), body, F.lit(" {\n"), pre, F.lit("    }"))
+    until = F.concat(lead, head, F.lit("\n"), pre, F.lit("    "))
+    whole = F.concat(until, item, F.lit("\n"), pre, F.when(doc % 5 == 0, ";").otherwise("}"))
+    rows = _table(s, d, "documents").select("doc_id", whole.alias("text"), F.length(until).alias("start"), (F.length(until) + F.length(item)).alias("end"), F.length(lead).alias("owner_start"), F.length(whole).alias("owner_end"))
+    return lexing.item_source(rows).select("doc_id", F.array_join(F.transform("blocks", lambda b: b["text"]), "|").alias("quote"))
+
+
 # ---- words
 
 
