@@ -53,6 +53,48 @@ def row_diff(base: DataFrame, live: DataFrame) -> DataFrame:
     return added.unionByName(removed)
 
 
+def band_diff(base: DataFrame, live: DataFrame, items: DataFrame) -> DataFrame:
+    """``row_diff`` of items' methods, where the base edition was read in the item's own file only: (item, event, seat, name, decl).
+
+    ``live`` is (item, ord, name, decl, file), a row for each method wherever it is
+    written; ``items`` (item, file, kind).  A trait's clauses are all its own, another
+    item's only those of its file; these alone are compared.  Seats are then
+    places in the whole band: of an added row its own, of a removed one that of the own
+    row that took its place, or the band's end.
+    """
+    at = items.select("item", F.col("file").alias("home"), "kind")
+    own = live.join(at, "item").where((F.col("kind") == "trait") | (F.col("file") == F.col("home")))
+    own = own.withColumn("nth", (F.row_number().over(Window.partitionBy("item").orderBy("ord")) - 1).cast("long"))
+    diff = row_diff(base, own.select("item", F.col("nth").alias("ord"), "name", "decl"))
+    seats = own.select("item", F.col("nth").alias("seat"), F.col("ord").cast("long").alias("whole"))
+    full = live.groupBy("item").agg(F.count("*").alias("full"))
+    out = diff.join(seats, ["item", "seat"], "left").join(full, "item", "left")
+    return out.select("item", "event", F.coalesce("whole", "full", F.lit(0)).cast("long").alias("seat"), "name", "decl")
+
+
+def impl_events(implements: DataFrame, items: DataFrame, base: DataFrame, read_files: DataFrame) -> DataFrame:
+    """(trait, type, event) of promises: what types promise now, and what they promised in the base edition.
+
+    ``implements`` is (trait, type) by ids, ``items`` (id, kind, name, file); ``base`` (path, trait, type)
+    has the names that impl blocks of the base edition write, bare, and ``read_files`` (path) the files
+    that were read there.  A promise is added if the file of either end was read and no impl
+    block there has the two names.  A pair of names that no live promise has is a removed one, if
+    a single trait and a single type bear them; ambiguous names are left alone.  What wasn't read has no event.
+    """
+    bare = F.element_at(F.split("name", "::"), -1)
+    named = items.select("id", "kind", bare.alias("bare"), "file").join(read_files.select(F.col("path").alias("file"), F.lit(True).alias("read")).distinct(), "file", "left")
+    end = lambda c: named.select(F.col("id").alias(c), F.col("bare").alias(f"{c}_name"), F.coalesce("read", F.lit(False)).alias(f"{c}_read"))
+    live = implements.select("trait", "type").distinct().join(end("trait"), "trait").join(end("type"), "type")
+    old = base.join(read_files.select("path").distinct(), "path", "left_semi").select(F.col("trait").alias("trait_name"), F.col("type").alias("type_name")).distinct()
+    known = live.join(old.withColumn("had", F.lit(True)), ["trait_name", "type_name"], "left")
+    new = (F.col("trait_read") | F.col("type_read")) & F.col("had").isNull()
+    now = known.select("trait", "type", F.when(new, "added").alias("event"))
+    only = lambda kinds, c: items.where(F.col("kind").isin(*kinds)).groupBy(bare.alias(f"{c}_name")).agg(F.count("*").alias("n"), F.min("id").alias(c)).where("n = 1").drop("n")
+    gone = old.join(live.select("trait_name", "type_name").distinct(), ["trait_name", "type_name"], "left_anti")
+    gone = gone.join(only(("trait",), "trait"), "trait_name").join(only(("struct", "enum", "union"), "type"), "type_name")
+    return now.unionByName(gone.select("trait", "type", F.lit("removed").alias("event")))
+
+
 def edge_events(base: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, event) of edges that only one edition has."""
     new = live.select(*keys).distinct().join(base, keys, "left_anti").withColumn("event", F.lit("added"))

@@ -430,6 +430,51 @@ def q_row_diff(s: SparkSession, d: str) -> DataFrame:
     return editions.row_diff(edition("base"), edition("live"))
 
 
+_BAND = """b as (select item, name, base decl, row_number() over (partition by item order by name) - 1 ord from fx_row where base is not null),
+ a as (select item, name, live decl, row_number() over (partition by item order by name) - 1 ord from fx_row where live is not null),
+ o as (select *, row_number() over (partition by item order by ord) - 1 nth from a where item % 10 = 0 or name % 3 = item % 3),
+ l as (select item, name, decl, nth ord from o), c as (select item, count(*) n from l group by item), f as (select item, count(*) n from a group by item),
+ s as (select b.*, l.ord li, l.decl new, c.n from b left join l on b.item = l.item and b.name = l.name left join c on c.item = b.item),
+ w as (select *, first_value(li ignore nulls) over (partition by item order by ord rows between 1 following and unbounded following) nx,
+  last_value(li + 1 ignore nulls) over (partition by item order by ord rows between unbounded preceding and 1 preceding) pv from s),
+ v as (select item, 'removed' event, coalesce(li, least(coalesce(nx, n, 0), coalesce(pv, 0))) seat, name, decl from w where li is null or new is distinct from decl
+ union all select l.item, 'added', l.ord, l.name, l.decl from l left join b on l.item = b.item and l.name = b.name where b.item is null or b.decl is distinct from l.decl)"""
+
+
+@query(f"with {_BAND} select v.item, event, coalesce(o.ord, f.n, 0) seat, v.name, v.decl from v left join o on o.item = v.item and o.nth = v.seat left join f on f.item = v.item", "fx_row")
+def q_band_diff(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = relation(s, d, "fx_row")
+    order = Window.partitionBy("item").orderBy("name")
+    edition = lambda c: rows.where(f"{c} is not null").select("item", (F.row_number().over(order) - 1).alias("ord"), "name", F.col(c).alias("decl"))
+    items = rows.select("item").distinct().select("item", (F.col("item") % 3).alias("file"), F.when(F.col("item") % 10 == 0, "trait").otherwise("struct").alias("kind"))
+    return editions.band_diff(edition("base"), edition("live").withColumn("file", F.col("name") % 3), items)
+
+
+_IMPLS = """it as (select p_partkey id, case when p_partkey % 3 = 0 then 'trait' when p_partkey % 3 = 1 then 'struct' else 'enum' end kind, 'T' || (case when p_size = 1 then p_partkey - 3 else p_partkey end) bare, p_partkey % 20 file from part),
+ im as (select distinct l_partkey - l_partkey % 3 as tr, l_suppkey * 3 + 1 ty, l_returnflag from lineitem), rf as (select k as file from unnest([0, 1, 2, 3, 5, 8, 13]) u(k)),
+ lv as (select distinct tr, ty, a.bare tn, b.bare yn, a.file in (select file from rf) or b.file in (select file from rf) touched from im join it a on a.id = tr join it b on b.id = ty where l_returnflag <> 'R'),
+ ob as (select distinct 'T' || tr as tn, 'T' || ty as yn from im where l_returnflag <> 'A' and (tr + ty) % 20 in (select file from rf)),
+ tq as (select bare, min(id) id from it where kind = 'trait' group by bare having count(*) = 1), yq as (select bare, min(id) id from it where kind <> 'trait' group by bare having count(*) = 1)"""
+
+
+@query(
+    f"""with {_IMPLS} select tr as trait, ty as "type", case when touched and not exists (select 1 from ob where ob.tn = lv.tn and ob.yn = lv.yn) then 'added' end event from lv
+union all select tq.id, yq.id, 'removed' from ob join tq on tq.bare = tn join yq on yq.bare = yn where not exists (select 1 from lv where lv.tn = ob.tn and lv.yn = ob.yn)"""
+)
+def q_impl_events(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    own = F.when(F.col("p_size") == 1, i - 3).otherwise(i)  # a few share their names
+    items = _table(s, d, "part").select(i.alias("id"), F.when(i % 3 == 0, "trait").when(i % 3 == 1, "struct").otherwise("enum").alias("kind"), F.concat(F.lit("m::T"), own.cast("string")).alias("name"), (i % 20).alias("file"))
+    rows = _table(s, d, "lineitem").select((F.col("l_partkey") - F.col("l_partkey") % 3).alias("trait"), (F.col("l_suppkey") * 3 + 1).alias("type"), "l_returnflag").distinct()
+    live = rows.where("l_returnflag <> 'R'").join(items.select(F.col("id").alias("trait")), "trait", "left_semi").join(items.select(F.col("id").alias("type")), "type", "left_semi")
+    name = lambda c: F.concat(F.lit("T"), F.col(c).cast("string")).alias(c)
+    base = rows.where("l_returnflag <> 'A'").select(((F.col("trait") + F.col("type")) % 20).alias("path"), name("trait"), name("type"))
+    read = s.range(14).select(F.col("id").alias("path")).where(F.col("path").isin(0, 1, 2, 3, 5, 8, 13))
+    return editions.impl_events(live, items, base, read)
+
+
 @query(
     f"""with {_EDITIONS} select src, dst, kind, 'added' event from (select src, dst, kind from l except select src, dst, kind from b)
 union all select src, dst, kind, 'removed' from (select src, dst, kind from b except select src, dst, kind from l)""",
