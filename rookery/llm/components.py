@@ -54,10 +54,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of stars."""
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b: long): label is the smallest node of its component.
 
-    Every task first contracts the links that it holds.  Then rounds of two steps
+    Every task first contracts the links that it holds.  If fewer than
+    ``CONTRACTED`` are left, one task contracts them.  Else rounds of two steps
     (large star and small star) until all that is left are stars: every node
     tells its larger, then its smaller neighbours of the smallest one it knows.
     The rows of a hub are not gathered.  Each round is written to the shared
@@ -66,13 +73,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a <> b")
     edges = staged(edges.mapInArrow(_contract, "u long, v long"), "stars")
+    if edges.count() < CONTRACTED:
+        before, edges = edges, staged(edges.coalesce(1).mapInArrow(_contract, "u long, v long"), "stars")
+        discard(before)
+        return _labels(edges)
     for _ in range(MOST_ROUNDS):
         ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("under")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("under")))
         known = ends.groupBy("node").agg(F.sum("under").alias("under"), F.count("*").alias("n"))
         open_, n = known.agg(F.max((F.col("under") > 1) | ((F.col("under") > 0) & (F.col("n") > 1))), F.sum("n")).head()
         if not open_:
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+            return _labels(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = join_heavy(both, least, "u", "n", n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

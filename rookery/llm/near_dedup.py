@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from rookery.llm.common import discard, join_heavy, slices, small, staged, utf8
 from rookery.llm.components import components
@@ -40,6 +41,8 @@ from rookery.llm.shingles import BUNDLES, ROWS, Words64, bundles, common, minhas
 SIMILAR = 85
 #: Classes, and shingles of their sets, in a block or compared with a bucket's smallest class in one task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: In place of a table's number, for buckets of classes that share a rare shingle.
+RARE = -1
 #: Pairs just similar enough that the estimate from minhashes may reject.
 MISSED = 1e-6
 
@@ -113,7 +116,10 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def candidates(group: pa.Table, percent: int, fewest: int) -> Iterator[tuple[int, list[int]]]:
-    """Rows of two blocks, or of one, with the later ones that may be linked to them over components and meet them in this table first."""
+    """Rows of two blocks, or of one, with the later ones that may be linked to them over components and meet them in this table first.
+
+    Classes that meet by a rare shingle (``RARE``) may meet by several.
+    """
     sketch = np.stack([np.frombuffer(s, np.uint32) for s in group.column("sketch").to_pylist()])
     sizes, label, block = (group.column(c).to_numpy() for c in ("n", "label", "block"))
     table, two = group.column("t")[0].as_py(), block.max() > block.min()
@@ -125,7 +131,7 @@ def candidates(group: pa.Table, percent: int, fewest: int) -> Iterator[tuple[int
         others = others[may]
         others = others[(sketch[others] == sketch[k]).sum(axis=1) >= fewest]
         if len(others):
-            yield k, [j for j in others.tolist() if first_shared(sketch[k], sketch[j]) == table]
+            yield k, [j for j in others.tolist() if table == RARE or first_shared(sketch[k], sketch[j]) == table]
 
 
 def _with_candidates(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -203,20 +209,67 @@ def _with_heads(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return sets.groupBy("head", "parts", "part").applyInArrow(_star(percent), "a long, b long")
 
 
-def _with_others(buckets: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """2: links between components, of classes that are apart from the bucket's smallest one, with any other.
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shingle) of full sets."""
+    for batch in slices(batches):
+        for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(packed, np.int64)
+            for at in range(0, len(own), 1 << 16):
+                part = own[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], names=["node", "shingle"])
+
 
-    The classes apart (``a`` blocks) meet one another and those with the smallest
-    one (``b`` blocks); these, being of one component, don't meet one another.
+def _rare(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Buckets (table_key, t, node, n, label) of ``members`` (node, n, label) that share a rare shingle.
+
+    Of a set's shingles in the order of how few members have them, two sets that are linked share one among the
+    first n - ceil(n * percent / 100) + 1 of either (prefix filter).  Shingles that no other
+    member has come first and lead nowhere.  So no link is lost, and classes that only share what many share don't meet.
     """
-    label = F.coalesce("label", "node")
-    own = buckets.join(small(labels, labels.count()), "node", "left").select("table_key", "t", "node", "n", "head", label.alias("label"))
-    seen = own.groupBy("table_key").agg(F.count("*").alias("size"), F.max(F.when(F.col("node") == F.col("head"), F.col("label"))).alias("head_label"), (F.min("label") != F.max("label")).alias("open"))
+    rows = staged(members.join(full.select("node", "shingles"), "node").select("node", "shingles").mapInArrow(_shingle_rows, "node long, shingle long"), "rows")
+    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    met = join_heavy(rows, often, "shingle", "often", rows.count())
+    least = F.floor((F.col("n") * percent + 99) / 100)
+    first = met.join(members.select("node", "n"), "node")
+    at = Window.partitionBy("node")
+    first = first.withColumns({"place": F.row_number().over(at.orderBy("often", "shingle")), "alone": F.col("n") - F.count("*").over(at)})
+    first = first.where(F.col("place") + F.col("alone") <= F.col("n") - least + 1).select(F.col("shingle").alias("table_key"), "node")
+    out = staged(first.join(members, "node").select("table_key", F.lit(RARE).alias("t"), "node", "n", "label"), "rare")
+    discard(rows, often)
+    return out
+
+
+def _open(own: DataFrame, members: int) -> DataFrame:
+    """Of buckets (table_key, t, node, n, label) those of several components: with ``apart``, who isn't of their smallest one's, and blocks."""
+    seen = own.groupBy("table_key").agg(F.count("*").alias("size"), F.min_by("label", "node").alias("head_label"), (F.min("label") != F.max("label")).alias("open"))
     seen = staged(seen.where("open").select("table_key", "size", "head_label"), "open")
-    own = join_heavy(own, seen, "table_key", "size", members, seen.count())
+    n = seen.count()
+    own = join_heavy(own, seen, "table_key", "size", members, n)
     own = labelled = staged(own.select("table_key", "t", "node", "n", "label", (F.col("label") != F.col("head_label")).alias("apart")), "labelled")
     sizes = own.groupBy("table_key").agg(F.count("*").alias("size"), _parts().alias("all"), _parts(F.col("apart")).alias("a"), _parts(~F.col("apart")).alias("b"))
-    own = join_heavy(own, sizes, "table_key", "size", own.count(), seen.count())
+    out = staged(join_heavy(own, sizes, "table_key", "size", own.count(), n), "blocks")
+    discard(seen, labelled)
+    return out
+
+
+def _with_others(buckets: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """2: links between components, of classes that are apart from the bucket's smallest one, with any other.
+
+    A bucket that fits a block is compared as it is.  The members of larger ones are dealt anew, by rare
+    shingles, and meet in those buckets only.  Should one of those be larger than a block too, its
+    classes apart (``a`` blocks) meet one another and those of the smallest one's component (``b``
+    blocks); these, being of one component, don't meet one another.
+    """
+    label = F.coalesce("label", "node")
+    own = buckets.join(small(labels, labels.count()), "node", "left").select("table_key", "t", "node", "n", label.alias("label"))
+    first = own = _open(own, members)
+    large = staged(own.where("all > 1").select("node", "n", "label").distinct(), "large")
+    rare = None
+    if not large.isEmpty():
+        found = _rare(large, full, percent)
+        rare = _open(found, found.count())
+        own = own.where("all = 1").unionByName(rare)
+        discard(found)
     dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     block = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), dealt("a")).otherwise(F.col("a") + dealt("b"))
     own = own.withColumn("block", block)
@@ -224,14 +277,14 @@ def _with_others(buckets: DataFrame, members: int, labels: DataFrame, full: Data
     with_b = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda i: F.struct(F.col("block").alias("low"), (F.col("a") + i).alias("high")))
     alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
     met = F.when(F.col("all") == 1, alone).when(F.col("apart"), F.concat(with_a, with_b)).otherwise(with_a)
-    group = ["table_key", "low", "high"]
+    group = ["table_key", "t", "low", "high"]
     spread = own.select("table_key", "t", "node", "label", "block", F.explode(met).alias("e")).select("table_key", "e.low", "e.high", "t", "node", "label", "block")
-    kinds = "table_key long, low int, high int, t int, node long, n long, label long, block int, sketch binary"
-    some = spread.join(full.select("node", "n", "sketch"), "node").select(*group, "t", "node", "n", "label", "block", "sketch")
+    kinds = "table_key long, t int, low int, high int, node long, n long, label long, block int, sketch binary"
+    some = spread.join(full.select("node", "n", "sketch"), "node").select(*group, "node", "n", "label", "block", "sketch")
     some = some.groupBy(*group).applyInArrow(_with_candidates(percent), kinds)
     found = some.join(full.select("node", "sketch", "shingles"), ["node", "sketch"]).groupBy(*group).applyInArrow(_blocks(percent), "a long, b long")
     found = staged(found, "joined")
-    discard(seen, labelled)
+    discard(first, large, *([rare] if rare else []))
     return found
 
 

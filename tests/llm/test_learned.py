@@ -182,6 +182,32 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, small):
         assert sorted(map(str, (x.doc_id for x in kept.collect()))) == sorted(map(str, want))
 
 
+def test_many_classes_apart_meet_by_rare_shingles_only(spark, monkeypatch):
+    """Texts that share a long passage and are no copies: their large buckets write rows in proportion, and lose no link."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    made = {}
+    rare = near_dedup._rare
+
+    def counted(members, full, percent):
+        out = rare(members, full, percent)
+        made["rare"] = members.count(), out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "_rare", counted)
+    r = random.Random(2)
+    shared = [f"s{k}" for k in range(90)]
+    rows = [(k, " ".join(shared + [f"own{k}x{j}" for j in range(30)])) for k in range(260)]
+    for k in range(300, 330):  # near copies of some, of which half are linked
+        words = rows[r.randrange(260)][1].split()
+        for _ in range(k % 6):
+            words[r.randrange(len(words))] = f"new{k}"
+        rows.append((k, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+    members, buckets = made["rare"]
+    assert members > 100 and buckets < 25 * members
+
+
 def test_near_duplicates_of_repeated_rows_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "q r s t u v"), (3, "w x y z 1 2"), (4, "w x y z 1 2")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
