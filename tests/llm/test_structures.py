@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rookery.llm import common, merkle, mixing, trie
+from rookery.plans import numbering
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -102,7 +103,7 @@ def test_subtrees_cover_a_stretch_with_largest_aligned_nodes():
 
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_ranks_count_equal_rows_and_hot_groups(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(numbering, "BROADCAST_ROWS", broadcast)
     rows = [("hot", k % 3) for k in range(500)] + [(f"g{k}", k) for k in range(40)] + [("g1", 5)] * 4
     ranked, groups = common.ranked(spark.createDataFrame(rows, "g string, v long").repartition(5), ["g"], ["v"], "test")
     got = [tuple(r) for r in ranked.select("g", "v", "rank", "n").collect()]
