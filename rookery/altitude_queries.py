@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rookery.functions import predicates as P
 from rookery.functions import words as W
 from rookery.operators import functions as fn
-from rookery.operators import graph, landmarks, ownership, paper
+from rookery.operators import dependency, graph, landmarks, ownership, paper
 from rookery.plans.fixtures import relation
 from rookery.queries import _BFS, _DOWN, _TIES, _edges, _ids, _items, _paths, _roots, _table, query
 
@@ -487,6 +487,29 @@ def q_ring_walk(s: SparkSession, d: str) -> DataFrame:
     return _ring_walk(s, d)
 
 
+_ORDER_BFS = "r(node, hops) as (select node, 0 from seed union select e.dst, r.hops + 1 from r join e on e.src = r.node where r.hops < 400), d as (select node, min(hops) hops from r group by node)"
+
+
+@query(
+    f"""with e as (select dst src, src dst from order_edge), seed as (select o_orderkey node from orders where o_totalprice > (select quantile_cont(o_totalprice, 0.995) from orders)), {_ORDER_BFS} select node, hops from d""",
+    "order_edge",
+)
+def q_order_blast(s: SparkSession, d: str) -> DataFrame:
+    orders = _table(s, d, "orders")
+    bar = orders.agg(F.percentile("o_totalprice", F.lit(0.995)).alias("bar"))
+    seeds = orders.join(F.broadcast(bar), F.lit(True)).where("o_totalprice > bar").select(F.col("o_orderkey").alias("node"))  # one row
+    return dependency.blast_radius(relation(s, d, "order_edge"), seeds)
+
+
+@query(
+    f"""with e as (select src, dst from order_edge), seed as (select o_orderkey node from orders where o_orderkey not in (select dst from order_edge)), {_ORDER_BFS}
+select o_orderkey node, case when hops is null then 'ring' when hops = 0 then 'entry' else 'deep' end tier, coalesce(hops, (select max(hops) + 1 from d)) depth from orders left join d on node = o_orderkey""",
+    "order_edge",
+)
+def q_order_tiers(s: SparkSession, d: str) -> DataFrame:
+    return graph.tiers(relation(s, d, "order_edge"), _table(s, d, "orders").select(F.col("o_orderkey").alias("node")))
+
+
 @query(None)
 def q_radial_layout(s: SparkSession, d: str) -> DataFrame:
     return landmarks.radial_layout(_ring_walk(s, d).select("node", "hops", "parent"))
