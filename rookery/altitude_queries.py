@@ -128,6 +128,34 @@ def q_undrawn_ends(s: SparkSession, d: str) -> DataFrame:
     return paper.undrawn_ends(split, items.select(F.col("id").alias("node"), "name"))
 
 
+@query(
+    f"""with {_LINES}, {_TIES}, dh as (select held, holder, kind, via, event from l where not (kind = 'owns' and via = '' and event is distinct from 'removed' and (dst, src) in (select (node, parent) from nest)) group by all),
+ oe as (select distinct * from (select h.dst node, 'used by' side, h.src other, h.kind, via from st h join paper b on b.node = h.dst left join paper a on a.node = h.src
+  where is_structure and event is distinct from 'removed' and b.stand = 'drawn' and (a.stand is null or a.stand = 'narrower')
+  union all select h.src, 'uses', h.dst, h.kind, via from st h join paper a on a.node = h.src left join paper b on b.node = h.dst
+  where is_structure and event is distinct from 'removed' and a.stand = 'drawn' and (b.stand is null or b.stand = 'narrower')) q),
+ na as (select dst node, src namer, arg_min(from_method, ord) from_method, (array_agg(event order by ord))[1] event from st where not is_structure and dst in (select node from paper where stand = 'drawn') group by dst, src),
+ rw as (select cast(node as varchar) node, 'used by' side, cast(parent as varchar) other, 0 section, cast(0 as bigint) light, 'owns' word, null::varchar event from nest
+  union all select cast(parent as varchar), 'uses', cast(node as varchar), 0, 0, 'owns', null from nest
+  union all select held, 'used by', holder, 1, 0, case when via <> '' then via else {{word}} end, event from dh union all select holder, 'uses', held, 1, 0, case when via <> '' then via else {{word}} end, event from dh
+  union all select cast(node as varchar), side, cast(other as varchar), 2, 0, case when via <> '' then via else {{word}} end, null from oe
+  union all select cast(node as varchar), 'used by', cast(namer as varchar), case when from_method then 4 else 3 end, 0, case when from_method then 'API' else 'signature' end, event from na
+  union all select cast(definition as varchar), 'used by', cast(holder as varchar), 5, -n, n || case when n = 1 then ' ref' else ' refs' end, null from k where x
+  union all select cast(holder as varchar), 'uses', cast(definition as varchar), 5, -n, n || case when n = 1 then ' ref' else ' refs' end, null from k where y),
+ ws as (select node, side, other, word, min((section, light, word)) m from rw where node <> other group by all),
+ ev as (select node, side, other, arg_min(event, (section, light, word, event)) event from rw where event is not null group by all),
+ en as (select node, side, other, string_agg(word, ' · ' order by m) words, min(m) m from ws group by node, side, other)
+select en.node, en.side, cast(row_number() over (partition by en.node, en.side order by m[1], m[2], en.other) as integer) place, en.other, words, event from en left join ev using (node, side, other)""".format(word="kind"),
+    "fx_edge", "fx_item",
+)
+def q_data_sheets(s: SparkSession, d: str) -> DataFrame:
+    items = _items(s, d)
+    stands, kinds, holds, nest = q_paper(s, d), _kinds(s, d), _holds(s, d), _nest(s, d)
+    lines = paper.drawn_holds(holds, kinds, paper.anchors(stands, items), nest, _ids(items, "id % 6 = 0"))
+    split = ownership.ties(_edges(s, d), _roots(s, d), _ids(items, f"kind in {_DATA}"))
+    return paper.data_sheets(nest, lines, paper.off_ends(holds, kinds, stands), paper.naming(holds, kinds, stands), split)
+
+
 @query(
     """with t as (select id node, case when id > 1 then id // 3 end parent from fx_item), up(node, above) as (select node, node from t union all select up.node, t.parent from up join t on t.node = up.above where t.parent is not null)
 select t.node, count(*) contained from up join t on t.node = up.above group by t.node""",

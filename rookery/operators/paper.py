@@ -7,12 +7,15 @@ fields, ``ord`` is the edge's place in the survey.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rookery.functions import predicates as P
 from rookery.functions import text as T
+from rookery.functions import words as W
 from rookery.operators.graph import descendants, distances
 
 #: Fixed value: type kinds, in the order of the census.
@@ -127,6 +130,44 @@ def undrawn_ends(ties: DataFrame, names: DataFrame) -> DataFrame:
     return ends.withColumn("place", F.row_number().over(order)).select("node", "side", "other", "n", "place")
 
 
+def data_sheets(nest: DataFrame, lines: DataFrame, off: DataFrame, named: DataFrame, ties: DataFrame) -> DataFrame:
+    """(node, side, place, other, words, event): all that uses each type (``used by``) and that it uses (``uses``), a row for each end.
+
+    An end's words stand in the order of the claims' strength, and ends in that of their strongest
+    one: the block that a type is nested in, or that is nested in it (``owns``); holding lines, in
+    the word of the hold; ends that the reading leaves off, in theirs; signatures, then APIs that
+    name it; then code, by references, heaviest first.  ``nest`` is (node, parent), ``lines`` what
+    ``drawn_holds`` gives, ``off`` what ``off_ends``, ``named`` what ``naming`` gives, and ``ties`` the
+    split of references (definition, holder, n, seen).  Ends are ids or modules as text.
+    """
+    text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
+
+    def row(df: DataFrame, node: str, side: str, other: str, section: int, word: Column, event: Column = none, weight: Column | None = None) -> DataFrame:
+        return df.select(
+            text(node).alias("node"), F.lit(side).alias("side"), text(other).alias("other"), F.lit(section).alias("section"),
+            (F.lit(0).cast("long") if weight is None else -weight).alias("light"), word.alias("word"), event.alias("event"),
+        )
+
+    owns, hold, refs = F.lit("owns"), W.hold_word(F.col("kind"), F.col("via")), T.plural(F.col("n"), "ref")
+    inside = nest.where("parent is not null")
+    rows = [
+        row(inside, "node", "used by", "parent", 0, owns), row(inside, "parent", "uses", "node", 0, owns),
+        row(lines, "held", "used by", "holder", 1, hold, F.col("event")), row(lines, "holder", "uses", "held", 1, hold, F.col("event")),
+        row(off.where("side = 'holders'"), "node", "used by", "other", 2, hold), row(off.where("side = 'held'"), "node", "uses", "other", 2, hold),
+        row(named.where("not from_method"), "node", "used by", "namer", 3, F.lit("signature"), F.col("event")),
+        row(named.where("from_method"), "node", "used by", "namer", 4, F.lit("API"), F.col("event")),
+        row(ties.where("seen in ('both', 'unseen_in')"), "definition", "used by", "holder", 5, refs, weight=F.col("n")),
+        row(ties.where("seen in ('both', 'unseen_out')"), "holder", "uses", "definition", 5, refs, weight=F.col("n")),
+    ]
+    every = reduce(DataFrame.unionByName, rows).where("node <> other")
+    said = F.array_sort(F.collect_list(F.struct("section", "light", "word", "event")))
+    ends = every.groupBy("node", "side", "other").agg(said.alias("said"))
+    order = Window.partitionBy("node", "side").orderBy(F.col("said")[0]["section"], F.col("said")[0]["light"], "other")
+    words = F.array_join(F.array_distinct(F.transform("said", lambda x: x["word"])), " · ")
+    event = F.get(F.array_compact(F.transform("said", lambda x: x["event"])), 0)
+    return ends.select("node", "side", F.row_number().over(order).alias("place"), "other", words.alias("words"), event.alias("event"))
+
+
 def contained(nest: DataFrame) -> DataFrame:
     """(node, contained): how many blocks stand in each block of a nesting (node, parent), itself included."""
     nodes = nest.select("node", "parent")
