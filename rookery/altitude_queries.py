@@ -347,6 +347,23 @@ def q_function_neighbours(s: SparkSession, d: str) -> DataFrame:
     return fn.sheet(q_all_calls(s, d), _ids(_items(s, d), "vis = 'pub'"), 20)
 
 
+@query(
+    f"""with {_ALL}, x as (select 'called by' list, src other, w, answers from ev where dst = 20 and src <> 20 union all select 'calls', dst, w, answers from ev where src = 20 and dst <> 20),
+ r as (select list, other, answers, cast(sum(w) as bigint) n from x group by all), pb as (select id from fx_item where vis = 'pub'),
+ a as (select list, cast(row_number() over (partition by list order by n desc, other, answers) as integer) place, other, n, case when answers then 'answers' else n || case when n = 1 then ' call' else ' calls' end end || case when other in (select id from pb) then '' else ' off' end word from r),
+ e as (select distinct dst src, src dst from ev where src <> dst), up(node, hops) as (select 20, 0 union select e.dst, up.hops + 1 from up join e on e.src = up.node where up.hops < 48),
+ d as (select node, min(hops) hops from up group by node), t as (select distinct dst as type from fx_edge where src = 20 and kind = 'dev'),
+ h as (select type, 'signature' how, cast(1 as bigint) n from t union all select dst, 'body', cast(sum(w) as bigint) from fx_edge where src = 20 and kind <> 'dev' and dst not in (select type from t) group by dst)
+select * from a union all select 'upstream', cast(row_number() over (order by hops, node) as integer), node, hops, hops || case when hops = 1 then ' hop' else ' hops' end || case when node in (select id from pb) then '' else ' off' end from d where hops > 1
+union all select 'touches', cast(row_number() over (order by how desc, n desc, type) as integer), type, n, how from h""",
+    "fx_edge", "fx_item",
+)
+def q_function_whole_sheet(s: SparkSession, d: str) -> DataFrame:
+    from rookery.queries import q_touches
+
+    return fn.whole_sheet(q_all_calls(s, d), _ids(_items(s, d), "vis = 'pub'"), q_touches(s, d), 20)
+
+
 @query(
     "select parent as owner, id mark, cast(row_number() over (partition by parent order by module, size, id) as integer) place from fx_item where parent is not null",
     "fx_item",
@@ -586,11 +603,15 @@ def q_words_of(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    """select l_orderkey, l_linenumber, l_comment_len, case when l_shipmode_rank = 0 then true else l_linenumber % 2 = 0 end kept from (select l_orderkey, l_linenumber, l_linenumber % 4 l_shipmode_rank, cast(l_linenumber as bigint) l_comment_len from lineitem)"""
-)
+_ATTRIBUTES = """t as (select p_partkey id, case p_partkey % 7 when 0 then '#[ cfg( test ) ] mod ' || p_name when 1 then '#[tokio::test] fn ' || p_type when 2 then '#[derive(Test)] struct ' || p_name when 3 then '#[ test ]' || chr(10) || 'fn t'
+ when 4 then '#[cfg(all(' || chr(10) || '  test, feature = "' || p_brand || '"))]' when 5 then '#[doc = "' || p_name || ' test]"]' else p_name || ' #[tested]' end as text from part)"""
+
+
+@query(rf"""with {_ATTRIBUTES} select id, text, regexp_matches(regexp_replace(text, '\s+', '', 'g'), '#\[(test\]|[^\]]*::test\]|cfg\(test|cfg\(all\(test)') only_tests from t""")
 def q_test_only(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("l_linenumber") % 4
-    text = F.when(k == 0, "#[cfg(test)] mod a").when(F.col("l_linenumber") % 2 == 0, "#[tokio::test] fn").otherwise("#[derive(Test)]")
-    rows = _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("long").alias("l_comment_len"), P.test_only(text).alias("kept"))
-    return rows
+    k, name = F.col("p_partkey") % 7, F.col("p_name")
+    text = (
+        F.when(k == 0, F.concat(F.lit("#[ cfg( test ) ] mod "), name)).when(k == 1, F.concat(F.lit("#[tokio::test] fn "), "p_type")).when(k == 2, F.concat(F.lit("#[derive(Test)] struct "), name))
+        .when(k == 3, F.lit("#[ test ]\nfn t")).when(k == 4, F.concat(F.lit('#[cfg(all(\n  test, feature = "'), "p_brand", F.lit('"))]'))).when(k == 5, F.concat(F.lit('#[doc = "'), name, F.lit(' test]"]'))).otherwise(F.concat(name, F.lit(" #[tested]")))
+    )
+    return _table(s, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), P.test_only(text).alias("only_tests"))

@@ -22,7 +22,8 @@ def ranked(rows: DataFrame, group: list[str], order: list[str], name: str = "ran
     its group's rows in the partitions before.  Equal rows are split like others.
     The result is a staged table: a task that reads it meets ranks in ascending
     stretches.  ``within`` (a function on Arrow batches and what it returns) sees
-    each partition in order before it is written.  Groups must not be null.
+    each partition in order before it is written.  Groups must not be null, and
+    no column may be called ``rank``, ``n`` or end with an underscore.
     """
     kept = rows.columns
     by = [*group, *order, "tie_"]
