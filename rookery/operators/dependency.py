@@ -71,6 +71,21 @@ def ghosts(events: DataFrame, nodes: DataFrame) -> DataFrame:
     return gone.join(nodes.select("name").distinct(), "name", "left_anti")
 
 
+def linked_events(links: DataFrame, events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, kind, event): links with their events, and a link for each removed requirement; ends are ids or ghosts' names, as text.
+
+    ``links`` is (src, dst, kind), ``events`` (src, kind, name, event) by the name that a manifest writes, ``nodes``
+    (id, name) what is resolved now.  An added or bumped requirement marks the first link, by id of its end, of that kind to a
+    node of that name.  A removed one leads to the first node that still bears the name, else to a ghost.
+    """
+    named = links.join(nodes.select(F.col("id").alias("dst"), "name"), "dst", "left")
+    marked = events_on_links(events.where("event <> 'removed'"), named.where("name is not null")).where("dst is not null").select("src", "kind", "dst", "event")
+    live = links.join(marked, ["src", "kind", "dst"], "left").select("src", F.col("dst").cast("string").alias("dst"), "kind", "event")
+    bearer = nodes.groupBy("name").agg(F.min("id").cast("string").alias("id"))
+    gone = events.where("event = 'removed'").join(bearer, "name", "left").select("src", F.coalesce("id", "name").alias("dst"), "kind", "event")
+    return live.unionByName(gone)
+
+
 def merge_edges(links: DataFrame) -> DataFrame:
     """One edge a pair: the kind of the smallest drawing rank, and the weight of all."""
     ranked = links.withColumn("rank", rank_of(F.col("kind"), KIND_RANK))

@@ -119,6 +119,24 @@ def q_event_on_link(s: SparkSession, d: str) -> DataFrame:
     return dependency.events_on_links(events, _edges(s, d).join(names, "dst")).select("src", "kind", "name", "event", "dst")
 
 
+@query(
+    f"""with {_EVENTS}, nm as (select p_partkey id, p_name || '/' || p_partkey % 7 as name from part), nl as (select * from nm where id % 10 <> 3),
+ e as (select src, kind, name, min(event) event from ev join nm on nm.id = ev.dst group by all), lk as (select src, dst, kind from fx_edge where dst in (select id from nl)),
+ fi as (select lk.src, lk.kind, name, min(dst) dst from lk join nl on id = dst group by all), an as (select e.src, e.kind, fi.dst, e.event from e join fi using (src, kind, name) where event <> 'removed'),
+ fn as (select name, min(id) id from nl group by name)
+select lk.src, cast(lk.dst as varchar) dst, lk.kind, an.event from lk left join an using (src, kind, dst)
+union all select e.src, coalesce(cast(fn.id as varchar), e.name), e.kind, e.event from e left join fn using (name) where event = 'removed'""",
+    "hop", "fx_edge",
+)
+def q_linked_events(s: SparkSession, d: str) -> DataFrame:
+    name = F.concat("p_name", F.lit("/"), (F.col("p_partkey") % 7).cast("string"))
+    names = _table(s, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+    live = names.where("id % 10 <> 3")
+    events = dependency.manifest_events(*_editions(s, d), ["src", "dst", "kind"]).join(names.withColumnRenamed("id", "dst"), "dst").groupBy("src", "kind", "name").agg(F.min("event").alias("event"))
+    links = _edges(s, d).select("src", "dst", "kind").join(live.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return dependency.linked_events(links, events, live)
+
+
 @query(
     f"""with {_EVENTS}, g as (select distinct p_name || ' ' || dst || '.' || src % 20 as name from ev join part on p_partkey = ev.dst where event = 'removed')
 select name from g where name not in (select p_name || ' ' || dst || '.' || src % 20 from part join l on l.dst = p_partkey)""",
