@@ -31,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rookery.llm.common import discard, join_heavy, slices, small, staged, utf8
 from rookery.llm.components import components
@@ -41,6 +40,8 @@ from rookery.llm.shingles import BUNDLES, ROWS, Words64, bundles, common, minhas
 SIMILAR = 85
 #: Classes, and shingles of their sets, in a block or compared with a bucket's smallest class in one task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Shingles of large buckets' members that count as frequent.
+FREQUENT = 50_000
 #: In place of a table's number, for buckets of classes that share a rare shingle.
 RARE = -1
 #: Pairs just similar enough that the estimate from minhashes may reject.
@@ -210,32 +211,55 @@ def _with_heads(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shingle) of full sets."""
-    for batch in slices(batches):
-        for node, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    """The shingles of full sets."""
+    for batch in slices(batches, 0):
+        for packed in batch.column(0).to_pylist():
             own = np.frombuffer(packed, np.int64)
             for at in range(0, len(own), 1 << 16):
-                part = own[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], names=["node", "shingle"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[at : at + (1 << 16)])], names=["shingle"])
+
+
+def rarest(own: np.ndarray, frequent: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of a sorted set, shingles that aren't ``frequent`` (sorted) first, then those by their ``place``."""
+    at = np.searchsorted(frequent, own)
+    at[at == len(frequent)] = 0
+    rank = np.where(frequent[at] == own, place[at], -1) if len(frequent) else np.full(len(own), -1)
+    return own[np.argsort(rank, kind="stable")[:most]]
+
+
+def _prefixes(held, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, place = held.value
+        for batch in slices(batches):
+            nodes, firsts = batch.column(0).to_pylist(), []
+            for packed in batch.column(1).to_pylist():
+                own = np.frombuffer(packed, np.uint64).view(np.int64)
+                own = np.sort(own)
+                firsts.append(rarest(own, frequent, place, len(own) - -(-len(own) * percent // 100) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, firsts)))), pa.array(np.concatenate(firsts))], names=["node", "table_key"])
+
+    return run
 
 
 def _rare(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Buckets (table_key, t, node, n, label) of ``members`` (node, n, label) that share a rare shingle.
 
-    Of a set's shingles in the order of how few members have them, two sets that are linked share one among the
-    first n - ceil(n * percent / 100) + 1 of either (prefix filter).  Shingles that no other
-    member has come first and lead nowhere.  So no link is lost, and classes that only share what many share don't meet.
+    In whatever order all shingles stand, two sets that are linked share one among the first
+    n - ceil(n * percent / 100) + 1 of either (prefix filter).  Here the ``FREQUENT`` most frequent ones stand
+    last, so classes that only share what many share don't meet, and no link is lost.  Only those go over
+    the driver, a fixed number of them.
     """
-    rows = staged(members.join(full.select("node", "shingles"), "node").select("node", "shingles").mapInArrow(_shingle_rows, "node long, shingle long"), "rows")
-    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    met = join_heavy(rows, often, "shingle", "often", rows.count())
-    least = F.floor((F.col("n") * percent + 99) / 100)
-    first = met.join(members.select("node", "n"), "node")
-    at = Window.partitionBy("node")
-    first = first.withColumns({"place": F.row_number().over(at.orderBy("often", "shingle")), "alone": F.col("n") - F.count("*").over(at)})
-    first = first.where(F.col("place") + F.col("alone") <= F.col("n") - least + 1).select(F.col("shingle").alias("table_key"), "node")
-    out = staged(first.join(members, "node").select("table_key", F.lit(RARE).alias("t"), "node", "n", "label"), "rare")
-    discard(rows, often)
+    sets = staged(members.select("node").join(full.select("node", "shingles"), "node"), "rare-sets")
+    often = sets.select("shingles").mapInArrow(_shingle_rows, "shingle long").groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    top = often.orderBy(F.desc("often"), "shingle").limit(FREQUENT).collect()
+    order = np.array(sorted(r["shingle"] for r in top), np.int64)
+    place = {r["shingle"]: len(top) - k for k, r in enumerate(top)}
+    held = members.sparkSession.sparkContext.broadcast((order, np.array([place[x] for x in order.tolist()], np.int64)))
+    first = staged(sets.select("node", "shingles").mapInArrow(_prefixes(held, percent), "node long, table_key long"), "prefixes")
+    met = first.groupBy("table_key").agg(F.count("*").alias("size")).where("size > 1")
+    met = join_heavy(first, met, "table_key", "size", first.count()).select("node", "table_key")
+    out = staged(met.join(members, "node").select("table_key", F.lit(RARE).alias("t"), "node", "n", "label"), "rare")
+    discard(sets, first)
     return out
 
 
