@@ -33,8 +33,8 @@ from rookery.llm.common import SLICE_BYTES, discard, remember, slices, staged
 SPACE = "▁"
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 16_384
-#: Words of a generation, and pairs of pieces, that a task remembers.
-REMEMBERED, PAIRS = 200_000, 300_000
+#: Words of a generation that a worker remembers; of pairs of pieces it remembers half as many again, of words' first signs half as many.
+REMEMBERED = 500_000
 #: Chunks whose matrices one task multiplies before the products are put in order.
 TOGETHER = 64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -51,9 +51,11 @@ START: State = (0, "")
 class Vocabulary:
     """Pieces, scores and bytes of a model file."""
 
-    def __init__(self, model_file: str = MODEL) -> None:
+    def __init__(self, model_file: str = MODEL, remembered: int = REMEMBERED) -> None:
         import sentencepiece
 
+        self.remembered = remembered
+
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = model.vocab_size()
         pieces = [model.id_to_piece(i) for i in range(size)]
@@ -77,7 +79,8 @@ class Vocabulary:
         self.by_id: pa.Array | None = None
         self.fitting: dict[tuple[str, str], bool] = {}
         self.fitting_ids: dict[int, bool] = {}
-        self.words = _Words(self)
+        #: Ids of words as they stand, and of words without the mark before them.
+        self.words, self.plain = _Words(self), _Words(self, SPACE)
 
     def merged(self, text: str) -> list[str]:
         """A short text's pieces by merging: the best-scored neighbours first, the leftmost of equals."""
@@ -96,7 +99,7 @@ class Vocabulary:
         """Whether merging the two pieces' text alone gives the two pieces."""
         known = self.fitting.get((left, right))
         if known is None:
-            if len(self.fitting) > PAIRS:
+            if len(self.fitting) > self.remembered * 3 // 2:
                 self.fitting.clear()
             known = self.fitting[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return known
@@ -149,7 +152,7 @@ class Vocabulary:
                         continue
                 known = fitting.get(before << 22 | i)
                 if known is None:
-                    if len(fitting) > PAIRS:
+                    if len(fitting) > self.remembered * 3 // 2:
                         fitting.clear()
                     left, piece = text[at - lengths[-1] : at] if lengths else "", text[at : at + k]
                     known = fitting[before << 22 | i] = self.merged(left + piece) == ([left, piece] if left else [piece])
@@ -169,7 +172,7 @@ class Vocabulary:
 
     def starting(self, head: str) -> list[tuple[int, int]]:
         """How long pieces that start with ``head`` may be, with ids (0: to be looked up), the longest first; always one sign."""
-        if len(self.heads) > PAIRS // 3:
+        if len(self.heads) > self.remembered // 2:
             self.heads.clear()
         longer = [(k, 0) for k in self.sizes.get(head, ())]
         whole = [(k, self.number[head[:k]]) for k in range(len(head), 0, -1) if head[:k] in self.number]
@@ -207,9 +210,19 @@ class Vocabulary:
         """Ids of a marked text, as int32."""
         if not self.cuts:
             return self.words[text]
+        if text[:1] == SPACE and SPACE + SPACE not in text:
+            self.plain.room()
+            return b"".join(map(self.plain.__getitem__, text[1:].split(SPACE)))
         self.words.room()
         return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
 
+    def packed_text(self, text: str) -> bytes:
+        """Ids of a whole text, as int32."""
+        if not self.cuts or SPACE in text or "  " in text or text[:1] == " ":
+            return self.packed(marked(text))
+        self.plain.room()
+        return b"".join(map(self.plain.__getitem__, text.split(" "))) if text else b""
+
     def give_back(self, parts: list[bytes], texts: list[str]) -> list[bool]:
         """Whether ids decode to their texts: all are decoded, and compared byte by byte."""
         return [got == text.encode("utf-8", "surrogatepass") for got, text in zip(self.decoded(parts), texts, strict=True)]
@@ -233,13 +246,13 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 class _Words(dict):
     """Ids of words, of two generations: a full one becomes the old one, from which words in use come back."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, lead: str = "") -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.lead = vocabulary, lead
         self.old: dict[str, bytes] = {}
 
     def room(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > self.vocabulary.remembered:
             self.old = dict(self)
             self.clear()
 
@@ -247,7 +260,7 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is None:
             v = self.vocabulary
-            ids = v.packed_path(word)
+            ids = v.packed_path(self.lead + word)
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -352,15 +365,17 @@ def states_at_cuts(matrices: list[Matrix], left: State = START, right: State | N
     return out
 
 
-_models: dict[str, Vocabulary] = {}
+_models: dict[tuple[str, int], Vocabulary] = {}
 
 
-def vocabulary(model_file: str) -> Vocabulary:
+def vocabulary(model_file: str, remembered: int = REMEMBERED) -> Vocabulary:
     """The model, read once in a process."""
-    if model_file not in _models:
-        _models[model_file] = Vocabulary(model_file)
+    key = model_file, remembered
+    if key not in _models:
+        _models.clear()
+        _models[key] = Vocabulary(model_file, remembered)
     remember("pieces", _models.clear)
-    return _models[model_file]
+    return _models[key]
 
 
 def longest_piece(model_file: str) -> int:
@@ -377,12 +392,12 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
 
 
-def _encode_whole(model_file: str):
+def _encode_whole(model_file: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
+        v = vocabulary(model_file, remembered)
         for batch in slices(batches, owner="pieces"):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [v.packed(marked(t)) for t in texts]
+            ids = list(map(v.packed_text, texts))
             same = v.give_back(ids, [f" {t}" if t else "" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ids), pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
 
@@ -432,9 +447,9 @@ def _matrix(entries: list[dict]) -> Matrix:
     return m
 
 
-def _matrices(model_file: str):
+def _matrices(model_file: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
+        v = vocabulary(model_file, remembered)
         for batch in slices(batches, "raw", owner="pieces"):
             entries = [[(*s, *r) for s, r in c.matrix()] for _, c in _chunks_of(batch, v)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), batch.column("chunks"), _entries(entries)], names=["row", "k", "chunks", "entries"])
@@ -529,9 +544,9 @@ def states(matrices: DataFrame, together: int = TOGETHER) -> DataFrame:
     return few.unionByName(inner)
 
 
-def _backtrace(model_file: str):
+def _backtrace(model_file: str, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model_file)
+        v = vocabulary(model_file, remembered)
         for batch in slices(batches, "raw", owner="pieces"):
             ends = list(zip(*(batch.column(n).to_pylist() for n in ("le", "lp", "re", "rp")), strict=True))
             raws = batch.column("raw").to_pylist()
@@ -546,7 +561,7 @@ def _backtrace(model_file: str):
     return run
 
 
-def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model_file: str = MODEL, chunk: int = CHUNK, remembered: int = REMEMBERED) -> DataFrame:
     """Ids of every row's whole text: id, n_tokens, ids, round_trip (whether decoding gives the text back).
 
     Null and empty texts have no ids.  Decoding writes the mark U+2581 as a space,
@@ -555,7 +570,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     Documents of up to ``chunk`` characters are encoded where they are read.
     Longer ones, of any length that a cell holds, are cut; their chunks, not the
-    documents, are dealt over tasks.
+    documents, are dealt over tasks.  A worker remembers the ids of twice ``remembered``
+    words, in some 350 bytes each with what else it remembers; fewer cost time, not results.
     """
     reach = longest_piece(model_file)
     chunk = max(chunk, 4 * reach)
@@ -563,16 +579,16 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = rows.where(~long).mapInArrow(_encode_whole(model_file), f"id {kind}, ids array<int>, round_trip boolean")
+    short = rows.where(~long).mapInArrow(_encode_whole(model_file, remembered), f"id {kind}, ids array<int>, round_trip boolean")
 
     giant = rows.where(long).select(F.monotonically_increasing_id().alias("row"), "id", F.concat(F.lit(" "), "text").alias("raw"))
     cut = giant.mapInArrow(_cut(chunk, reach), f"row long, id {kind}, total long, k int, begin long, end long, origin long, raw string")
     cut = staged(cut, "chunks")  # fixes the row numbers
-    matrices = staged(cut.withColumn("chunks", F.ceil(F.col("total") / chunk)).mapInArrow(_matrices(model_file), f"row long, k int, chunks long, entries {ENTRIES}"), "matrices")
+    matrices = staged(cut.withColumn("chunks", F.ceil(F.col("total") / chunk)).mapInArrow(_matrices(model_file, remembered), f"row long, k int, chunks long, entries {ENTRIES}"), "matrices")
     ends = staged(states(matrices), "states")
     discard(matrices)
     # dealt anew at every size, because a chunk is a lot of work
-    traced = cut.join(ends.hint("merge"), ["row", "k"]).mapInArrow(_backtrace(model_file), "row long, k int, ids array<int>, same boolean")
+    traced = cut.join(ends.hint("merge"), ["row", "k"]).mapInArrow(_backtrace(model_file, remembered), "row long, k int, ids array<int>, same boolean")
     whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda c: c["ids"])).alias("ids"), F.bool_and("same").alias("round_trip"))
     long_ones = cut.where("k = 0").select("row", "id").join(whole, "row").select("id", "ids", "round_trip")
     both = short.unionByName(long_ones)
