@@ -9,6 +9,8 @@ from rookery.llm.common import discard, staged, table
 
 #: Hundredths of their shingles that near copies share; the operator's own query is fixed at 85.
 NEAR = 80
+#: Words that a worker remembers when it encodes: other stages' workers may still be there.
+REMEMBERED = 60_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become ids, of which null and empty texts have none."""
-    return pieces.encode(docs)
+    return pieces.encode(docs, remembered=REMEMBERED)
 
 
 STAGES = [
