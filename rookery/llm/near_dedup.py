@@ -40,6 +40,8 @@ from rookery.llm.shingles import BUNDLES, ROWS, Words64, bundles, common, minhas
 SIMILAR = 85
 #: Classes, and shingles of their sets, in a block or compared with a bucket's smallest class in one task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Blocks of classes apart that meet all others of their bucket.
+FEW = 4
 #: Shingles of large buckets' members that count as frequent.
 FREQUENT = 50_000
 #: In place of a table's number, for buckets of classes that share a rare shingle.
@@ -279,20 +281,20 @@ def _open(own: DataFrame, members: int) -> DataFrame:
 def _with_others(buckets: DataFrame, members: int, labels: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """2: links between components, of classes that are apart from the bucket's smallest one, with any other.
 
-    A bucket that fits a block is compared as it is.  The members of larger ones are dealt anew, by rare
-    shingles, and meet in those buckets only.  Should one of those be larger than a block too, its
-    classes apart (``a`` blocks) meet one another and those of the smallest one's component (``b``
-    blocks); these, being of one component, don't meet one another.
+    A bucket that fits a block is compared as it is.  In a larger one the classes apart (``a`` blocks) meet
+    one another and those of the smallest one's component (``b`` blocks); these, being of one
+    component, don't meet one another.  That writes at most ``FEW`` + 1 rows a member; where
+    more blocks are apart, the members are dealt anew, by rare shingles, and meet in those buckets only.
     """
     label = F.coalesce("label", "node")
     own = buckets.join(small(labels, labels.count()), "node", "left").select("table_key", "t", "node", "n", label.alias("label"))
     first = own = _open(own, members)
-    large = staged(own.where("all > 1").select("node", "n", "label").distinct(), "large")
+    large = staged(own.where(F.col("a") > FEW).select("node", "n", "label").distinct(), "large")
     rare = None
     if not large.isEmpty():
         found = _rare(large, full, percent)
         rare = _open(found, found.count())
-        own = own.where("all = 1").unionByName(rare)
+        own = own.where(F.col("a") <= FEW).unionByName(rare)
         discard(found)
     dealt = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     block = F.when(F.col("all") == 1, F.lit(0)).when(F.col("apart"), dealt("a")).otherwise(F.col("a") + dealt("b"))
