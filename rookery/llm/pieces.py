@@ -570,8 +570,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     Documents of up to ``chunk`` characters are encoded where they are read.
     Longer ones, of any length that a cell holds, are cut; their chunks, not the
-    documents, are dealt over tasks.  A worker remembers the ids of twice ``remembered``
-    words, in some 350 bytes each with what else it remembers; fewer cost time, not results.
+    documents, are dealt over tasks.  A worker remembers the ids of up to twice
+    ``remembered`` words; fewer cost time, not results.
     """
     reach = longest_piece(model_file)
     chunk = max(chunk, 4 * reach)
