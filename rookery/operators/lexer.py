@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -35,16 +36,24 @@ COMMON = 3
 CODE = "0:code:0"
 
 _CODE = re.compile(r"(?P<line>//[^\n]*)|(?P<comment>/\*)|(?P<attr>#!?\[)|(?P<raw>(?:br|cr|r)(?P<hashes>#*)\")|(?P<string>[bc]?\")|(?P<char>b?'(?:\\[^\n][^'\n]*|[^'\\\n])')|(?P<lifetime>'[^\W\d]\w*)|(?P<num>\d\w*(?:\.\d\w*)?)|(?P<word>\w+)|(?P<space>\s+)|(?P<other>.)", re.S)
+#: Runs of tokens in code that leave the state as it is; what may not stops it, and is left to ``_CODE``.
+_INERT = re.compile(r"(?:[^\Wbcr]\w*+|\s++|(?!(?:br|cr|r)#*\"|[bc]\"|b')[bcr]\w*+|//[^\n]*+|/(?![/*])|#(?!!?\[)|[^\w\s/#\"'\[\]])++")
+#: Characters of a batch of blocks.
+HELD = 1 << 20
+#: Tokens of a batch of runs.
+RUNS = 16_384
 #: Tokens that tell what a word beside them is.
 TELLING = ("fn", "!")
+#: Columns of runs before words are named.
+RAW = ["file", "block", "run", "line", "text", "class", "sign", "before", "after"]
 #: What stands between tokens that matter to one another.
 TRIVIA = ("space", "comment", "doc")
 _COMMENT = re.compile(r"/\*|\*/")
 _STRING = re.compile(r"\\.|\"", re.S)
 
 
-def lex(text: str, state: str) -> tuple[list[tuple[str, str]], str]:
-    """The tokens (class, text) of a block that begins in ``state``, and the state after it.
+def lex(text: str, state: str, tokens: bool = True) -> tuple[list[tuple[str, str]], str]:
+    """The tokens (class, text) of a block that begins in ``state``, and the state after it; without ``tokens`` only the state counts.
 
     A state is ``attr:mode:n``: brackets of an attribute that are open, what the text
     is in (code, comment, string, raw), and its depth (below 0 for a doc comment) or
@@ -64,6 +73,9 @@ def lex(text: str, state: str) -> tuple[list[tuple[str, str]], str]:
     begun = 0  # where the token in ``mode`` began, before ``at``
     while at < len(text):
         if mode == "code":
+            if not tokens and (inert := _INERT.match(text, at)):
+                at = inert.end()
+                continue
             m = _CODE.match(text, at)
             kind = m.lastgroup if m.lastgroup != "hashes" else "raw"
             begun = m.end()
@@ -112,22 +124,34 @@ def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
     """
     kind = files.schema["file"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field("file").type, pa.int64(), pa.int64(), pa.string()]
+            rows, held = [], 0
+
+            def made() -> pa.RecordBatch:
+                columns = zip(*rows, strict=True) if rows else [()] * 4  # noqa: B023
+                return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "block", "line", "text"])  # noqa: B023
+
+            for file, text in zip(batch.column("file"), batch.column("text"), strict=True):
+                file, text = file.as_py(), text.as_py()
                 at = line = k = 0
                 while at < len(text):
                     end = text.find("\n", at + size - 1)
                     end = len(text) if end < 0 else end + 1
-                    yield pd.DataFrame([(file, k, line, text[at:end])], columns=["file", "block", "line", "text"])
-                    line, at, k = line + text.count("\n", at, end), end, k + 1
+                    rows.append((file, k, line, text[at:end]))
+                    line, held, at, k = line + text.count("\n", at, end), held + end - at, end, k + 1
+                    if held >= HELD:
+                        yield made()
+                        rows, held = [], 0
+            yield made()
 
-    return files.select("file", "text").where("text is not null and file is not null").mapInPandas(run, f"file {kind}, block long, line long, text string")
+    return files.select("file", "text").where("text is not null and file is not null").mapInArrow(run, f"file {kind}, block long, line long, text string")
 
 
 def transfers(text: str, states: list[str]) -> dict[str, str]:
     """The block's table: from each state to that after it."""
-    return {s: lex(text, s)[1] for s in states}
+    return {s: lex(text, s, tokens=False)[1] for s in states}
 
 
 def common_states() -> list[str]:
@@ -201,39 +225,56 @@ def file_runs(files: DataFrame, size: int = BLOCK) -> DataFrame:
     cut = staged(blocks(files, size).repartition(tasks, "file", "block"), "blocks")
     states = entry_states(cut)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for f, b, line, text, state in zip(*(pdf[c] for c in ("file", "block", "line", "text", "state")), strict=True):
-                rows, n, solid, open_ = [], 0, None, None
-                tokens = lex(text, state)[0]
-                for cls, t in tokens:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field("file").type, *[pa.int64()] * 3, *[pa.string()] * 5]
+            out: list[list] = [[] for _ in RAW]
+
+            def made() -> pa.RecordBatch:
+                return pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=RAW)  # noqa: B023
+
+            for f, b, line, text, state in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line", "text", "state")), strict=True):
+                begun, n, solid, open_ = len(out[0]), 0, None, None
+                _, _, runs, lines, texts, classes, signs, befores, afters = out
+                for cls, t in lex(text, state)[0]:
                     trivia, sign = cls in TRIVIA, t if t in TELLING else ""
                     if not trivia and open_ is not None:  # the word before learns what follows it
-                        rows[open_][8], open_ = sign, None
-                    first = len(rows)
+                        afters[open_], open_ = sign, None
+                    if cls == "word":
+                        open_ = len(texts)
                     for j, part in enumerate(t.split("\n")):
-                        part = part.rstrip("\r")
-                        if part:
-                            rows.append([f, b, n, line + j, part, cls, sign, solid, None])
+                        if part := part.rstrip("\r"):
+                            runs.append(n)
+                            lines.append(line + j)
+                            texts.append(part)
+                            classes.append(cls)
+                            signs.append(sign)
+                            befores.append(solid)
+                            afters.append(None)
                             n += 1
                     line += t.count("\n")
-                    if cls == "word":
-                        open_ = first
                     if not trivia:
                         solid = sign
-                yield pd.DataFrame(rows, columns=["file", "block", "run", "line", "text", "class", "sign", "before", "after"])
-
-    raw = cut.join(states, ["file", "block"]).select("file", "block", "line", "text", "state").mapInPandas(run, f"file {kind}, block long, run long, line long, text string, class string, sign string, before string, after string")
+                out[0].extend([f] * (len(texts) - begun))
+                out[1].extend([b] * (len(texts) - begun))
+                if len(texts) >= RUNS:
+                    yield made()
+                    out = [[] for _ in RAW]
+            yield made()
+
+    raw = cut.join(states, ["file", "block"]).select("file", "block", "line", "text", "state").mapInArrow(run, f"file {kind}, block long, run long, line long, text string, class string, sign string, before string, after string")
     raw = staged(raw, "runs")
     # the tokens beside a block: the last solid one of those before, the first of those after
     solid = raw.where(~F.col("class").isin(*TRIVIA))
     ends = solid.groupBy("file", "block").agg(F.min_by("sign", "run").alias("first"), F.max_by("sign", "run").alias("last"))
     order = Window.partitionBy("file").orderBy("block")
     ends = ends.select("file", "block", F.lag("last").over(order).alias("last_before"), F.lead("first").over(order).alias("first_after"))
-    word = raw.where(F.col("class") == "word").join(ends, ["file", "block"], "left")
-    named = word.withColumn("class", _named(F.col("text"), F.coalesce("before", "last_before"), F.coalesce("after", "first_after")))
+    # only a block's first and last word may lack what is beside it
+    lacks = (F.col("class") == "word") & (F.col("before").isNull() | F.col("after").isNull())
+    rest = raw.where(~lacks).withColumn("class", F.when(F.col("class") == "word", _named(F.col("text"), F.col("before"), F.col("after"))).otherwise(F.col("class")))
+    named = raw.where(lacks).join(ends, ["file", "block"], "left").withColumn("class", _named(F.col("text"), F.coalesce("before", "last_before"), F.coalesce("after", "first_after")))
     columns = ["file", "line", "block", "run", "text", "class"]
-    return raw.where(F.col("class") != "word").select(*columns).unionByName(named.select(*columns))
+    return rest.select(*columns).unionByName(named.select(*columns))
 
 
 def without_comments(text: Column) -> Column:

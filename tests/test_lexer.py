@@ -75,3 +75,20 @@ def test_without_comments(spark):
     rows = [("V {\n  /// doc\n  a:   u8, // x\n  b: &'static str /* c /* d */ e */ }", "V { a: u8, b: &'static str }"), ('= "a  b"  + 1', '= "a  b" + 1'), ("", ""), (None, None), ("a/* open", "a")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r.got == r.want for r in df.select("want", lexer.without_comments(F.col("t")).alias("got")).collect())
+
+
+def test_states_are_found_without_tokens():
+    rng = random.Random(7)
+    bits = ["a", "br", "r#\"", "\"#", "\"", "'", "'a'", "b'", "#[", "#![", "[", "]", "//", "/*", "*/", "1.5", "é", "\\", "\n", " ", "fn", "!", "c\""]
+    for _ in range(3_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        for state in [*lexer.common_states(), "2:code:0", "1:string:0"]:
+            assert lexer.lex(text, state, tokens=False)[1] == lexer.lex(text, state)[1]
+
+
+def test_many_blocks_come_in_few_batches(spark):
+    files = spark.createDataFrame([(1, "x\n" * 5_000), (2, "fn f\n")], "file long, text string").coalesce(1)
+    cut = lexer.blocks(files, 2)
+    assert cut.count() == 5_001
+    sizes = cut.mapInArrow(lambda batches: (b.select(["block"]).slice(0, 1) for b in batches if b.num_rows), "block long")
+    assert sizes.count() < 10
