@@ -1,25 +1,49 @@
 """Fixpoints on graphs that live in tables: breadth-first distances, closures, trees.
 
-Each round joins the newest nodes with the edges, drops nodes that are known
-(a left anti join) and writes what is new to the shared folder, so rows are only
-read and shuffled in proportion to the frontier and the plan doesn't grow.  Rounds
-end when nothing is new; nothing is cut off.
+Edges lie in buckets by their source and found nodes in as many by node, so a round
+shuffles only the ends of the newest nodes' edges: all rounds together shuffle an edge
+once.  What is new is added to the table of found nodes in the shared folder, and
+the plan doesn't grow.  Rounds end when nothing is new; nothing is cut off.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rookery.plans.staging import discard, staged
+from rookery.plans.staging import bucketed, buckets_for, discard, loose, staged
 
-#: Rounds after which the rounds' tables are put together.
-FOLD = 12
+#: Rounds after which the files of a bucket, one for each round, are put together.
+FOLD = 48
 
 
 def _edges(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct()
+    return edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+
+
+def by_source(edges: DataFrame) -> DataFrame:
+    """Distinct edges in buckets by ``src``."""
+    rows = staged(_edges(edges), "edges")
+    n = buckets_for(rows)
+    out = bucketed(rows.repartition(n, "src").distinct(), "src", n, "edges")
+    discard(rows)
+    return out
+
+
+def in_buckets(nodes: DataFrame, n: int, name: str, key: str = "node") -> DataFrame:
+    return bucketed(nodes.repartition(n, key), key, n, name)
+
+
+def leads_to(frontier: DataFrame, e: DataFrame) -> DataFrame:
+    """Edges ``e`` from the nodes of ``frontier``, with its other columns; both have equal buckets, and only the frontier is held in memory."""
+    return e.join(frontier.withColumnRenamed("node", "src").hint("shuffle_hash"), "src")
+
+
+def unknown(met: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``met`` whose node is not in ``known``; ``known`` is streamed past them."""
+    had = known.select("node", F.lit(True).alias("had"))
+    return met.hint("shuffle_hash").join(had, "node", "left").where("had is null").drop("had")
 
 
 def distances(edges: DataFrame, seeds: DataFrame, start: int = 0) -> DataFrame:
@@ -28,30 +52,32 @@ def distances(edges: DataFrame, seeds: DataFrame, start: int = 0) -> DataFrame:
     Null nodes, self edges and repeated edges don't matter; cycles end by
     themselves.  Nodes that no seed reaches are not in the result.
     """
-    e = staged(_edges(edges), "edges")
-    first = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
-    return spread(e, staged(first.withColumn("hops", F.lit(start)), "hops"), start)
+    e = by_source(edges)
+    first = seeds.select(F.col(seeds.columns[0]).cast(e.schema["dst"].dataType).alias("node")).where("node is not null").distinct()
+    known = spread(e, in_buckets(first.withColumn("hops", F.lit(start)), e.buckets, "hops"), start)
+    discard(e)
+    return loose(known)
 
 
 def spread(e: DataFrame, known: DataFrame, start: int) -> DataFrame:
-    """Breadth first from the nodes of ``known`` that have ``start`` hops, to nodes not in ``known``."""
-    frontier, hops, rounds = known.where(F.col("hops") == start), start, 0
-    rest: list[DataFrame] = []  # rounds' tables that ``known`` is made of, beyond what came in
+    """Breadth first from the nodes of ``known`` that have ``start`` hops, to nodes not in ``known``, which they are added to."""
+    hops = start
     while True:
+        frontier = known.where(F.col("hops") == hops).select("node")
         hops += 1
-        new = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti")
-        new = staged(new.withColumn("hops", F.lit(hops)), "hops")
-        if new.isEmpty():
-            discard(new)
+        met = leads_to(frontier, e).select(F.col("dst").alias("node")).repartition(e.buckets, "node").distinct()
+        known = bucketed(unknown(met, known).withColumn("hops", F.lit(hops)), "node", e.buckets, "hops", onto=known)
+        if not known.added:
             return known
-        known = known.unionByName(new)
-        rounds += 1
-        rest.append(new)
-        if rounds % FOLD == 0:
-            known = staged(known, "hops")
-            discard(*rest[:-1])  # the last one is the frontier
-            rest = [new, known]
-        frontier = new
+        known = folded(known, hops - start, "hops")
+
+
+def folded(known: DataFrame, rounds: int, name: str) -> DataFrame:
+    if rounds % FOLD:
+        return known
+    before, known = known, bucketed(known, "node", known.buckets, name)
+    discard(before)
+    return known
 
 
 def tiers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,57 +101,56 @@ def rings(edges: DataFrame, nodes: DataFrame, members: DataFrame, root: DataFram
     Members that the root doesn't reach stand beside it, at 1; what they don't
     reach either stands outside all others.  A later seat never lowers a distance.
     """
-    e = staged(_edges(edges), "edges")
+    e = by_source(edges)
     node = staged(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), "nodes")
-    known = spread(e, staged(root.select(F.col(root.columns[0]).alias("node")).distinct().withColumn("hops", F.lit(0)), "hops"), 0)
+    known = spread(e, in_buckets(root.select(F.col(root.columns[0]).alias("node")).distinct().withColumn("hops", F.lit(0)), e.buckets, "hops"), 0)
     member = members.select(F.col(members.columns[0]).alias("node")).distinct()
     for seats, fixed in ((member, True), (node, False)):
         at = 1 if fixed else known.agg(F.coalesce(F.max("hops"), F.lit(0)) + 1).head()[0]
         seated = staged(seats.join(node, "node", "left_semi").join(known, "node", "left_anti").withColumn("hops", F.lit(at)), "hops")
         if not seated.isEmpty():
-            known = staged(known.unionByName(_from(e, known, seated, at)), "hops")
-    return known.withColumn("ring", F.least("hops", F.lit(cap)))
-
-
-def _from(e: DataFrame, known: DataFrame, seated: DataFrame, at: int) -> DataFrame:
-    """Breadth first from ``seated`` only, over nodes not yet known."""
-    settled = known.select("node", F.lit(-1).alias("hops"))
-    return spread(e, settled.unionByName(seated), at).where("hops >= 0")
+            # what is known keeps its place, so only the seats are walked from
+            settled = known.select("node", F.lit(-1).alias("hops")).unionByName(seated)
+            found = spread(e, in_buckets(settled, e.buckets, "hops"), at)
+            before, known = known, in_buckets(known.unionByName(found.where("hops >= 0")), e.buckets, "hops")
+            discard(before, found)
+        discard(seated)
+    discard(e)
+    return loose(known).withColumn("ring", F.least("hops", F.lit(cap)))
 
 
 def _in_order(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``rank``, a number that ascends with ``order``: a range of rows for each task, so no task orders them all."""
-    return staged(df.repartitionByRange(*order).sortWithinPartitions(*order).drop("first").withColumn("rank", F.monotonically_increasing_id()), "walk")
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).drop("first").withColumn("rank", F.monotonically_increasing_id())
 
 
-def queue_walk(e: DataFrame, known: DataFrame, seats: DataFrame, at: int) -> DataFrame:
-    """(node, hops, parent) of ``seats`` and of all that a queue discovers from them, but for nodes of ``known``.
+def queue_walk(e: DataFrame, known: DataFrame | None, seats: DataFrame, at: int, nth: str = "dst") -> DataFrame:
+    """(node, hops, parent, rank, part) of ``known``, of ``seats`` and of all that a queue discovers from them, in buckets by node.
 
-    The seats stand in the queue by id, at ``at`` hops; a node's targets follow it by
-    id.  So within a level nodes are in the order of who discovered them, then of
-    id, and of several discoverers the first in that order is the parent.  A level
-    has ranks of its own, which are all that the next one needs.
+    The seats stand in the queue by id, at ``at`` hops, but for nodes of ``known``; a node's targets follow
+    it by ``nth``, a column of the edges.  So within a level nodes are in the order of who discovered
+    them, then of ``nth``, and of several discoverers the first in that order is the parent.  A level has
+    ranks of its own, which are all that the next one needs; ``part`` tells the walks apart.
     """
-    start = seats.select(F.col(seats.columns[0]).alias("node")).where("node is not null").distinct().join(known.select("node"), "node", "left_anti")
-    frontier = _in_order(start.select("node", F.lit(at).alias("hops"), F.lit(None).cast(e.schema["src"].dataType).alias("parent")), "node")
-    found, rounds, rest = frontier, 0, [frontier]
+    n, node = e.buckets, e.schema["src"].dataType
+    start = seats.select(F.col(seats.columns[0]).cast(node).alias("node")).where("node is not null").distinct()
+    if known is not None:
+        start = start.join(known.select("node"), "node", "left_anti")
+    part = 0 if known is None else 1 + known.agg(F.coalesce(F.max("part"), F.lit(-1))).head()[0]
+    level = lambda df, *order: _in_order(df.withColumn("part", F.lit(part)), *order).select("node", "hops", "parent", "rank", "part").repartition(n, "node")
+    known = bucketed(level(start.select("node", F.lit(at).alias("hops"), F.lit(None).cast(node).alias("parent")), "node"), "node", n, "walk", onto=known)
+    rounds = 0
     while True:
-        settled = known.select("node").unionByName(found.select("node"))
-        met = frontier.select(F.col("node").alias("src"), "rank").join(e.select("src", "dst"), "src").join(settled.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        at += 1
-        first = met.groupBy("dst").agg(F.min(F.struct("rank", "src")).alias("by"))
-        new = _in_order(first.select(F.col("dst").alias("node"), F.lit(at).alias("hops"), F.col("by.src").alias("parent"), F.col("by.rank").alias("first")), "first", "node")
-        if new.isEmpty():
-            discard(new)
-            return found.drop("rank")
-        found = found.unionByName(new)
-        rounds += 1
-        rest.append(new)
-        if rounds % FOLD == 0:
-            found = staged(found, "walk")
-            discard(*rest[:-1])
-            rest = [new, found]
-        frontier = new
+        frontier = known.where((F.col("part") == part) & (F.col("hops") == at)).select("node", "rank")
+        at, rounds = at + 1, rounds + 1
+        # the first in the walk's order discovers a node
+        met = leads_to(frontier, e).select(F.col("dst").alias("node"), F.struct("rank", F.col(nth).alias("nth"), "src").alias("by")).repartition(n, "node")
+        new = unknown(met.groupBy("node").agg(F.min("by").alias("by")), known)
+        new = new.select("node", F.lit(at).alias("hops"), F.col("by.src").alias("parent"), F.struct("by.rank", "by.nth").alias("first"))
+        known = bucketed(level(new, "first"), "node", n, "walk", onto=known)
+        if not known.added:
+            return known
+        known = folded(known, rounds, "walk")
 
 
 def ring_walk(edges: DataFrame, nodes: DataFrame, members: DataFrame, root: DataFrame, cap: int = 4) -> DataFrame:
@@ -135,17 +160,18 @@ def ring_walk(edges: DataFrame, nodes: DataFrame, members: DataFrame, root: Data
     root; from members that the root doesn't reach, seated at 1; from what they
     don't reach either, seated outside all rings.
     """
-    e = staged(_edges(edges), "edges")
+    e = by_source(edges)
     node = staged(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), "nodes")
     only = lambda df: df.select(F.col(df.columns[0]).alias("node")).distinct().join(node, "node", "left_semi")
-    known = staged(queue_walk(e, node.limit(0), only(root), 0), "rings")
+    known = queue_walk(e, None, only(root), 0)
     for seats, at in ((only(members), 1), (node, None)):
-        left = seats.join(known, "node", "left_anti")
+        left = staged(seats.join(known, "node", "left_anti"), "left")
         if not left.isEmpty():
             at = at or known.agg(F.coalesce(F.max("hops"), F.lit(0)) + 1).head()[0]
-            before, known = known, staged(known.unionByName(queue_walk(e, known, left, at)), "rings")
-            discard(before)
-    return known.withColumn("ring", F.least("hops", F.lit(cap)))
+            known = queue_walk(e, known, left, at)
+        discard(left)
+    discard(e, node)
+    return loose(known).select("node", "hops", "parent").withColumn("ring", F.least("hops", F.lit(cap)))
 
 
 def cycle_heads(pointers: DataFrame) -> DataFrame:
@@ -181,19 +207,24 @@ def discovery_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     of several discoverers the first in the walk's order wins.  Levels are ordered
     in ranges, so no level has to be numbered in one task.
     """
-    on = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    on = staged(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct(), "nodes")
     e = edges.where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    e = e.join(on.select(F.col("node").alias("src")), "src").join(on.select(F.col("node").alias("dst")), "dst")
-    e = staged(e.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst")).alias("nth")), "calls")
+    e = staged(e.join(on.select(F.col("node").alias("src")), "src").join(on.select(F.col("node").alias("dst")), "dst"), "calls")
+    n = buckets_for(e)
+    nth = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("w"), "dst"))
+    before, e = e, bucketed(e.repartition(n, "src").select("src", "dst", nth.alias("nth")), "src", n, "calls")
+    discard(before)
     ground = on.join(e.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-    known = _walk(e, ground, None)
+    known = queue_walk(e, None, ground, 0, "nth")
     while True:
-        left = on if known is None else on.join(known, "node", "left_anti")
+        left = on.join(known, "node", "left_anti")
         # strongly tied leftovers of different rings don't meet, so each ring's smallest id can start at once
-        heads = _ring_heads(e, left)
+        heads = staged(_ring_heads(e, left), "heads")
         if heads.isEmpty():
-            return known.drop("rank")
-        known = _walk(e, heads, known)
+            discard(e, heads)
+            return loose(known).select("node", "parent", F.col("hops").alias("level"))
+        known = queue_walk(e, known, heads, 0, "nth")
+        discard(heads)
 
 
 def _ring_heads(e: DataFrame, left: DataFrame) -> DataFrame:
@@ -224,36 +255,29 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label.select("node", "label")
 
 
-def _walk(e: DataFrame, seeds: DataFrame, known: DataFrame | None) -> DataFrame:
-    start = seeds.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level"))
-    frontier = _in_order(start, "node")
-    known = frontier if known is None else known.unionByName(frontier)
-    level = 0
-    while True:
-        level += 1
-        met = frontier.select(F.col("node").alias("src"), "rank").join(e, "src").join(known.select(F.col("node").alias("dst")), "dst", "left_anti")
-        first = met.groupBy("dst").agg(F.min(F.struct("rank", "nth", "src")).alias("by"))
-        place = F.struct("by.rank", "by.nth").alias("first")
-        new = _in_order(first.select(F.col("dst").alias("node"), F.col("by.src").alias("parent"), F.lit(level).alias("level"), place), "first")
-        if new.isEmpty():
-            discard(new)
-            return known
-        known = staged(known.unionByName(new), "walk") if level % FOLD == 0 else known.unionByName(new)
-        frontier = new
-
-
 def descendants(tree: DataFrame) -> DataFrame:
     """(node, runs): how many nodes stand below each in a forest of (node, parent, level), from the deepest level up."""
-    tree = staged(tree.select("node", "parent", "level"), "tree")
-    deepest = tree.agg(F.max("level")).head()[0] or 0
-    below = tree.where(F.col("level") == deepest).select("node", F.lit(0).cast("long").alias("runs"))
-    done = below
-    for level in range(deepest - 1, -1, -1):
-        kids = below.join(tree, "node").groupBy("parent").agg(F.sum(F.col("runs") + 1).alias("runs"))
-        here = tree.where(F.col("level") == level).select("node").join(kids.withColumnRenamed("parent", "node"), "node", "left")
-        below = staged(here.select("node", F.coalesce("runs", F.lit(0)).cast("long").alias("runs")), "runs")
-        done = done.unionByName(below)
-    return done
+    return summed_up(tree.select("node", F.col("level").alias("hops"), "parent"), F.count("n") + F.sum("n"), 0).select("node", F.col("n").alias("runs"))
+
+
+def summed_up(tree: DataFrame, total: Column, leaf: int) -> DataFrame:
+    """A forest (node, hops, parent) with ``n``: ``leaf`` where nothing stands below, else ``total`` of the ``n`` right below; a parent is one hop above."""
+    rows = staged(tree.select("node", "hops", "parent"), "tree")
+    buckets = buckets_for(rows)
+    tree, done = in_buckets(rows, buckets, "tree"), None
+    discard(rows)
+    deepest = tree.agg(F.max("hops")).head()[0] or 0
+    for hops in range(deepest, -1, -1):
+        here = tree.where(F.col("hops") == hops)
+        if done is None:
+            here = here.withColumn("n", F.lit(leaf).cast("long"))
+        else:
+            below = done.where((F.col("hops") == hops + 1) & F.col("parent").isNotNull()).select(F.col("parent").alias("node"), "n").repartition(buckets, "node")
+            here = here.join(below.groupBy("node").agg(total.cast("long").alias("n")).hint("shuffle_hash"), "node", "left").withColumn("n", F.coalesce("n", F.lit(leaf)))
+        done = bucketed(here.select("node", "hops", "parent", "n"), "node", buckets, "sums", onto=done)
+        done = folded(done, deepest - hops + 1, "sums")
+    discard(tree)
+    return loose(done)
 
 
 def closure(edges: DataFrame, start: DataFrame, *, inclusive: bool) -> DataFrame:

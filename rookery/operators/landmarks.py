@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rookery.operators.dependency import KIND_RANK, longest_prefix, rank_of, routes
-from rookery.operators.graph import closure
+from rookery.operators.graph import closure, folded, in_buckets, summed_up
 from rookery.plans.numbering import ranked
-from rookery.plans.staging import staged
+from rookery.plans.staging import bucketed, buckets_for, discard, loose, staged
 
 #: Externals that are named at rest; rings at rest; places of event labels along an edge.
 SHOWN_OUTSIDERS, RINGS_AT_REST, LABEL_PLACES = 20, 4, (0.38, 0.54, 0.68)
@@ -121,17 +121,7 @@ def member_dirs(packages: DataFrame, root: str) -> DataFrame:
 
 def leaf_weights(tree: DataFrame) -> DataFrame:
     """(node, hops, parent, weight): how many outermost stars stand below each, a star without any is one; from the outermost ring inwards."""
-    tree = staged(tree.select("node", "hops", "parent"), "tree")
-    deepest = tree.agg(F.max("hops")).head()[0] or 0
-    done = None
-    kids = None
-    for hops in range(deepest, -1, -1):
-        here = tree.where(F.col("hops") == hops)
-        weighed = here.withColumn("weight", F.lit(1.0)) if kids is None else here.join(kids, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        weighed = staged(weighed, "weights")
-        done = weighed if done is None else done.unionByName(weighed)
-        kids = weighed.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum("weight").alias("weight"))
-    return done
+    return summed_up(tree, F.sum("n"), 1).select("node", "hops", "parent", F.col("n").cast("double").alias("weight"))
 
 
 def sectors(weights: DataFrame) -> DataFrame:
@@ -142,6 +132,7 @@ def sectors(weights: DataFrame) -> DataFrame:
     """
     share = weights.withColumn("share", F.sqrt("weight"))
     share = staged(share, "shares")
+    n = buckets_for(share)
     before = F.coalesce(F.sum("share").over(Window.partitionBy("group").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     top = staged(share.where("parent is null").repartitionByRange("node").withColumn("group", F.spark_partition_id()), "seats")
     parts = top.groupBy("group").agg(F.sum("share").alias("sum"))
@@ -149,15 +140,22 @@ def sectors(weights: DataFrame) -> DataFrame:
     total = max(top.agg(F.sum("share")).head()[0] or 0.0, 1.0)
     level = top.withColumn("before", before).join(F.broadcast(parts), "group")
     level = level.select("node", "hops", (-math.tau / 4 + math.tau * (F.col("offset") + F.col("before")) / total).alias("start"), (math.tau * F.col("share") / total).alias("width"))
-    level = done = staged(level, "sectors")
+    # stars in buckets by parent meet sectors in as many by node
+    kin = in_buckets(share.where("parent is not null"), n, "kin", "parent")
+    done = in_buckets(level.withColumn("depth", F.lit(0)), n, "sectors")
+    every = F.greatest(F.sum("share").over(Window.partitionBy("parent")), F.lit(1.0))
+    depth = 0
     while True:
-        kids = share.where("parent is not null").join(level.select(F.col("node").alias("parent"), F.col("start").alias("at"), F.col("width").alias("room")), "parent")
-        every = F.greatest(F.sum("share").over(Window.partitionBy("parent")), F.lit(1.0))
-        kids = kids.withColumn("group", F.col("parent")).withColumn("before", before).withColumn("every", every)
-        level = staged(kids.select("node", "hops", (F.col("at") + F.col("room") * F.col("before") / F.col("every")).alias("start"), (F.col("room") * F.col("share") / F.col("every")).alias("width")), "sectors")
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
+        above = done.where(F.col("depth") == depth).select(F.col("node").alias("parent"), F.col("start").alias("at"), F.col("width").alias("room"))
+        depth += 1
+        kids = kin.join(above.hint("shuffle_hash"), "parent").withColumn("group", F.col("parent")).withColumn("before", before).withColumn("every", every)
+        start = F.col("at") + F.col("room") * F.col("before") / F.col("every")
+        kids = kids.select("node", "hops", start.alias("start"), (F.col("room") * F.col("share") / F.col("every")).alias("width"), F.lit(depth).alias("depth"))
+        done = bucketed(kids.repartition(n, "node"), "node", n, "sectors", onto=done)
+        if not done.added:
+            discard(kin)
+            return loose(done).drop("depth")
+        done = folded(done, depth, "sectors")
 
 
 def ring_gaps(angles: DataFrame, cap: int) -> DataFrame:
