@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators.ownership import HOLD_RANK
 from rookery.operators.verdicts import removed_holds
+from rookery.plans.staging import staged
 
 #: Kinds that a name can stand for; words that make a hold a shared one.
 NAMED_KINDS = ("struct", "enum", "union", "trait")
@@ -49,23 +50,37 @@ def name_walk(rows: DataFrame, names: DataFrame) -> DataFrame:
     Only words that are known meet the table of names, so no common word is a hot key
     but a common name, whose row on the other side is one.
     """
-    word = words(rows)
-    hit = word.join(names.withColumnRenamed("name", "word"), "word")
+    return _walked(rows.select("row", "text", "skip_leading"), names).select("row", "kind", "via", "targets", "ambiguous")
+
+
+def _walked(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with kind, via, targets and ambiguous.  A text is read once, however many rows have it, and its words go by its number."""
+    rows = staged(rows.withColumns({"text": F.coalesce("text", F.lit("")), "skip_leading": F.coalesce("skip_leading", F.lit(False))}), "rows")
+    texts = staged(rows.select("text", "skip_leading").distinct().withColumn("row", F.monotonically_increasing_id()), "texts")
+    return rows.join(_read(texts, names).drop("row"), ["text", "skip_leading"])
+
+
+def _read(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``texts`` with what they name and how they hold it; how is told by a text's own words, without a shuffle."""
+    hit = words(texts).join(names.withColumnRenamed("name", "word"), "word")
     found = hit.groupBy("row").agg(F.array_sort(F.collect_set(F.when(~F.col("several"), F.struct("at", "id")))).alias("places"), F.count_if("several").alias("ambiguous"))
     # a declaration of several places is a target once, at its first
     ids = F.transform("places", lambda p: p["id"])
     found = found.select("row", F.array_distinct(ids).alias("targets"), "ambiguous")
-    strong = F.when(F.col("word") == "dyn", HOLD_RANK["dyn"]).when(F.col("word").isin(*SHARING_WORDS), HOLD_RANK["shares"])
-    own = names.where(F.col("name").isin("dyn", *SHARING_WORDS)).select(F.col("name").alias("word"))  # nine rows at most
-    held = word.withColumn("rank", strong).where("rank is not null").join(F.broadcast(own), "word", "left_anti")
-    wrapped = held.groupBy("row").agg(F.max("rank").alias("rank"), F.min_by("word", F.struct(-F.col("rank"), "at")).alias("word"))
+    own = names.where(F.col("name").isin("dyn", *SHARING_WORDS)).agg(F.collect_set("name").alias("own"))  # one row, nine names at most
+    strong = F.array_except(F.array(*map(F.lit, ("dyn", *SHARING_WORDS))), "own")
+    every = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    every = F.slice(every, F.col("skip_leading").cast("int") + 1, F.size(every))
+    held = F.filter(every, lambda w: F.array_contains(F.col("strong"), w))
+    out = texts.join(F.broadcast(own), F.lit(True)).withColumn("strong", strong).withColumn("held", held)
+    shared = F.get(F.filter("held", lambda w: w != "dyn"), F.lit(0))  # the stronger kind
+    out = out.withColumn("word", F.coalesce(shared, F.get("held", F.lit(0))))
     plain = F.when(F.contains("text", F.lit("&")), HOLD_RANK["borrows"]).otherwise(HOLD_RANK["owns"])
-    out = rows.select("row", plain.alias("plain")).join(wrapped, "row", "left").join(found, "row", "left")
-    stronger = F.coalesce(F.col("rank") > F.col("plain"), F.lit(False))
+    rank = F.when(F.col("word").isNull(), plain).when(F.col("word") == "dyn", HOLD_RANK["dyn"]).otherwise(HOLD_RANK["shares"])
     kinds = F.array(*map(F.lit, HOLD_RANK))
-    return out.select(
-        "row", F.element_at(kinds, F.when(stronger, F.col("rank")).otherwise(F.col("plain")) + 1).alias("kind"),
-        F.when(stronger, F.col("word")).when(F.col("plain") == HOLD_RANK["borrows"], "&").otherwise("").alias("via"),
+    return out.join(found, "row", "left").select(
+        *texts.columns, F.element_at(kinds, rank + 1).alias("kind"),
+        F.when(F.col("word").isNotNull(), F.col("word")).when(plain == HOLD_RANK["borrows"], "&").otherwise("").alias("via"),
         F.coalesce("targets", F.array().cast(f"array<{names.schema['id'].dataType.simpleString()}>")).alias("targets"), F.coalesce("ambiguous", F.lit(0)).cast("long").alias("ambiguous"),
     )
 
@@ -77,6 +92,5 @@ def dropped_holds(rows: DataFrame, names: DataFrame, live: DataFrame) -> DataFra
     from_method) that stand without an event.  A pair that still stands draws nothing, nor does a
     declaration that names itself.
     """
-    walk = name_walk(rows, names).select("row", "kind", "via", F.explode("targets").alias("dst"))
-    drawn = walk.join(rows.select("row", "src", "ord", "name", "from_method"), "row")
+    drawn = _walked(rows, names).select("row", "src", "ord", "name", "from_method", "kind", "via", F.explode("targets").alias("dst"))
     return removed_holds(drawn, live, "via")

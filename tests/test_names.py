@@ -63,3 +63,11 @@ def test_seats_are_those_of_the_whole_band(spark):
 def test_texts_without_words_have_none(spark):
     rows = spark.createDataFrame([(1, None, True), (2, "  ", True), (3, "x", True)], "row long, text string, skip_leading boolean")
     assert names.words(rows).select(F.count("*")).head()[0] == 0
+
+
+def test_a_text_is_read_once_however_many_rows_have_it(spark, monkeypatch):
+    seen, words = [], names.words
+    monkeypatch.setattr(names, "words", lambda texts: seen.append(texts.count()) or words(texts))
+    rows = spark.range(40).select(F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, "Arc<Wire>").otherwise("&Kind").alias("text"), F.lit(False).alias("skip_leading"))
+    got = {(r.row % 2, r.kind, r.via, *r.targets) for r in names.name_walk(rows, known(spark)).collect()}
+    assert seen == [2] and got == {(0, "shares", "Arc", 1), (1, "borrows", "&", 2)}
