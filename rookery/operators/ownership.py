@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from rookery.functions.predicates import VISIBILITY, visibility_rank
 from rookery.operators.graph import closure, cycle_heads
-from rookery.plans.staging import discard, staged
+from rookery.plans.staging import dealt, discard, staged
 
 #: Fixed value: more holders than this make a type vocabulary.
 HELD_CAP = 3
@@ -82,16 +82,20 @@ def hold_upstream(holds: DataFrame, start: DataFrame) -> DataFrame:
     return closure(holds.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start, inclusive=False)
 
 
-def ties(refs: DataFrame, roots: DataFrame, drawn: DataFrame) -> DataFrame:
+def ties(refs: DataFrame, roots: DataFrame, drawn: DataFrame, tasks: int | None = None) -> DataFrame:
     """References lifted to what contains their ends: (definition, holder, n, seen), by whether both ends are drawn.
 
     ``refs`` is (src, dst, w) with ``src`` the user; ``roots`` (node, root); none stays inside one root.
     ``seen`` is both, unseen_in (only the definition is drawn), unseen_out or neither.
+    Whether a root is drawn is told with it, so references are dealt by their ends and their roots
+    only; into ``tasks``, if given, which should grow with them.
     """
-    at = lambda c, to: roots.select(F.col("node").alias(c), F.col("root").alias(to))
-    e = refs.join(at("src", "holder"), "src").join(at("dst", "definition"), "dst").where("holder <> definition").groupBy("definition", "holder").agg(F.sum("w").cast("long").alias("n"))
-    mark = lambda c: drawn.select(F.col(drawn.columns[0]).alias(c), F.lit(True).alias(f"{c}_on")).distinct()
-    e = e.join(mark("definition"), "definition", "left").join(mark("holder"), "holder", "left")
+    on = drawn.select(F.col(drawn.columns[0]).alias("root"), F.lit(True).alias("on")).distinct()
+    marked = roots.select("node", "root").join(on, "root", "left")
+    at = lambda c, to: marked.select(F.col("node").alias(c), F.col("root").alias(to), F.coalesce("on", F.lit(False)).alias(f"{to}_on"))
+    e = dealt(refs.select("src", "dst", "w"), tasks, "src").join(at("src", "holder"), "src")
+    e = dealt(e.drop("src"), tasks, "dst").join(at("dst", "definition"), "dst").where("holder <> definition")
+    e = dealt(e, tasks, "definition", "holder").groupBy("definition", "holder", "definition_on", "holder_on").agg(F.sum("w").cast("long").alias("n"))
     seen = F.when(F.col("definition_on") & F.col("holder_on"), "both").when(F.col("definition_on"), "unseen_in").when(F.col("holder_on"), "unseen_out").otherwise("neither")
     return e.select("definition", "holder", "n", seen.alias("seen"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rookery.functions import lexing
 from rookery.functions import text as T
+from rookery.operators import ownership
 
 
 def test_indents_are_read_from_the_places_own_line(spark):
@@ -25,3 +26,12 @@ def test_items_behind_long_lines_and_of_many_lines(spark):
     assert lexing.item_source(df).head().blocks[0].text == "fn a() {\n" + "    x;\n" * 20_000 + "}"
     assert df.select(T.dedent(F.substring("text", F.col("start") - 3, F.length("text"))).alias("t")).head().t == "fn a() {\n" + "    x;\n" * 20_000 + "}"
     assert time.time() - began < 30
+
+
+def test_ties_are_dealt_by_ends_and_roots_only(spark):
+    """Whether ends are drawn needs no join with the ties, and the last step has as many tasks as asked for."""
+    refs = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (1, 3, 2), (3, 4, 1)], "src long, dst long, w long")
+    roots = spark.createDataFrame([(k, k) for k in (1, 2, 3, 4)], "node long, root long")
+    out = ownership.ties(refs, roots, spark.createDataFrame([(1,), (2,)], "node long"), 7)
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1, "both"), (2, 1, 3, "both"), (3, 1, 2, "unseen_out"), (4, 3, 1, "neither")]
+    assert "hashpartitioning(definition" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
