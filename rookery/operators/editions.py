@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rookery.plans.staging import staged
+
 
 def match(base: DataFrame, live: DataFrame) -> DataFrame:
     """(path, kind, name, verdict, moved_from) over declarations (path, kind, name, text, place).
@@ -65,6 +67,7 @@ def band_diff(base: DataFrame, live: DataFrame, items: DataFrame) -> DataFrame:
     at = items.select("item", F.col("file").alias("home"), "kind")
     own = live.join(at, "item").where((F.col("kind") == "trait") | (F.col("file") == F.col("home")))
     own = own.withColumn("nth", (F.row_number().over(Window.partitionBy("item").orderBy("ord")) - 1).cast("long"))
+    own = staged(own.select("item", "nth", "ord", "name", "decl"), "own")
     diff = row_diff(base, own.select("item", F.col("nth").alias("ord"), "name", "decl"))
     seats = own.select("item", F.col("nth").alias("seat"), F.col("ord").cast("long").alias("whole"))
     full = live.groupBy("item").agg(F.count("*").alias("full"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from rookery.functions import lexing
 from rookery.functions import text as T
 from rookery.operators import ownership
+from rookery.queries import QUERIES
+import rookery.more_queries  # noqa: F401  registers its queries
 
 
 def test_indents_are_read_from_the_places_own_line(spark):
@@ -28,6 +30,11 @@ def test_items_behind_long_lines_and_of_many_lines(spark):
     assert time.time() - began < 30
 
 
+def test_rows_of_the_band_are_aggregated_before_they_are_read(spark, data):
+    """The plan of what is read back has no aggregate of lineitem in it."""
+    assert "lineitem.parquet" not in QUERIES["q_band_diff"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ties_are_dealt_by_ends_and_roots_only(spark):
     """Whether ends are drawn needs no join with the ties, and the last step has as many tasks as asked for."""
     refs = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (1, 3, 2), (3, 4, 1)], "src long, dst long, w long")
