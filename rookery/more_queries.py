@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from rookery.functions import predicates as P
 from rookery.operators import attribution, frames, ownership, sheets, verdicts
-from rookery.queries import _BFS, _TIES, _UP, _edges, _holds, _ids, _items, _roots, _table, query
+from rookery.plans.fixtures import tasks_for_links
+from rookery.plans.staging import staged
+from rookery.queries import _BFS, _TIES, _UP, _edges, _held, _holds, _ids, _items, _roots, _table, query
 
 # ---- predicates
 
@@ -124,10 +126,11 @@ select node, arg_min(light, r) light from x group by node""",
     "fx_edge", "fx_item",
 )
 def q_lit(s: SparkSession, d: str) -> DataFrame:
-    ties = ownership.ties(_edges(s, d), _roots(s, d), _ids(_items(s, d), "true"))
-    held = _edges(s, d).where("src <> dst").select(F.col("dst").alias("node")).distinct()
+    edges = staged(_edges(s, d), "links")  # read by each part of what is lit, made once
+    ties = staged(ownership.ties(edges, _roots(s, d), _ids(_items(s, d), "true"), tasks_for_links(s, d)), "ties")
+    held = edges.where("src <> dst").select(F.col("dst").alias("node")).distinct()
     start = held.join(ties.select(F.col("definition").alias("node")).distinct(), "node", "left_semi").agg(F.min("node").alias("node"))
-    return frames.lit(start, _holds(s, d), ties, "in")
+    return frames.lit(staged(start, "start"), _held(edges), ties, "in")
 
 
 # ---- verdicts

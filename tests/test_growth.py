@@ -42,3 +42,7 @@ def test_ties_are_dealt_by_ends_and_roots_only(spark):
     out = ownership.ties(refs, roots, spark.createDataFrame([(1,), (2,)], "node long"), 7)
     assert sorted(map(tuple, out.collect())) == [(1, 2, 1, "both"), (2, 1, 3, "both"), (3, 1, 2, "unseen_out"), (4, 3, 1, "neither")]
     assert "hashpartitioning(definition" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
+
+
+def test_what_is_lit_reads_links_that_are_made_once(spark, data):
+    assert "lineitem.parquet" not in QUERIES["q_lit"](spark, data)._jdf.queryExecution().executedPlan().toString()
