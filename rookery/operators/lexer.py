@@ -88,12 +88,13 @@ def lex(text: str, state: str, tokens: bool = True) -> tuple[list[tuple[str, str
             if tokens and not attr:
                 for m in _CODE.finditer(text, at):
                     if not (kind := _PLAIN.get(m.lastgroup)):
+                        at = m.start()
                         break
                     out.append((kind, m[0]))
-                    at = m.end()
-                if at == len(text):
+                else:
                     break
-            m = _CODE.match(text, at)
+            else:
+                m = _CODE.match(text, at)
             kind = m.lastgroup if m.lastgroup != "hashes" else "raw"
             begun = m.end()
             if kind == "comment":
@@ -321,7 +322,11 @@ def _runs(size: int):
                         if cls == "word":
                             cls, before = _named(t, before), t
                             open_ = None if cls == "kw" else len(texts)
-                        elif cls not in TRIVIA:
+                            lines.append(line)
+                            texts.append(t)
+                            classes.append(cls)
+                            continue
+                        if cls not in TRIVIA:
                             if t == "!" and open_ is not None:
                                 classes[open_] = "macro"
                             before, open_ = t, None
